@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and, where SQL can express them, SQL.
-MODULES = ("line_dedup", "private_data", "quality", "mixing")
+MODULES = ("line_dedup", "private_data", "quality", "mixing", "tokens")
 
 
 def _all(what: str) -> dict:
