@@ -1,10 +1,15 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Documents are dealt into chunks by a hash of their row. Every chunk gives its distinct words (runs
-between white space, which this tokenizer never joins across); the distinct words of all chunks
-are encoded once each, with the tokenizers library, and decoded by a join of their ids with the
-id-to-piece table, which is as small as the vocabulary. The ids then go back to the chunks that use
-the word, and each document's ids are put together by position.
+Documents are read in chunks of about CHUNK_CHARS characters. Every chunk gives its distinct words
+(runs between white space, which this tokenizer never joins across), dealt by a hash of the word,
+so that all chunks' rows of one word meet in one partition; there each distinct word is encoded
+once with the tokenizers library. The ids go back to the chunks and are joined to the words by
+position, and each document's ids are put together. Decoding joins every id with its piece; the
+id-to-piece table is as small as the vocabulary and broadcast. Texts, words and ids travel packed
+and compressed, a chunk's share to a row.
+
+The chunks of a lost executor are made again from its input, so docs should read from files (as
+after cut()), not from rows in an order that changes from run to run.
 
 The vocabulary file is a parameter, read from the machine's own folder of public tokenizers on
 each executor. Null and empty texts have no ids and decode to the empty text. Each input row gives
@@ -16,17 +21,25 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import map_arrow, table
+from pitchside.llm.common import map_arrow, pieces, table
 
-#: Bytes of text that a chunk holds, about: what one task keeps in memory.
-CHUNK_BYTES = 8_000_000
+#: Code points of text that a chunk holds, about: what one task keeps in memory.
+CHUNK_CHARS = 16_000_000
+#: Bytes of text whose distinct words one partition of the word table holds, about.
+WORDS_BYTES = 32_000_000
 #: Controls that Python's split() takes for white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -55,105 +68,144 @@ def words(text: str | None) -> list[str]:
     return text.split()
 
 
-def pieces_table(spark: SparkSession, path: str) -> DataFrame:
-    """id and piece of the whole vocabulary, special tokens with it."""
+def shared_pieces(spark: SparkSession, path: str) -> Broadcast:
+    """The pieces of the vocabulary in the order of their ids, special tokens with them."""
     vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(sorted((i, p) for p, i in vocabulary.items()), "id int, piece string")
+    rows = [None] * (max(vocabulary.values(), default=-1) + 1)
+    for piece, i in vocabulary.items():
+        rows[i] = piece
+    return spark.sparkContext.broadcast(rows)
+
 
+def decode_ids(ids: pa.ListArray, rows: list[str]) -> pa.Array:
+    """The text of each list of ids: its pieces with a space between, as the library's decode()."""
+    got = pa.array(rows, pa.string()).take(ids.flatten())
+    at = pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0)).to_numpy()
+    lists = pa.ListArray.from_arrays(np.concatenate([[0], at]).astype(np.int32), got)
+    return pc.binary_join(lists, " ")
 
-def encode_words(distinct: DataFrame, path: str) -> DataFrame:
-    """word and its ids, for distinct words (the first column; others are not read)."""
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and the text of rows with doc_id and ids (no ids: the empty text)."""
+    rows = shared_pieces(encoded.sparkSession, path or vocabulary_path())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = _tokenizer(path).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([e.ids for e in got], pa.list_(pa.int32()))], ["word", "ids"]
+            [batch.column(0), decode_ids(batch.column(1), rows.value)], ["doc_id", "text"]
         )
 
-    return map_arrow(distinct, run, "word string, ids array<int>")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def decode(encoded: DataFrame, key: str, path: str) -> DataFrame:
-    """encoded (distinct key, ids) with the decoded text: a join of every id with its piece."""
-    pieces = F.broadcast(pieces_table(encoded.sparkSession, path))  # as small as the vocabulary
-    found = F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))
-    return (
-        encoded.select(key, "ids", F.posexplode_outer("ids").alias("pos", "id"))
-        .join(pieces, "id", "left")
-        .groupBy(key)
-        .agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(found)).alias("p"))
-        .select(key, "ids", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
-    )
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk: its number and its rows, compressed."""
+    task, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for a, b in pieces(batch.column(1).to_pylist(), CHUNK_CHARS):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(a, b - a))
+            blob = zstandard.compress(sink.getvalue(), 6)
+            n += 1
+            chunk = xxhash.xxh3_64_intdigest(blob, seed=task * 65_536 + n) >> 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "rows"]
+            )
+
+
+def _unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
 
 
-def word_table(used: DataFrame, path: str) -> DataFrame:
-    """word, ids and decoded of each distinct word; used is partitioned by word already."""
-    distinct = used.groupBy("word").agg(F.min("chunk").alias("chunk"))
-    return decode(encode_words(distinct, path), "word", path)
+def _chunk_words(texts: list[str | None], parts: int) -> dict[int, list[str]]:
+    """The distinct words of a chunk in order, by the partition of the word table they go to."""
+    found: set[str] = set()
+    for t in texts:
+        found.update(words(t))
+    out: dict[int, list[str]] = {}
+    for w in sorted(found):
+        out.setdefault(zlib.crc32(w.encode()) % parts, []).append(w)
+    return out
 
 
-def _ids_bytes(ids: pa.Array) -> list[bytes]:
-    """Each row's ids as little-endian unsigned 32-bit integers."""
-    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    at = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-    return [flat[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
+def _pack_ids(ids: list[bytes]) -> bytes:
+    n = np.array([len(x) // 4 for x in ids], "<u4").tobytes()
+    return zstandard.compress(n + b"".join(ids), 3)
+
+
+def _unpack_ids(blob: bytes, n: int) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    at = 4 * n + np.concatenate([[0], 4 * np.cumsum(np.frombuffer(raw, "<u4", n))])
+    at = at.astype(np.int64).tolist()
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _by_chunk(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
-    """Encode and decode every row; finish(doc_ids, ids as bytes, decoded) makes a batch of rows."""
-    spark = docs.sparkSession
+    """Encode and decode every row; finish(doc_ids, ids as bytes, decoded) makes a table of rows."""
+    shared = shared_pieces(docs.sparkSession, path)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    # the row itself deals: neither one id nor one source can fill a chunk
+    chunks, parts = max(1, -(-size // CHUNK_CHARS)), max(1, -(-size // WORDS_BYTES))
     dealt = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.length("text")), F.lit(chunks)).cast("int"))
+        .mapInArrow(_pack, "chunk long, rows binary")
         .repartition(int(chunks), "chunk")
     )
 
     def chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct words of each chunk: a task holds whole chunks."""
-        found: dict[int, set] = {}
         for batch in batches:
-            for c, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(c, set()).update(words(text))
-        for c, ws in found.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c] * len(ws), pa.int32()), pa.array(ws, pa.string())], ["chunk", "word"]
-            )
-
-    # one exchange by word serves both the distinct words and the join back to the chunks
-    used = dealt.mapInArrow(chunk_words, "chunk int, word string").repartition("word")
-    known = (
-        used.join(word_table(used, path).hint("shuffle_merge"), "word")
-        .select("chunk", "word", "ids", "decoded")
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for p, ws in _chunk_words(_unpack(blob).column("text").to_pylist(), parts).items():
+                    packed = zstandard.compress("\n".join(ws).encode(), 3)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p], pa.int32()), pa.array([chunk], pa.int64()), pa.array([packed], pa.binary())],
+                        ["part", "chunk", "words"],
+                    )
+
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of a word are in one partition, so no word is encoded twice."""
+        known: dict[str, bytes] = {}
+        for batch in batches:
+            for part, chunk, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ws = zstandard.decompress(blob).decode().split("\n")
+                new = [w for w in ws if w not in known]
+                for w, e in zip(new, _tokenizer(path).encode_batch(new, add_special_tokens=False), strict=True):
+                    known[w] = np.array(e.ids, "<u4").tobytes()
+                packed = _pack_ids([known[w] for w in ws])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([packed], pa.binary())],
+                    ["part", "chunk", "ids"],
+                )
+
+    encoded = (
+        dealt.mapInArrow(chunk_words, "part int, chunk long, words binary")
+        .repartition(int(parts), "part")
+        .mapInArrow(encode_words, "part int, chunk long, ids binary")
         .repartition(int(chunks), "chunk")
     )
 
-    def put_together(texts: pa.Table, table_: pa.Table) -> pa.Table:
-        w = table_.column("word").to_pylist()
-        ids, decoded = {}, dict(zip(w, table_.column("decoded").to_pylist(), strict=True))
-        at = 0
-        for part in table_.column("ids").chunks:
-            for x in _ids_bytes(part):
-                ids[w[at]] = x
-                at += 1
-        got_ids, got_text = [], []
-        for text in texts.column("text").to_pylist():
-            ws = words(text)
-            got_ids.append(b"".join(map(ids.__getitem__, ws)))
-            got_text.append(" ".join(filter(None, map(decoded.__getitem__, ws))))
-        return finish(texts.column("doc_id"), got_ids, got_text)
-
-    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(put_together, schema)
+    def put_together(packed: pa.Table, tables: pa.Table) -> pa.Table:
+        blobs = dict(zip(tables.column("part").to_pylist(), tables.column("ids").to_pylist(), strict=True))
+        rows = _unpack(packed.column("rows")[0].as_py())
+        texts = rows.column("text").to_pylist()
+        ids: dict[str, bytes] = {}
+        for p, ws in _chunk_words(texts, parts).items():
+            ids.update(zip(ws, _unpack_ids(blobs[p], len(ws)), strict=True))
+        got_ids = [b"".join(map(ids.__getitem__, words(t))) for t in texts]
+        ids.clear()
+        decoded: list[str] = []
+        for a, b in pieces(texts, CHUNK_CHARS // 8):
+            n = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got_ids[a:b]])]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(got_ids[a:b]), "<u4").astype(np.int32))
+            decoded += decode_ids(pa.ListArray.from_arrays(n, flat), shared.value).to_pylist()
+        return finish(rows.column("doc_id"), got_ids, decoded)
+
+    return dealt.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(put_together, schema)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and the decoded text of each row."""
 
     def finish(doc_id, ids, texts) -> pa.Table:
-        import numpy as np
-
         lists = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
         return pa.table({"doc_id": doc_id, "ids": pa.array(lists, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())})
 
