@@ -8,7 +8,16 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and, where SQL can express them, SQL.
-MODULES = ("line_dedup", "private_data", "fingerprints", "quality", "prob_minhash", "mixing", "tokens")
+MODULES = (
+    "line_dedup",
+    "private_data",
+    "fingerprints",
+    "quality",
+    "prob_minhash",
+    "mixing",
+    "permutation_index",
+    "tokens",
+)
 
 
 def _all(what: str) -> dict:
