@@ -16,6 +16,7 @@ MODULES = (
     "prob_minhash",
     "mixing",
     "permutation_index",
+    "licenses",
     "tokens",
 )
 
