@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules with QUERIES and, where SQL can express them, SQL.
 MODULES = (
     "line_dedup",
+    "suffix_dedup",
     "private_data",
     "fingerprints",
     "quality",

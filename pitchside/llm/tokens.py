@@ -203,13 +203,20 @@ def _by_chunk(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids and the decoded text of each row."""
+    """doc_id, n_tokens, ids, and the SHA-256 of the text that they decode to, of each row."""
 
     def finish(doc_id, ids, texts) -> pa.Table:
         lists = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
-        return pa.table({"doc_id": doc_id, "ids": pa.array(lists, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())})
+        return pa.table(
+            {
+                "doc_id": doc_id,
+                "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
+                "ids": pa.array(lists, pa.list_(pa.int32())),
+                "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()),
+            }
+        )
 
-    return _by_chunk(docs, path or vocabulary_path(), "doc_id long, ids array<int>, decoded string", finish)
+    return _by_chunk(docs, path or vocabulary_path(), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", finish)
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:
