@@ -1,12 +1,14 @@
 """Links between similar documents: candidates by bands, exact verification, classes.
 
 Within a band's bucket every document is compared with the least one (a star, as many pairs as
-members). Members that this leaves in different classes are then compared with each other wherever
-their signatures leave it open, so no link within a bucket is lost and no bucket is capped.
+members). Where documents that share buckets are then still in different classes, those outside the
+largest class are compared with all the others, so no link is lost and no bucket is capped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,11 @@ from pyspark.sql import functions as F
 
 from pitchside.llm.common import cut, lookup, map_arrow, pieces, shingle_hashes
 
+#: Documents of a block, about.
+BLOCK_ROWS = 1_000
+#: Size of a bitmap of ids.
+BITMAP_BITS = 2**26
+
 
 def star_pairs(bands: DataFrame) -> DataFrame:
     """a, b of bands (id, key): each member of a bucket with its least, once."""
@@ -97,21 +104,86 @@ def components(links: DataFrame) -> DataFrame:
             return label.select(F.col("u").alias("id"), "c")
 
 
-def open_pairs(bands: DataFrame, label: DataFrame, signed: DataFrame, tested: DataFrame, similarity: float, least_equal: int) -> DataFrame:
-    """a, b of one bucket that are in different classes, not tested yet, and may be similar.
+def missing_links(label: DataFrame, candidates: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between the classes of label among documents that share buckets.
 
-    signed: id, n (distinct shingles) and sig. Sizes bound the likeness; signatures with fewer than
-    least_equal equal parts leave no likely chance of it.
+    candidates: components of all tested pairs. Where one holds several classes, the documents
+    outside its largest class are compared with all of it, BLOCK_ROWS at a time, by their whole
+    shingle sets; what comes back is one link for each document and class. Only those documents
+    are copied, once for each block.
     """
-    named = bands.join(label.hint("shuffle_merge"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("key", "m")
-    rows = cut(lookup(named, cut(mixed), "key", "m").join(signed.hint("shuffle_merge"), "id"))
-    x, y = rows.alias("x"), rows.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    equal = F.expr("size(filter(zip_with(x.sig, y.sig, (p, q) -> p = q), e -> e))")
-    found = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (small >= similarity * large) & (equal >= least_equal))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
+    both = cut(
+        candidates.select("id", F.col("c").alias("g")).join(label.hint("shuffle_merge"), "id", "left").select("id", "g", F.coalesce("c", "id").alias("c"))
+    )
+    mixed = cut(
+        both.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
+        .groupBy("g")
+        .agg(F.sum("m").alias("n"), F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("classes"))
+        .where("classes > 1")
+        .select("g", "n", "main", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     )
-    return found.join(tested, ["a", "b"], "left_anti")
+    rows = lookup(both, mixed, "g", "n").join(grams.hint("shuffle_merge"), "id")
+    members = rows.select("g", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "id", "c", "grams")
+    asks = rows.where("c <> main").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "c", "grams")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, own, flat = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for g, block, kind, i, c, grams_ in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (g, block) != place:
+                    place, own, flat = (g, block), [], None
+                if kind == 0:
+                    own.append((i, c, np.frombuffer(grams_, np.uint64)))
+                elif own:
+                    if flat is None:
+                        flat = np.concatenate([x[2] for x in own])
+                        size = np.array([len(x[2]) for x in own])
+                        begin = np.cumsum(size) - size
+                        ids, classes = np.array([x[0] for x in own]), np.array([x[1] for x in own])
+                    mine = np.frombuffer(grams_, np.uint64)
+                    near = np.flatnonzero((classes != c) & (np.minimum(size, len(mine)) >= similarity * np.maximum(size, len(mine))))
+                    if not len(near):
+                        continue
+                    found = np.searchsorted(mine, flat)
+                    common = np.add.reduceat(mine[np.minimum(found, len(mine) - 1)] == flat, begin)[near]
+                    alike = near[common >= similarity * (size[near] + len(mine) - common)]
+                    _, first = np.unique(classes[alike], return_index=True)
+                    a += [i] * len(first)
+                    b += ids[alike[first]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return (
+        members.unionByName(asks)
+        .repartition("g", "block")
+        .sortWithinPartitions("g", "block", "kind")
+        .mapInArrow(compare, "a long, b long")
+    )
+
+
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashes of ids, BITMAP_BITS long: what it lacks is not among them."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((BITMAP_BITS // 32_768 + 2, 4_096), np.uint8)
+    for row in rows.toLocalIterator():
+        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and shingle hashes of (at least) the ids of docs (id, text); no text is shuffled.
+
+    The bitmap's size is fixed; beyond it more documents pass and are computed for nothing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    placed = docs.select("id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            keep = (shared.value[bucket, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+
+    return shingle_sets(placed.mapInArrow(run, "id long, text string"))
