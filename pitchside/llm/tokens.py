@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from pitchside.llm.common import map_arrow, pieces, table
 
 #: Code points of text that a chunk holds, about: what one task keeps in memory.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000
 #: Bytes of text whose distinct words one partition of the word table holds, about.
-WORDS_BYTES = 32_000_000
+WORDS_BYTES = 16_000_000
 #: Controls that Python's split() takes for white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -190,14 +190,14 @@ def _by_chunk(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
         ids: dict[str, bytes] = {}
         for p, ws in _chunk_words(texts, parts).items():
             ids.update(zip(ws, _unpack_ids(blobs[p], len(ws)), strict=True))
-        got_ids = [b"".join(map(ids.__getitem__, words(t))) for t in texts]
-        ids.clear()
-        decoded: list[str] = []
+        out = []
         for a, b in pieces(texts, CHUNK_CHARS // 8):
-            n = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got_ids[a:b]])]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(got_ids[a:b]), "<u4").astype(np.int32))
-            decoded += decode_ids(pa.ListArray.from_arrays(n, flat), shared.value).to_pylist()
-        return finish(rows.column("doc_id"), got_ids, decoded)
+            got = [b"".join(map(ids.__getitem__, words(t))) for t in texts[a:b]]
+            n = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32))
+            decoded = decode_ids(pa.ListArray.from_arrays(n, flat), shared.value).to_pylist()
+            out.append(finish(rows.column("doc_id").slice(a, b - a), got, decoded))
+        return pa.concat_tables(out)
 
     return dealt.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(put_together, schema)
 
