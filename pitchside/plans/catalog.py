@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and SQL.
-MODULES = ("prices", "bets", "teams")
+MODULES = ("prices", "bets", "teams", "names", "models")
 
 
 def _all(what: str) -> dict:
