@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and SQL.
-MODULES = ("prices", "bets", "teams", "names", "models")
+MODULES = ("prices", "bets", "teams", "names", "models", "quality")
 
 
 def _all(what: str) -> dict:
@@ -27,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Latest prices before the start, their value, and the best of them."""
+    return queries()["top_01_by_ev"](spark, sf_dir)
