@@ -159,7 +159,7 @@ def shingle_hashes(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.
     return mix(h), offsets
 
 
-def pieces(texts: list[str | None], size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about size code points together, so that a task's memory stays flat."""
     begin, n = 0, 0
     for i, t in enumerate(texts):
