@@ -42,7 +42,7 @@ WIDTH = 50
 GRAM = 16
 #: Code points of text of a chunk, about, and bytes of text for each partition of hashes.
 CHUNK_CHARS = 8_000_000
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
 HOT_CHUNKS = 1_000
 _PLACES = WIDTH - GRAM + 1
 
@@ -307,7 +307,7 @@ def removed(docs: DataFrame, schema: str, finish, hot_chunks: int = HOT_CHUNKS)
     docs: id and text, then columns that only travel along.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(max(1, -(-size // PART_BYTES), min(48, -(-size // 1_000_000))))
+    parts = int(max(1, -(-size // PART_BYTES), min(16, -(-size // 1_000_000))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
