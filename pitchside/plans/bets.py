@@ -140,13 +140,13 @@ def agg_06_model_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("degraded", (F.col("n_bets") >= 50) & ((F.col("brier") > 0.22) | (F.col("roi") < -5)))
 
 
-_RECENT = [F.desc("placed_at"), *[F.desc(c) for c in ("match_id", "part", "book", "line", "stake_c", "odds_h")]]
+_RECENT = ["placed_at", "match_id", "part", "book", "line", "stake_c", "odds_h"]
 
 
 def agg_12_last50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brier and return of the last 50 settled bets of each model."""
     done = bets(spark, sf_dir).where("status in ('WON', 'LOST')").withColumn("pnl", pnl_cents())
-    last = keyed.last_n(done, ["model"], _RECENT, 50)
+    last = keyed.last_n(done, ["model"], [F.desc(c) for c in _RECENT], 50)
     return last.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(PR.brier(F.col("p"), F.col("status") == "WON")), 6).alias("brier"), F.round(F.sum("pnl") * 100 / F.sum("stake_c"), 2).alias("roi")
     ).where("n = 50")

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.functions import cleaning as C
 from pitchside.plans.adapters import MATCHES, matches, table
 
 #: A generated mess: what a CSV cell may hold, by part key.
-_CELL = F.element_at(
-    F.array(*[F.lit(x) for x in (" 12 ", "3.75", "", "n/a", "-4.9", "1e3", "+7", "NaN", "Infinity", "12abc")]),
-    (F.col("p_partkey") % 10 + 1).cast("int"),
-)
+_CELLS = (" 12 ", "3.75", "", "n/a", "-4.9", "1e3", "+7", "NaN", "Infinity", "12abc")
 CELL = "[' 12 ', '3.75', '', 'n/a', '-4.9', '1e3', '+7', 'NaN', 'Infinity', '12abc'][p_partkey % 10 + 1]"
 
 
+def _one_of(values: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+
+
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part")
 
 
 def prj_01_safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-01, PRJ-02: integers and numbers of cells, with defaults."""
-    return _part(spark, sf_dir).select("p_partkey", C.safe_int(_CELL).alias("as_int"), F.coalesce(C.safe_float(_CELL), F.lit(-1.0)).alias("as_float"))
+    cell = _one_of(_CELLS)
+    return _part(spark, sf_dir).select("p_partkey", C.safe_int(cell).alias("as_int"), F.coalesce(C.safe_float(cell), F.lit(-1.0)).alias("as_float"))
 
 
 def prj_03_scraped_number(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,16 +52,13 @@ def prj_16_set_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select("p_partkey", s["won"].alias("won"), s["lost"].alias("lost"))
 
 
-_SELECTION = F.element_at(
-    F.array(*[F.lit(x) for x in ("Over 2.50", "1", "x", "2", "Home Win", "under 3.00", "away", "H", "over-2.5", "Over 2.05")]),
-    (F.col("p_partkey") % 10 + 1).cast("int"),
-)
+_SELECTIONS = ("Over 2.50", "1", "x", "2", "Home Win", "under 3.00", "away", "H", "over-2.5", "Over 2.05")
 SELECTION = "['Over 2.50', '1', 'x', '2', 'Home Win', 'under 3.00', 'away', 'H', 'over-2.5', 'Over 2.05'][p_partkey % 10 + 1]"
 
 
 def prj_25_canonical_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selections in one spelling, with direction and line (PRJ-25, PRJ-26)."""
-    c = C.canonical_selection(_SELECTION)
+    c = C.canonical_selection(_one_of(_SELECTIONS))
     d = C.direction_and_line(c)
     return _part(spark, sf_dir).select("p_partkey", c.alias("selection"), d["direction"].alias("direction"), F.coalesce(d["line"], F.lit(-1.0)).alias("line"))
 
@@ -87,7 +86,7 @@ def prj_29_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PHRASES = ["knee injury", "ruled out", "suspended", "illness", "no news"]
-PATTERNS = ["knee injur(?:y|ies)", "ruled out", "suspended", "ill(?:ness)?\\b"]
+PATTERNS = ["knee injur(?:y|ies)", "ruled out", "suspended", "illness(?:es)?"]
 
 
 def flt_15_risk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def join_08_rest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("match_id", "home", F.coalesce(H.rest_days(m, "home", "day"), F.lit(7)).cast("long").alias("rest_days"))
 
 
-_EVENT_ORDER = [F.col("ts"), F.col("event_id")]
+_EVENT_ORDER = ["ts", "event_id"]
 
 
 def win_01_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
