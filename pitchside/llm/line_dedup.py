@@ -141,7 +141,7 @@ def repeated_filter(docs: DataFrame, bits: int) -> np.ndarray:
         .applyInPandas(_merge, "segment long, twice binary")
     )
     out = np.zeros(bits // 8, np.uint8).reshape(-1, _SEGMENT)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # as large as one filter at most
         out[row["segment"]] = np.frombuffer(zstandard.decompress(row["twice"]), np.uint8)
     return out.ravel()
 

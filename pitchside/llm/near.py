@@ -166,7 +166,7 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
     slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
     rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     out = np.zeros((BITMAP_BITS // 32_768 + 2, 4_096), np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # as large as one bitmap
         out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return out
 
