@@ -68,3 +68,22 @@ def test_odds_events(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps(event) + "\n{broken\n")
     got = readers.odds_events(spark, tmp_path.as_uri()).where(F.col("market") == "h2h").collect()
     assert sorted((r["selection"], r["odds"]) for r in got) == [("draw", 3.5), ("home", 1.9)]
+
+
+def test_sheets(spark, tmp_path):
+    import zipfile
+
+    from pitchside.sources import sheets
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = f"<sst {ns}><si><t>Winner</t></si><si><t>Loser</t></si><si><t>Date</t></si><si><r><t>Fede</t></r><r><t>rer</t></r></si></sst>"
+    sheet = f"""<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="s"><v>2</v></c></row>
+<row><c r="A2" t="s"><v>3</v></c><c r="B2" t="inlineStr"><is><t>Nadal</t></is></c><c r="C2"><v>45000</v></c><c r="E2"><v>1.5</v></c></row><row><c r="A3" t="s"><v>3</v></c></row></sheetData></worksheet>"""
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", shared)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    (tmp_path / "b.xlsx").write_bytes(b"no archive")
+    rows = sheets.xlsx_rows(spark, tmp_path.as_uri())
+    assert rows.count() == 2
+    got = sheets.tennis_sheets(rows).collect()
+    assert [(r["source_file"], dict(r["cells"])) for r in got] == [("a.xlsx", {"Winner": "Federer", "Loser": "Nadal", "Date": "45000", "col_3": "", "col_4": "1.5"})]
