@@ -127,3 +127,21 @@ def live_normal(p: Column, diff: Column, left: Column, total: float, sd: float)
 
 def brier(p: Column, hit: Column) -> Column:
     return F.pow(p - hit.cast("double"), 2)
+
+
+def first_known(*columns: Column, default: float) -> Column:
+    """The first number that is there and not 0, else the default."""
+    return F.coalesce(*[F.nullif(c, F.lit(0.0)) for c in columns], F.lit(default))
+
+
+def football_live(home: Column, away: Column, minute: Column, rate_h: Column, rate_a: Column) -> Column:
+    """Probability that the home side wins from a score, a minute and the rates of 90 minutes."""
+    left = F.greatest(F.lit(0.0), 90 - minute) / 90
+    h = F.array(*[poisson(k, F.greatest(rate_h * left, F.lit(0.01))) for k in range(GOALS + 1)])
+    a = F.array(*[poisson(k, F.greatest(rate_a * left, F.lit(0.01))) for k in range(GOALS + 1)])
+    lead = home - away
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    below = lambda n: total(F.transform(a, lambda q, j: F.when(j < n, q).otherwise(F.lit(0.0))))
+    win = total(F.transform(h, lambda p, i: p * below(i + lead)))
+    p = F.when(left <= 0, (home > away).cast("double")).otherwise(win)
+    return F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))

@@ -54,6 +54,22 @@ def mth_11_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("a", "b", F.round(P.live_normal(F.lit(0.55), (F.col("b") - 10).cast("double"), left, 48.0, 12.0), 6).alias("home"))
 
 
+def mth_09_football_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, sf_dir).select("a", "b", F.round(P.football_live((a % 4).cast("int"), (b % 3).cast("int"), ((a * 7 + b * 5) % 95).cast("double"), F.col("rh"), F.col("ra")), 6).alias("home"))
+
+
+def mth_16_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring rates from the first number known, zero counting as missing, and how sure they are."""
+    k = F.col("p_partkey")
+    n = lambda m, r: F.when(k % m != r, (k % m).cast("double") / 10)
+    played = k % 30
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.round(P.first_known(n(3, 1), n(5, 2), n(7, 3), default=1.35), 6).alias("home_rate"), F.round(P.first_known(n(4, 1), n(2, 1), default=1.10), 6).alias("away_rate"),
+        F.when(played >= 20, "high").when(played >= 5, "medium").otherwise("low").alias("confidence"),
+    )
+
+
 def _phi(z: str) -> str:
     z = f"(least(greatest({z}, -8.0::DOUBLE), 8.0::DOUBLE))"
     term = f"exp((2 * n + 1) * ln(abs({z})) + n * ln(2.0::DOUBLE) + lgamma(n + 1.0::DOUBLE) - lgamma(2.0::DOUBLE * n + 2))"
@@ -75,6 +91,8 @@ QUERIES = {
     "mth_11_normal": mth_11_normal,
     "mth_11_live": mth_11_live,
     "mth_17_ml_total": mth_17_ml_total,
+    "mth_09_football_live": mth_09_football_live,
+    "mth_16_parameters": mth_16_parameters,
 }
 SQL = {
     "mth_07_dixon_coles": f"WITH {_CELLS} SELECT a, b, round(sum(m) FILTER (i > j) / sum(m), 6) AS home, round(sum(m) FILTER (i = j) / sum(m), 6) AS draw, round(sum(m) FILTER (i < j) / sum(m), 6) AS away FROM cells GROUP BY a, b",
@@ -90,4 +108,12 @@ SELECT a, b, round({_phi("((hp - ap + 3) / 12)")}, 6) AS home, round(1 - {_phi("
 SELECT a, b, round(CASE WHEN left_ <= 0 THEN CASE WHEN diff > 0 THEN 1.0::DOUBLE WHEN diff < 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END
   ELSE {_phi("((diff + 0.05::DOUBLE * 24 * left_ / 48) / (12 * sqrt(greatest(left_, 0.001) / 48)))")} END, 6) AS home FROM t""",
     "mth_17_ml_total": f"WITH {PAIRS} SELECT a, b, round(1 - {_phi('((2.5 - (rh + ra + 1)) / greatest(0.15::DOUBLE * (rh + ra + 1), 1.0))')}, 6) AS over FROM pairs",
+    "mth_09_football_live": f"""WITH {PAIRS}, t AS (SELECT a, b, a % 4 AS h, b % 3 AS w, greatest(0.0::DOUBLE, 90 - (a * 7 + b * 5) % 95) / 90 AS left_, rh, ra FROM pairs),
+r AS (SELECT *, greatest(rh * left_, 0.01) AS lh, greatest(ra * left_, 0.01) AS la FROM t),
+c AS (SELECT a, b, h, w, left_, sum({_pmf("i", "lh")} * {_pmf("j", "la")}) FILTER (h + i > w + j) AS win FROM r, range(0, 11) x(i), range(0, 11) y(j) GROUP BY ALL)
+SELECT a, b, round(least(greatest(CASE WHEN left_ <= 0 THEN (h > w)::INT::DOUBLE ELSE win END, 1e-6), 1 - 1e-6), 6) AS home FROM c""",
+    "mth_16_parameters": """WITH n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 <> 1 THEN (p_partkey % 3)::DOUBLE / 10 END AS a, CASE WHEN p_partkey % 5 <> 2 THEN (p_partkey % 5)::DOUBLE / 10 END AS b,
+  CASE WHEN p_partkey % 7 <> 3 THEN (p_partkey % 7)::DOUBLE / 10 END AS c, CASE WHEN p_partkey % 4 <> 1 THEN (p_partkey % 4)::DOUBLE / 10 END AS d, CASE WHEN p_partkey % 2 <> 1 THEN (p_partkey % 2)::DOUBLE / 10 END AS e FROM part)
+SELECT k AS p_partkey, round(coalesce(nullif(a, 0), nullif(b, 0), nullif(c, 0), 1.35), 6) AS home_rate, round(coalesce(nullif(d, 0), nullif(e, 0), 1.10), 6) AS away_rate,
+  CASE WHEN k % 30 >= 20 THEN 'high' WHEN k % 30 >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM n""",
 }
