@@ -101,6 +101,21 @@ def near_pairs(df: DataFrame, keys: list[str], time: str, tie: str, minutes: int
     return x.join(y, [*keys, "bin"]).where(later & (F.col("sb") - F.col("sa") <= limit)).select(*keys, "a", "b")
 
 
+def placed(df: DataFrame, day: Column, tie: str) -> DataFrame:
+    """df with day_, position_ (0-based, by day and tie) and n_ (all rows).
+
+    Places come from the counts of days, a small table, and a window within each day, so no task
+    sorts all rows.
+    """
+    rows = df.withColumn("day_", day)
+    days = rows.groupBy("day_").agg(F.count(F.lit(1)).alias("here_"))
+    upto = Window.orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("day_").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = days.select("day_", F.coalesce(F.sum("here_").over(upto), F.lit(0)).alias("before_"), F.sum("here_").over(whole).alias("n_"))
+    within = F.row_number().over(Window.partitionBy("day_").orderBy(tie)) - 1
+    return rows.withColumn("within_", within).join(starts, "day_").withColumn("position_", F.col("before_") + F.col("within_")).drop("before_", "within_")
+
+
 def fold_of(n: Column, k: int, position: Column) -> Column:
     """Test fold of a row by its 0-based position among n rows (null: training only)."""
     size = F.floor(n / (k + 1))

@@ -7,10 +7,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.operators.histories import fold_of
+from pitchside.operators.histories import fold_of, placed
 
 
 def features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,17 +38,16 @@ def multiclass_brier(p: Column, label: Column) -> Column:
     return F.aggregate(F.transform(p, lambda x, i: F.pow(x - (i == label).cast("double"), 2)), F.lit(0.0), lambda a, x: a + x)
 
 
-def walk_forward(df: DataFrame, columns: list[str], order: list[str], folds: int = 3, label: str = "label") -> DataFrame:
+def walk_forward(df: DataFrame, columns: list[str], day: Column, tie: str, folds: int = 3, label: str = "label") -> DataFrame:
     """fold, n_train, n_test, brier and accuracy: each fold is tested on a model of all rows before it.
 
-    One model is fitted for each fold; the rows stay in Spark. Rows are placed by a window over a
-    few columns, which suits training sets; larger ones should be placed by days first.
+    One model is fitted for each fold; the rows stay in Spark.
     """
-    n = df.count()
-    placed = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_fold", fold_of(F.lit(n), folds, F.col("_i"))).cache()
+    rows = placed(df, day, tie)
+    rows = rows.withColumn("fold_", fold_of(F.col("n_"), folds, F.col("position_"))).cache()
     out = None
     for k in range(1, folds + 1):
-        train, test = placed.where(F.coalesce("_fold", F.lit(0)) < k), placed.where(F.col("_fold") == k)
+        train, test = rows.where(F.coalesce("fold_", F.lit(0)) < k), rows.where(F.col("fold_") == k)
         got = predicted(classifier(train, columns, label), test, columns)
         row = got.agg(F.count(F.lit(1)).alias("n_test"), F.round(F.avg(multiclass_brier(F.col("p"), F.col(label))), 4).alias("brier"), F.round(F.avg((F.col("prediction") == F.col(label)).cast("double")), 4).alias("accuracy"))
         row = row.select(F.lit(k).alias("fold"), F.lit(train.count()).cast("long").alias("n_train"), "n_test", "brier", "accuracy")

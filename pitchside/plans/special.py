@@ -58,7 +58,7 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml_05_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold metrics of the outcome classifier (ML-01, ML-03, ML-05, WIN-13)."""
-    return L.walk_forward(_training(spark, sf_dir), _COLUMNS, ["scheduled_at", "match_id"], 3)
+    return L.walk_forward(_training(spark, sf_dir), _COLUMNS, F.to_date("scheduled_at"), "match_id", 3)
 
 
 def ml_06_inference(spark: SparkSession, sf_dir: str) -> DataFrame:

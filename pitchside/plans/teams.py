@@ -102,20 +102,11 @@ def join_13_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_13_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and dates of five walk-forward folds over matches by day (WIN-13, AGG-26).
-
-    Places come from counts of days, so no task sorts all rows.
-    """
-    m = matches(spark, sf_dir).select("match_id", F.to_date("scheduled_at").alias("day"))
-    days = m.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    total = days.agg(F.sum("n").alias("total"))
-    placed = days.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(F.broadcast(total))
-    within = Window.partitionBy("day").orderBy("match_id")
-    rows = m.withColumn("i", F.row_number().over(within) - 1).join(F.broadcast(placed), "day")
-    fold = H.fold_of(F.col("total"), 5, F.col("before") + F.col("i"))
+    """Sizes and dates of five walk-forward folds over matches by day (WIN-13, AGG-26)."""
+    rows = H.placed(matches(spark, sf_dir).select("match_id", "scheduled_at"), F.to_date("scheduled_at"), "match_id")
+    fold = H.fold_of(F.col("n_"), 5, F.col("position_"))
     return rows.withColumn("fold", fold).where("fold is not null").groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n_test"), F.min("day").cast("timestamp_ntz").alias("first_day"), F.max("day").cast("timestamp_ntz").alias("last_day")
+        F.count(F.lit(1)).alias("n_test"), F.min("day_").cast("timestamp_ntz").alias("first_day"), F.max("day_").cast("timestamp_ntz").alias("last_day")
     )
 
 
