@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Python workers are used again and again: large buffers should go back to the system when freed.
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+except (OSError, AttributeError):  # another C library
+    pass
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: A null doc_id takes part as this id, the smallest there is.
 NULL_ID = -(2**63)
 #: Spaces of the contracts: blank and the controls 09 to 0D.
@@ -53,15 +63,23 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about size bytes, as Python objects take several times their room."""
+    step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def map_arrow(
     df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one batch of about 4 MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
+            for part in slices(batch):
+                if (out := f(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -37,6 +37,7 @@ from pitchside.llm.common import (
     map_arrow,
     mix,
     pieces,
+    slices,
     table,
 )
 
@@ -119,9 +120,8 @@ def repeated_filter(docs: DataFrame, bits: int) -> np.ndarray:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = TwoFilters(bits)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in pieces(texts):
-                keys = [k for t in texts[a:b] for k in {*line_keys(t)} if k is not None]
+            for part in slices(batch):
+                keys = [k for t in part.column(0).to_pylist() for k in {*line_keys(t)} if k is not None]
                 filters.add(_hashed(keys))
         segment = min(_SEGMENT, bits // 8)
         once, twice = filters.once.reshape(-1, segment), filters.twice.reshape(-1, segment)
