@@ -172,9 +172,9 @@ def missing_links(label: DataFrame, candidates: DataFrame, grams: DataFrame, sim
     )
 
 
-def bitmap_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashes of ids, BITMAP_BITS long: what it lacks is not among them."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+def bitmap_of(ids: DataFrame, by: list[str]) -> np.ndarray:
+    """A bitmap of hashes of the columns by, BITMAP_BITS long: what it lacks is not among them."""
+    slot = F.pmod(F.xxhash64(*by), F.lit(BITMAP_BITS))
     rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     out = np.zeros((BITMAP_BITS // 32_768 + 2, 4_096), np.uint8)
     for row in rows.collect():  # as large as one bitmap
@@ -182,13 +182,14 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and shingle hashes of (at least) the ids of docs (id, text); no text is shuffled.
+def sets_of(docs: DataFrame, ids: DataFrame, by: list[str]) -> DataFrame:
+    """id and shingle hashes of (at least) the rows of docs (id, text and by) whose columns by are in ids.
 
-    The bitmap's size is fixed; beyond it more documents pass and are computed for nothing.
+    No text is shuffled. The bitmap's size is fixed; beyond it more documents pass and are computed
+    for nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids))
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, by))
+    slot = F.pmod(F.xxhash64(*by), F.lit(BITMAP_BITS))
     placed = docs.select("id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -184,3 +184,16 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["c"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_rows_of_one_id_are_as_alike_as_their_texts(spark, tmp_path):
+    """Ids that are null or repeated: unrelated texts stay, near copies of any of them are found."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(80))
+    rows = [(None, text(x)) for x in "abcde"] + [(7, text(x)) for x in "fghij"]
+    rows += [(20 + n, text(x) + " more") for n, x in enumerate("abcdefghij")]
+    path = tmp_path.as_uri() + "/ids"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert sorted(r["text"] for r in prob_minhash.drop_near_duplicates(docs).collect()) == sorted(t for _, t in rows[:10])
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(docs).collect()}
+    assert got == {None: None, 7: 7} | {20 + n: None if n < 5 else 7 for n in range(10)}
