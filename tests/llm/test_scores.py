@@ -198,3 +198,21 @@ def test_neighbours_recall_and_edges(spark):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert permutation_index.search(none, lambda i: i % 50 == 0).count() == 0
+
+
+def test_licenses_as_files_hold_them(spark):
+    """Hyphens in names, line-wrapped texts behind comment marks, the usual Apache header."""
+    s = licenses.SENTENCES
+    wrapped = lambda x, mark="": "\n".join(mark + " ".join(x.split()[i : i + 11]) for i in range(0, len(x.split()), 11))
+    cases = {
+        1: ("Released under CC-BY-4.0.", "CC-BY-4.0"),
+        2: ("Available under CC-BY-SA 4.0.", "CC-BY-SA-4.0"),
+        3: ("MIT\n\n" + ".\n\n".join(wrapped(s[k], " * ") for k in ("mit-grant", "mit-notice", "as-is")), "MIT"),
+        4: ("Copyright X\n" + ":\n1. ".join(wrapped(s[k]) for k in ("bsd-grant", "bsd-source", "bsd-binary")), "BSD-2-Clause"),
+        5: ('# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except\n# in compliance with the License.', "Apache-2.0"),
+        6: ("// This program is free software; you can redistribute it and/or modify\n//" + wrapped(s["gpl2-free"].split(" or modify ")[1], "// "), "GPL-2.0-or-later"),
+        7: ("This work is\nlicensed under the MIT License", "MIT"),
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")).collect()}
+    assert {i: r["licenses"] for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
+    assert got[5]["sentence_ids"] == "name:Apache-2.0,apache-use" and got[7]["n_known"] == 1
