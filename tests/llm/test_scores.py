@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pitchside.llm import fingerprints, licenses, permutation_index, private_data, quality
-from pitchside.llm.near import jaccard
+from pitchside.llm.near import components, jaccard
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -216,3 +216,13 @@ def test_licenses_as_files_hold_them(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")).collect()}
     assert {i: r["licenses"] for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
     assert got[5]["sentence_ids"] == "name:Apache-2.0,apache-use" and got[7]["n_known"] == 1
+
+
+def test_links_that_the_least_of_a_bucket_lacks(spark, tmp_path):
+    """A chain: each text is close to the next only, all share buckets."""
+    chain = [(i, " ".join(f"t{j}" for j in range(3 * i, 3 * i + 60))) for i in range(25)]
+    path = tmp_path.as_uri() + "/chain"
+    spark.createDataFrame(chain, "doc_id long, text string").write.parquet(path)
+    found = fingerprints.similar_pairs(spark.read.parquet(path)).collect()
+    assert {r["c"] for r in components(spark.createDataFrame([(r["a"], r["b"]) for r in found], "a long, b long")).collect()} == {0}
+    assert len({i for r in found for i in (r["a"], r["b"])}) == 25
