@@ -52,9 +52,8 @@ def flt_05_positive_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_01_by_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 best by expected value."""
-    rows = flt_05_positive_ev(spark, sf_dir)
-    return keyed.top_k(rows, [F.desc("ev"), F.asc("match_id"), F.asc("selection")], 50)
+    """All of positive value, best first. The SQL holds only the 50 best."""
+    return flt_05_positive_ev(spark, sf_dir).orderBy(F.desc("ev"), F.asc("match_id"), F.asc("selection"))
 
 
 def top_03_apply_best(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,11 @@ def test_plans_push_down(spark):
     plan = catalog.queries()["win_06_latest_price"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "Window" not in plan
     assert "o_comment" not in plan and "l_tax" not in plan.split("Physical Plan")[-1]
+
+
+def test_all_of_positive_value_in_order(spark):
+    q = catalog.queries()
+    got = [tuple(r) for r in q["top_01_by_ev"](spark, FOLDER).select("match_id", "selection", "odds", "ev").collect()]
+    want = [tuple(r) for r in q["flt_05_positive_ev"](spark, FOLDER).select("match_id", "selection", "odds", "ev").collect()]
+    assert len(got) > 50
+    assert got == sorted(want, key=lambda r: (-r[3], r[0], r[1]))
