@@ -51,7 +51,11 @@ _COLUMNS = ["total_k", "month", "rival"]
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir).where("home_score is not null")
+    return _matches(spark, sf_dir).where("goals is not null")
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matches(spark, sf_dir)
     outcome = F.when(F.col("home_score") > F.col("away_score"), 0).when(F.col("home_score") == F.col("away_score"), 1).otherwise(2)
     return m.select("match_id", "scheduled_at", (F.col("total") / 1000).alias("total_k"), F.month("scheduled_at").cast("double").alias("month"), F.col("away").cast("double").alias("rival"), outcome.cast("double").alias("label"), (F.col("home_score") + F.col("away_score")).cast("double").alias("goals"))
 
@@ -63,8 +67,8 @@ def ml_05_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml_06_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome probabilities and goals of every match (ML-04, ML-06)."""
-    t = _training(spark, sf_dir)
-    early = t.where("scheduled_at < timestamp_ntz'1996-01-01'")
+    t = _matches(spark, sf_dir)
+    early = _training(spark, sf_dir).where("scheduled_at < timestamp_ntz'1996-01-01'")
     p = L.predicted(L.classifier(early, _COLUMNS), t, _COLUMNS).select("match_id", *[F.round(F.col("p")[i], 4).alias(f"p{i}") for i in range(3)])
     g = L.predicted(L.regressor(early.withColumn("label", F.col("goals")), _COLUMNS, trees=5), t, _COLUMNS).select("match_id", F.round("prediction", 4).alias("goals"))
     return p.join(g, "match_id")

@@ -74,3 +74,16 @@ def test_html_tables(spark):
     got = spark.createDataFrame([(page,), (None,)], "h string").select(M.html_tables(F.col("h")).alias("t")).collect()
     assert got[0]["t"] == [[["Squad", "xG"], ["A B", "1.2"]]]
     assert got[1]["t"] == []
+
+
+def test_inference_covers_matches_without_a_score(spark, tmp_path):
+    from datetime import datetime
+
+    from pitchside.plans.special import ml_06_inference
+
+    rows = [(i, i * 7 % 13, datetime(1995 + i % 2, 1 + i % 12, 1), "O", 1000.0 * (i % 9), "1") for i in range(1, 121)]
+    schema = "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    spark.createDataFrame(rows, schema).write.parquet(tmp_path.as_uri() + "/orders.parquet")
+    got = ml_06_inference(spark, tmp_path.as_uri()).collect()
+    assert sorted(r["match_id"] for r in got) == [r[0] for r in rows]
+    assert all(None not in r for r in got)
