@@ -29,7 +29,7 @@ def join_18_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_15_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches and the event of their day with the same teams (JOIN-15, JOIN-16, JOIN-19)."""
+    """Matches and the event of their day with the same teams (JOIN-15 passes 1 to 3, JOIN-19)."""
     first = F.element_at(F.array(*map(F.lit, ("anna", "boris", "carla", "dmitri", "elena"))), (F.col("home") % 5 + 1).cast("int"))
     last = F.concat(F.lit("player"), (F.col("home") % 97).cast("string"))
     rival = F.concat(F.lit("fritz rival"), F.col("away").cast("string"))
