@@ -2,29 +2,33 @@
 
 Sources, in code point order with null last, weigh 3, 1, 2, 3, 1, 2 ... and share RATIO of all
 words; a target stops at REPEATS times its source's words and the excess goes to the others by
-weight. Every source is permuted by the MD5 of its document ids and dealt into blocks by its first
-hexadecimal digits. A target is so many whole epochs of the source and a part of one more: the
-blocks before a cut, found digit by digit (a radix selection: no task ever sees more than a
-bounded share of a source), and in the block of the cut the documents before it.
-
-How many blocks of each source an output shard gets is drawn by a splitting tree: the counts of
-all sources are divided between the halves of the shards by multivariate hypergeometric draws,
-and so on to single shards. A source's blocks, permuted, are then handed out in those counts, so
-they are disjoint, and a shard is put in random order locally.
-
-The driver holds one row for each source (its name, words and counts for each shard), nothing
-that grows with the documents. Reruns agree: every draw depends on ids and SEED only.
-
-Size: runs of characters other than blank and 09 to 0D; null and empty texts have size 0. Rows
-with the same doc_id and source are separate rows with the same place in the permutation. Null ids
-sort as an id of their own. Without any words all targets are 0. Extra columns are kept by mix().
+weight. Every source is permuted by the MD5 of its documents' ids and texts and dealt into blocks
+of about BLOCK_WORDS words by the first hexadecimal digits, as many as its size asks for. A quota
+of a source is so many whole epochs of its blocks and a part of one more, the blocks before a cut.
+
+A splitting tree divides the quotas of all sources between the halves of the output shards by
+multivariate hypergeometric draws, and so on to single shards; the driver draws the top of the
+tree, tasks the subtrees below. A shard draws the places that its counts give it of the permuted
+blocks of each source, so no two shards draw one block copy, and is put in random order locally.
+What the mix takes of a document is what the shards drew of its block; in the block at the cut it is
+the documents before it, found by the next digits.
+
+The driver and one broadcast hold one row for each source (name, words, quota), nothing that grows
+with the documents; TOP_NODES bounds the nodes of the tree there. Reruns agree: every draw depends on
+ids, texts and SEED only.
+
+Size: runs of characters other than blank and 09 to 0D; null and empty texts have size 0. Repeated
+rows are separate rows with one place in the permutation; rows without an id have places by their
+texts. Without any words all targets are 0. Extra columns are kept by mix().
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchside.llm.common import cut, table
@@ -32,10 +36,14 @@ from pitchside.llm.common import cut, table
 WEIGHTS = (3.0, 1.0, 2.0)
 RATIO = 1.5
 REPEATS = 2
-SHARDS = 64
 SEED = 11
-#: Hexadecimal digits of a level of the selection: 4096 blocks for each source.
+#: Words of a block and bytes of text of an output shard, about.
+BLOCK_WORDS = 100_000
+SHARD_BYTES = 64_000_000
+#: Hexadecimal digits that part the documents of a cut block.
 DIGITS = 3
+#: Nodes of the splitting tree that the driver draws.
+TOP_NODES = 256
 
 
 def targets(totals: list[tuple[str | None, int]]) -> list[tuple[str | None, int, float]]:
@@ -53,167 +61,180 @@ def targets(totals: list[tuple[str | None, int]]) -> list[tuple[str | None, int,
     return [(r[0], r[1], t) for r, t in zip(rows, target, strict=True)]
 
 
+def subtrees(quota: np.ndarray, begin: np.ndarray, a: int, b: int, most: int = 1, seed: int = SEED) -> Iterator[tuple]:
+    """The splitting tree over shards a to b, down to nodes of so many shards: a, b, and for each
+    source the blocks of the node and the place where they begin."""
+    if b - a <= most:
+        yield a, b, quota, begin
+        return
+    mid = (a + b) // 2
+    n = int(quota.sum()) * (mid - a) // (b - a)
+    rng = np.random.default_rng([seed, a, b])
+    left = rng.multivariate_hypergeometric(quota, n, method="marginals") if n else np.zeros_like(quota)
+    yield from subtrees(left, begin, a, mid, most, seed)
+    yield from subtrees(quota - left, begin + left, mid, b, most, seed)
+
+
 def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source (rows) for each shard (columns), by the splitting tree."""
-    out = np.zeros((len(quotas), shards), np.int64)
+    """Blocks of each source (rows) for each shard (columns)."""
+    quotas = np.asarray(quotas, np.int64)
+    nodes = list(subtrees(quotas, np.zeros_like(quotas), 0, shards, 1, seed))
+    return np.stack([q for _, _, q, _ in nodes], axis=1)
 
-    def split(q: np.ndarray, a: int, b: int) -> None:
-        if b - a == 1:
-            out[:, a] = q
-            return
-        mid = (a + b) // 2
-        n = int(q.sum()) * (mid - a) // (b - a)
-        rng = np.random.default_rng([seed, a, b])
-        left = rng.multivariate_hypergeometric(q, n, method="marginals") if n else np.zeros_like(q)
-        split(q - left, mid, b)
-        split(left, a, mid)
 
-    split(np.asarray(quotas, np.int64), 0, shards)
-    return out
+def draws(spark: SparkSession, names: list[str], quotas: np.ndarray, shards: int) -> DataFrame:
+    """s, place and shard of every block copy that a shard draws; disjoint, quotas exact."""
+    none = np.zeros_like(quotas)
+    top = [(a, b, q.tolist(), begin.tolist()) for a, b, q, begin in subtrees(quotas, none, 0, shards, -(-shards // TOP_NODES))]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b, quota, begin in pdf.itertuples(index=False):
+                for shard, _, n, at in subtrees(np.array(quota, np.int64), np.array(begin, np.int64), a, b):
+                    of = np.repeat(np.arange(len(n)), n)
+                    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + at[of]
+                    yield pd.DataFrame({"s": np.array(names, object)[of], "place": place, "shard": np.int32(shard)})
 
-def _permuted(doc_id) -> object:
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    nodes = spark.createDataFrame(top if names else [], "a int, b int, quota array<long>, begin array<long>")
+    return nodes.repartition(max(1, min(len(top), 64))).mapInPandas(run, "s string, place long, shard int")
 
 
-def plan(docs: DataFrame, whole: bool = False, shards: int = SHARDS) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, taken, shards.
+def keyed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs with s (the source, never null) and h (the place in its permutation)."""
+    own = F.concat_ws(":", F.lit(SEED), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return docs.withColumn("s", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))).withColumn("h", F.md5(own.cast("binary")))
+
+
+class Mix:
+    """The blocks of all sources and what each shard draws of them.
 
-    taken: words that the mix takes. Where whole is not set, the document at the cut gives just as
-    many of its words as are missing; else it is taken whole if at least half of it is missing.
-    shards: the shard of each copy.
+    sized: doc_id, source, size, s, h of each row. goals: one row for each source: s, source_size,
+    target, full (whole epochs), rest (words of the part of one more), digits (of a block's name).
+    handed: for each block s, d1 and drawn, the (epoch, shard) of its copies; and in the block of the
+    cut also at (the h of the document there), left (words missing there), words and rows of that h.
     """
-    spark = docs.sparkSession
-    h = _permuted(F.col("doc_id"))
-    sized = cut(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        ).select(
-            "*",
-            F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"),
-            h.alias("h"),
-            h.substr(1, DIGITS).alias("d1"),
-            h.substr(DIGITS + 1, DIGITS).alias("d2"),
+
+    def __init__(self, docs: DataFrame, shards: int | None = None):
+        spark = docs.sparkSession
+        size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+        self.sized = cut(
+            keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
+            .select("doc_id", "source", size.alias("size"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "s", "h")
         )
-    )
-    first = cut(sized.groupBy("s", "d1").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
-    totals = {
-        r["s"]: (int(r["words"]), r["blocks"])
-        for r in first.groupBy("s").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("blocks")).collect()
-    }
-    name = lambda s: s[1:] if s else None
-    rows = []
-    for source, words, target in targets([(name(s), w) for s, (w, _) in totals.items()]):
-        s = "" if source is None else "=" + source
-        goal = int(np.floor(target + 0.5))
-        full = min(goal // words, REPEATS) if words else 0
-        rows.append((s, words, target, full, goal - full * words))
-    goals = spark.createDataFrame(rows, "s string, source_size long, target double, full int, rest long")
-
-    def cut_off(level: DataFrame, keys: list[str], digit: str, rest: str) -> DataFrame:
-        """What is still missing before each block of a level."""
-        before = Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
-        return level.withColumn("missing", F.col(rest) - F.coalesce(F.sum("words").over(before), F.lit(0)))
-
-    blocks = cut(
-        cut_off(first.join(goals, "s"), ["s"], "d1", "rest")
-        .withColumn("open", (F.col("missing") > 0) & (F.col("missing") < F.col("words")))
-    )
-    # blocks of the last, partial epoch, and their places among all blocks of their source
-    part = F.col("missing") > 0
-    n_part = blocks.where(part).groupBy("s").count().collect()
-    n_part = {r["s"]: r["count"] for r in n_part}
-    order = [r[0] for r in rows]
-    quotas = np.array([totals[r[0]][1] * r[3] + n_part.get(r[0], 0) for r in rows], np.int64)
-    ends = split_quotas(quotas, shards).cumsum(axis=1) if len(rows) else np.zeros((0, shards))
-    limits = spark.createDataFrame(
-        pd.DataFrame({"s": order, "ends": [[int(x) for x in e] for e in ends]}) if order else [],
-        "s string, ends array<long>",
-    )
-    copies = blocks.select(
-        "s", "d1",
-        F.explode(F.slice(F.array(*[F.lit(e) for e in range(REPEATS + 1)]), 1, F.col("full") + part.cast("int"))).alias("epoch"),
-    )
-    place = Window.partitionBy("s").orderBy(F.xxhash64("s", "d1", "epoch", F.lit(SEED)), "d1", "epoch")
-    dealt = (
-        copies.withColumn("place", F.row_number().over(place) - 1)
-        .join(limits, "s")
-        .select("s", "d1", "epoch", F.expr("size(filter(ends, e -> e <= place))").alias("shard"))
-        .groupBy("s", "d1")
-        .agg(F.expr("transform(array_sort(collect_list(struct(epoch, shard))), x -> x.shard)").alias("shards"))
-    )
-    looked = sized.join(
-        blocks.select("s", "d1", "source_size", "target", "full", "missing", "open").join(dealt, ["s", "d1"], "left"),
-        ["s", "d1"],
-    )
-    closed = looked.where(~F.col("open")).withColumn(
-        "extra", F.when(F.col("missing") > 0, F.col("size")).otherwise(F.lit(0))
-    )
-    inner = looked.where("open")
-    second = cut_off(
-        inner.groupBy("s", "d1", "d2").agg(F.sum("size").alias("words"), F.first("missing").alias("m0")),
-        ["s", "d1"], "d2", "m0",
-    ).select("s", "d1", "d2", F.col("missing").alias("m1"))
-    before = Window.partitionBy("s", "d1", "d2").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    missing = F.col("m1") - F.coalesce(F.sum("size").over(before), F.lit(0))
-    if whole:
-        extra = F.when(2 * F.col("m2") >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-        extra = F.when(F.col("m2") > 0, extra).otherwise(F.lit(0))
-    else:
-        extra = F.least(F.greatest(F.col("m2"), F.lit(0)), F.col("size"))
-    opened = inner.join(second, ["s", "d1", "d2"]).withColumn("m2", missing).withColumn("extra", extra)
-    columns = ["doc_id", "source", "size", "source_size", "target"]
-    both = closed.select(*columns, "full", "extra", "shards", "h").unionByName(
-        opened.select(*columns, "full", "extra", "shards", "h")
-    )
-    n_copies = F.col("full") + (F.col("extra") > 0).cast("int")
-    return both.select(
-        *columns,
-        (F.col("full") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-        F.coalesce(F.slice("shards", 1, n_copies), F.array().cast("array<int>")).alias("shards"),
-    )
+        per_source = self.sized.groupBy("s").agg(F.sum("size").alias("words"), F.sum("bytes").alias("bytes")).collect()
+        totals = {r["s"][1:] if r["s"] else None: int(r["words"]) for r in per_source}
+        volume = RATIO * sum(r["bytes"] for r in per_source)
+        self.shards = shards or max(1, int(-(-volume // SHARD_BYTES)))
+        rows = []
+        for source, words, target in targets(list(totals.items())):
+            goal = int(np.floor(target + 0.5))
+            full = min(goal // words, REPEATS) if words else 0
+            digits = max(1, int(np.ceil(np.log(max(words, 1) / BLOCK_WORDS) / np.log(16))))
+            rows.append(("" if source is None else "=" + source, words, target, full, goal - full * words, digits))
+        self.goals = spark.createDataFrame(rows, "s string, source_size long, target double, full int, rest long, digits int")
+        named = self.in_blocks(self.sized)
+        before = Window.partitionBy("s").orderBy("d1").rowsBetween(Window.unboundedPreceding, -1)
+        missing = F.col("rest") - F.coalesce(F.sum("words").over(before), F.lit(0))
+        blocks = cut(
+            named.groupBy("s", "d1").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("full").alias("full"))
+            .withColumn("missing", missing)
+            .select("s", "d1", "full", "missing", (F.col("missing") > 0).alias("part"), ((F.col("missing") > 0) & (F.col("missing") < F.col("words"))).alias("open"))
+        )
+        counts = {r["s"]: r["n"] for r in blocks.groupBy("s").agg(F.sum(F.col("full") + F.col("part").cast("int")).alias("n")).collect()}
+        names = [r[0] for r in rows]
+        quotas = np.array([counts.get(s, 0) for s in names], np.int64)
+        order = Window.partitionBy("s").orderBy(F.xxhash64("s", "d1", "epoch", F.lit(SEED)), "d1", "epoch")
+        copies = blocks.select(
+            "s", "d1", F.explode(F.slice(F.array(*[F.lit(e) for e in range(REPEATS + 1)]), 1, F.col("full") + F.col("part").cast("int"))).alias("epoch")
+        ).withColumn("place", F.row_number().over(order).cast("long") - 1)
+        drawn = (
+            copies.join(draws(spark, names, quotas, self.shards), ["s", "place"])
+            .groupBy("s", "d1")
+            .agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("drawn"))
+        )
+        self.handed = cut(
+            blocks.join(drawn, ["s", "d1"], "left").join(self._cuts(named, blocks.where("open")), ["s", "d1"], "left").select("s", "d1", "full", "drawn", "at", "left", "words", "rows")
+        )
+
+    def in_blocks(self, rows: DataFrame) -> DataFrame:
+        """rows with the goals of their source and d1, the name of their block."""
+        return rows.join(F.broadcast(self.goals), "s").withColumn("d1", F.expr("substr(h, 1, digits)"))
+
+    def _cuts(self, named: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Where the last epoch ends in the blocks given, at most one a source: s, d1, at, left, words, rows."""
+        inner = named.join(F.broadcast(blocks.select("s", "d1", "missing")), ["s", "d1"])
+        inner = inner.withColumn("d2", F.expr(f"substr(h, digits + 1, {DIGITS})"))
+
+        def at_cut(level: DataFrame, key: str) -> DataFrame:
+            before = F.coalesce(F.sum("words").over(Window.partitionBy("s", "d1").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            return level.withColumn("left", F.col("missing") - before).where("left > 0 and left <= words")
+
+        part = at_cut(inner.groupBy("s", "d1", "d2", "missing").agg(F.sum("size").alias("words")), "d2")
+        deep = inner.drop("missing").join(F.broadcast(part.select("s", "d1", "d2", F.col("left").alias("missing"))), ["s", "d1", "d2"])
+        return at_cut(
+            deep.groupBy("s", "d1", "h", "missing").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "h"
+        ).select("s", "d1", F.col("h").alias("at"), "left", "words", "rows")
 
+    @staticmethod
+    def copies(last: Column) -> Column:
+        """The shards of the copies that a row gets; last: whether its last epoch's copy is one."""
+        drawn = F.filter("drawn", lambda x: (x["epoch"] < F.col("full")) | last)
+        return F.coalesce(F.transform(drawn, lambda x: x["shard"]), F.array().cast("array<int>"))
 
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+
+def plan(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, taken, shards.
+
+    taken: words that the shards drew; the document at the cut gives just as many of its words as are
+    missing. shards: the shard of each copy.
+    """
+    m = Mix(docs, shards)
+    rows = m.in_blocks(m.sized).drop("full").join(m.handed, ["s", "d1"])
+    below = F.col("at").isNull() | (F.col("h") < F.col("at"))
+    plain = rows.where(below | (F.col("h") > F.col("at"))).withColumn("part", F.when(below, F.col("size")).otherwise(F.lit(0)))
+    # rows alike in id and text share the place of the cut: one after the other
+    nth = F.row_number().over(Window.partitionBy("s").orderBy("doc_id")) - 1
+    equal = rows.where("h = at").withColumn("part", F.least(F.greatest(F.col("left") - nth * F.col("size"), F.lit(0)), F.col("size")))
+    both = plain.unionByName(equal).withColumn("shards", m.copies(F.col("part") > 0))
+    words = F.aggregate("drawn", F.lit(0).cast("long"), lambda n, x: n + F.when(x["epoch"] < F.col("full"), F.col("size")).otherwise(F.col("part")))
+    return both.select("doc_id", "source", "size", "source_size", "target", F.coalesce(words, F.lit(0)).alias("taken"), "shards")
+
+
+def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mixed rows: each row of docs as often as the mix takes it, whole, in shuffled shards.
 
-    A shard is one partition at most of the result, in random order. Rows with one id and source
-    count as one document here: all of them get the copies of the most taken.
+    The document at the cut is taken if at least half of its words are missing. A shard is one
+    partition of the result, in random order.
     """
-    chosen = (
-        plan(docs, whole=True, shards=shards)
-        .groupBy("doc_id", "source")
-        .agg(F.max_by("shards", F.size("shards")).alias("shards"))
-        .where(F.size("shards") > 0)
-        .select(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("shards"))
-    )
+    m = Mix(docs, shards)
     names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    i, s = names.index("doc_id"), names.index("source")
-    on = F.col(f"c{i}").cast("long").eqNullSafe(F.col("id")) & F.col(f"c{s}").eqNullSafe(F.col("from"))
+    c = [f"c{i}" for i in range(len(names))]
+    rows = keyed(docs.toDF(*c), *[c[names.index(x)] for x in ("doc_id", "source", "text")])
+    last = F.col("at").isNull() | (F.col("h") < F.col("at")) | ((F.col("h") == F.col("at")) & (2 * F.col("left") >= F.col("words")))
     return (
-        plain.join(chosen.hint("shuffle_hash"), on)
-        .select(*plain.columns, "id", F.posexplode("shards").alias("copy", "shard"))
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", F.xxhash64("id", "copy", F.lit(SEED)))
-        .select(*plain.columns)
+        m.in_blocks(rows)
+        .drop("full")
+        .join(m.handed.where("drawn is not null").hint("shuffle_hash"), ["s", "d1"])
+        .select(*c, "h", F.posexplode(m.copies(last)).alias("copy", "shard"))
+        .repartitionById(m.shards, F.col("shard"))
+        .sortWithinPartitions("shard", F.xxhash64("h", "copy", F.lit(SEED)))
+        .select(*c)
         .toDF(*names)
     )
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shards: the numbers of the shards that drew the document, a number for each copy."""
     return plan(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken"
+        "doc_id", "size", "source_size", "target", "taken", F.array_join("shards", ",").alias("shards")
     )
 
 
 QUERIES = {"op8_mixing": op8}
-SQL = {
-    "op8_mixing": f"""
+#: The sizes, targets and words taken, without the tree: the test's independent account of them.
+CONTRACT_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+  SELECT doc_id, source, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS h,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
   FROM documents),
 totals AS (
@@ -239,5 +260,4 @@ SELECT s.doc_id, s.size, g.words AS source_size, g.target,
   (g.full_copies * s.size + least(greatest(g.goal - g.full_copies * g.words
     - coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), s.size))::BIGINT AS taken
 FROM sized s JOIN cuts g ON s.source IS NOT DISTINCT FROM g.source
-""",
-}
+"""

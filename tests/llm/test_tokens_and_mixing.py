@@ -79,3 +79,46 @@ def test_mix_repeats_whole_rows(docs, no_docs):
     assert not set(n) - set(there)
     assert max(n[r] / there[r] for r in n) == 2
     assert mixing.mix(no_docs).count() == 0
+
+
+def test_op8_against_sql_and_a_plain_tree(spark, tmp_path):
+    """Words by SQL; the copies in each shard by the tree and permutation in plain Python."""
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), f"s{min(i % 7, 3)}" if i % 11 else None) for i in range(700)]
+    rows += [(None, "a null id", "s1"), (3, None, "s2"), rows[5], rows[5]]
+    path = tmp_path.as_uri()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    before = mixing.BLOCK_WORDS, mixing.SHARD_BYTES, mixing.TOP_NODES
+    mixing.BLOCK_WORDS, mixing.SHARD_BYTES, mixing.TOP_NODES = 100, 5_000, 4
+    try:
+        got = mixing.op8(spark, path).collect()
+        m = mixing.Mix(spark.read.parquet(f"{path}/documents.parquet"))
+        blocks = m.handed.collect()
+    finally:
+        mixing.BLOCK_WORDS, mixing.SHARD_BYTES, mixing.TOP_NODES = before
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path[7:]}/documents.parquet/*.parquet'")
+    want = db.sql(mixing.CONTRACT_SQL).fetchall()
+    key = lambda r: str(tuple(r))
+    assert sorted(key((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"])) for r in got) == sorted(map(key, want))
+    assert all((r["taken"] > 0) <= (r["shards"] != "") for r in got)
+    assert all(r["taken"] >= r["size"] * (r["shards"].count(",") if r["shards"] else 0) for r in got)
+    # shards draw disjoint places, and as many of each source as the tree gives them
+    names = sorted({b["s"] for b in blocks}, key=lambda s: (s == "", s))
+    quotas = np.array([sum(len(b["drawn"] or []) for b in blocks if b["s"] == s) for s in names])
+    shares = mixing.split_quotas(quotas, m.shards)
+    assert m.shards > 4 and (shares.sum(axis=1) == quotas).all()
+    assert shares.sum(axis=0).max() - shares.sum(axis=0).min() <= np.log2(m.shards) + 1
+    counts = Counter((b["s"], d["shard"]) for b in blocks for d in b["drawn"] or [])
+    assert counts == Counter({(s, k): n for s, row in zip(names, shares.tolist(), strict=True) for k, n in enumerate(row) if n})
+
+
+def test_draws_follow_the_tree(spark):
+    quotas = np.array([40, 3, 0, 77])
+    got = mixing.draws(spark, ["=a", "=b", "=c", ""], quotas, 9).collect()
+    assert Counter(r["s"] for r in got) == {"=a": 40, "=b": 3, "": 77}
+    assert len({(r["s"], r["place"]) for r in got}) == 120
+    want = mixing.split_quotas(quotas, 9)
+    assert Counter((r["s"], r["shard"]) for r in got) == Counter({(s, k): n for s, row in zip(["=a", "=b", "=c", ""], want.tolist(), strict=True) for k, n in enumerate(row) if n})
