@@ -9,17 +9,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Python workers are used again and again: large buffers should go back to the system when freed.
-try:
-    _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
-except (OSError, AttributeError):  # another C library
-    pass
-pa.set_memory_pool(pa.system_memory_pool())
+if TaskContext.get() is not None:
+    # Python workers are used again and again: large buffers should go back to the system when freed.
+    try:
+        _libc = ctypes.CDLL("libc.so.6")
+        _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
 
 #: A null doc_id takes part as this id, the smallest there is.
 NULL_ID = -(2**63)
@@ -42,9 +44,12 @@ def null_again(name: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share; a folder of our own only where none is set and
+    all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all machines share")
         folder = spark.conf.get("pitchside.scratch", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="pitchside-")
@@ -88,20 +93,26 @@ def map_arrow(
 HEAVY_KEYS = 2000
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+def weight_of(found: DataFrame, n: str) -> tuple[int, int]:
+    """All counted rows of found's keys, and those of the largest key."""
+    return tuple(x or 0 for x in found.agg(F.sum(n), F.max(n)).first())
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, n: str, weight: tuple[int, int] | None = None) -> DataFrame:
     """Join rows with found (one row per key; column n: how many rows the key has).
 
     Keys with a 1 / HEAVY_KEYS share of all counted rows are HEAVY_KEYS at most, so a broadcast
     of them is bounded whatever the size of the data; they never meet in one task. The rest goes
-    through an ordinary shuffle in which no key is large. found must be cheap to read twice.
+    through an ordinary shuffle in which no key is large. found must be cheap to read again, and its
+    other columns small. weight: weight_of(found, n), where it is known.
     """
-    total = found.agg(F.sum(n)).first()[0] or 0
+    total, most = weight or weight_of(found, n)
     least = max(1000, -(-total // HEAVY_KEYS))
+    if most < least:
+        return rows.join(found.drop(n).hint("shuffle_merge"), key)
     heavy = F.broadcast(found.where(F.col(n) >= least).drop(n))
     light = found.where(F.col(n) < least).drop(n)
-    if how == "inner":
-        return rows.join(heavy, key).unionByName(rows.join(light.hint("shuffle_merge"), key))
-    raise ValueError(how)
+    return rows.join(heavy, key).unionByName(rows.join(light.hint("shuffle_merge"), key))
 
 
 # --- words and shingles, hashed for a whole batch at a time -------------------------------------

@@ -1,35 +1,47 @@
 """Links between similar documents: candidates by bands, exact verification, classes.
 
-Within a band's bucket every document is compared with the least one (a star, as many pairs as
-members). Where documents that share buckets are then still in different classes, those outside the
-largest class are compared with all the others, so no link is lost and no bucket is capped.
+Candidates are documents that share a bucket of a band. Within a bucket every document is compared
+with the least one (a star, as many pairs as members). Where the documents of one bucket are then
+still in different classes, they are compared bucket by bucket: those outside the bucket's largest
+class with all its members, so no link is lost and no bucket is capped. A bucket too large for that
+is split first by a second band (then a third ...) that its members share: similar documents share
+many bands, so they meet in one of the parts, and the parts of documents that met by chance are
+small. What is large still after DEPTH bands is compared whole, in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import cut, lookup, map_arrow, pieces, shingle_hashes
+from pitchside.llm.common import cut, id_or_null, lookup, map_arrow, pieces, shingle_hashes, weight_of
 
-#: Documents of a block, about.
+#: Documents of a bucket that is compared at once, and of a block of a larger one.
+SMALL = 200
 BLOCK_ROWS = 1_000
-#: Size of a bitmap of ids.
-BITMAP_BITS = 2**26
+#: Bands by which a large bucket is split before it is compared in blocks.
+DEPTH = 3
+#: Pairs that read one copy of a document's shingle set.
+SALT_ROWS = 1_000
+#: Bits of a bitmap of ids for each id, and in all (128 MB) at most.
+BITS_PER_ID, MOST_BITS = 16, 2**30
+
+
+def shared_buckets(bands: DataFrame) -> DataFrame:
+    """The rows of bands (key, id, path) in buckets of several, with the bucket's least id a and size n."""
+    found = cut(
+        bands.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("a")).where("rows > 1").withColumn("n", F.col("rows"))
+    )
+    return cut(lookup(bands, found, "key", "rows").select("key", "id", "path", "a", "n"))
 
 
-def star_pairs(bands: DataFrame) -> DataFrame:
-    """a, b of bands (id, key): each member of a bucket with its least, once."""
-    buckets = cut(
-        bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1")
-    )
-    return (
-        lookup(bands, buckets, "key", "n").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    )
+def stars(shared: DataFrame) -> DataFrame:
+    """a, b: each member of a bucket with its least, once."""
+    return shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -55,7 +67,10 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose shingle sets are as similar as that, with the likeness."""
+    """The pairs a, b whose shingle sets are as similar as that, with the likeness.
+
+    A document with many pairs has its set copied once for every SALT_ROWS of them.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -66,13 +81,15 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame
             ["a", "b", "likeness"],
         )
 
-    left = grams.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
-    right = grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-    return map_arrow(
-        pairs.select("a", "b").join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b").select("a", "b", "grams_a", "grams_b"),
-        run,
-        "a long, b long, likeness double",
+    pairs = cut(pairs.select("a", "b"))
+    hubs = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / SALT_ROWS).cast("int")))
+    salted = lookup(pairs, hubs, "a", "n").withColumn("salt", F.pmod(F.xxhash64("b"), "copies").cast("int")).drop("copies")
+    left = grams.join(hubs.select(F.col("a").alias("id"), "copies").hint("shuffle_merge"), "id").select(
+        F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("grams").alias("grams_a")
     )
+    right = grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
+    both = salted.join(left.hint("shuffle_merge"), ["a", "salt"]).join(right.hint("shuffle_merge"), "b")
+    return map_arrow(both.select("a", "b", "grams_a", "grams_b"), run, "a long, b long, likeness double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -81,69 +98,71 @@ def components(links: DataFrame) -> DataFrame:
     First each document's links to smaller ones become one to the least of them, and those are linked
     with it: as connected as before, with about one link a document in place of one for each band.
     Least labels then spread along the links and labels jump to their label's label, until none
-    changes; the rounds grow with the logarithm of the longest chain.
+    changes; the rounds grow with the logarithm of the longest chain. Hubs and the labels of large
+    classes are looked up without meeting in one task.
     """
-    least = F.min("lo").over(Window.partitionBy("hi"))
-    stars = (
-        links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        .withColumn("least", least)
+    ends = cut(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
+    least = cut(ends.groupBy("hi").agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("n")))
+    tied = (
+        lookup(ends, least, "hi", "n")
         .select(F.col("least").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
         .where("a <> b")
         .distinct()
     )
-    stars = cut(stars)
     both = cut(
-        stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            stars.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        tied.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+            tied.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
     )
-    label = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c")))
+    label = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c"), F.count(F.lit(1)).alias("n")))
+    weight = weight_of(label, "n")
     while True:
         near = (
-            both.join(label.select(F.col("u").alias("v"), F.col("c").alias("cv")).hint("shuffle_merge"), "v")
+            lookup(both, label.select(F.col("u").alias("v"), F.col("c").alias("cv"), "n"), "v", "n", weight)
             .groupBy("u")
             .agg(F.min("cv").alias("least"))
         )
-        hooked = label.join(near, "u").select("u", F.least("c", "least").alias("n"), F.col("c").alias("old"))
-        jump = label.select(F.col("u").alias("n"), F.col("c").alias("far"))
-        new = cut(
-            hooked.join(jump.hint("shuffle_merge"), "n").select("u", F.least("n", "far").alias("c"), "old")
-        )
+        hooked = cut(label.join(near.hint("shuffle_merge"), "u").select("u", F.least("c", "least").alias("to"), F.col("c").alias("old"), "n"))
+        sizes = hooked.groupBy("to").agg(F.count(F.lit(1)).alias("members"))
+        jump = label.select(F.col("u").alias("to"), F.col("c").alias("far")).join(sizes.hint("shuffle_merge"), "to")
+        new = cut(lookup(hooked, jump, "to", "members", weight_of(sizes, "members")).select("u", F.least("to", "far").alias("c"), "n", "old"))
         changed = new.where("c <> old").limit(1).count()
-        label = new.select("u", "c")
+        label = new.drop("old")
         if not changed:
             return label.select(F.col("u").alias("id"), "c")
 
 
-def missing_links(label: DataFrame, candidates: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links between the classes of label among documents that share buckets.
-
-    candidates: components of all tested pairs. Where one holds several classes, the documents
-    outside its largest class are compared with all of it, BLOCK_ROWS at a time, by their whole
-    shingle sets; what comes back is one link for each document and class. Only those documents
-    are copied, once for each block.
-    """
-    both = cut(
-        candidates.select("id", F.col("c").alias("g")).join(label.hint("shuffle_merge"), "id", "left").select("id", "g", F.coalesce("c", "id").alias("c"))
-    )
-    mixed = cut(
-        both.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
-        .groupBy("g")
-        .agg(F.sum("m").alias("n"), F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("classes"))
+def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes: key, id, path, c, n, main (the largest class), others (rows outside it)."""
+    members = cut(shared.join(label.hint("shuffle_merge"), "id", "left").select("key", "id", "path", "n", F.coalesce("c", "id").alias("c")))
+    found = cut(
+        members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+        .groupBy("key")
+        .agg(F.sum("m").alias("rows"), F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("classes"))
         .where("classes > 1")
-        .select("g", "n", "main", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+        .select("key", "rows", F.col("top.c").alias("main"), (F.col("rows") - F.col("top.m")).alias("others"))
     )
-    rows = lookup(both, mixed, "g", "n").join(grams.hint("shuffle_merge"), "id")
-    members = rows.select("g", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "id", "c", "grams")
-    asks = rows.where("c <> main").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "c", "grams")
+    return cut(lookup(members, found, "key", "rows"))
+
+
+def _compared(mixed: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """a, b, likeness: links between classes in the buckets of mixed.
+
+    The documents outside a bucket's main class meet all its members, BLOCK_ROWS at a time, by their
+    whole shingle sets; what comes back is one link for each of them and class.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    rows = mixed.withColumn("blocks", blocks).join(grams.hint("shuffle_merge"), "id")
+    members = rows.select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "id", "c", "grams")
+    asks = rows.where("c <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "c", "grams")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, own, flat = None, [], None
         for batch in batches:
-            a, b = [], []
-            for g, block, kind, i, c, grams_ in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (g, block) != place:
-                    place, own, flat = (g, block), [], None
+            a, b, likeness = [], [], []
+            for key, block, kind, i, c, grams_ in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (key, block) != place:
+                    place, own, flat = (key, block), [], None
                 if kind == 0:
                     own.append((i, c, np.frombuffer(grams_, np.uint64)))
                 elif own:
@@ -158,26 +177,57 @@ def missing_links(label: DataFrame, candidates: DataFrame, grams: DataFrame, sim
                         continue
                     found = np.searchsorted(mine, flat)
                     common = np.add.reduceat(mine[np.minimum(found, len(mine) - 1)] == flat, begin)[near]
-                    alike = near[common >= similarity * (size[near] + len(mine) - common)]
+                    j = common / (size[near] + len(mine) - common)
+                    alike = near[j >= similarity]
                     _, first = np.unique(classes[alike], return_index=True)
                     a += [i] * len(first)
                     b += ids[alike[first]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    likeness += j[j >= similarity][first].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(likeness, pa.float64())], ["a", "b", "likeness"])
 
     return (
         members.unionByName(asks)
-        .repartition("g", "block")
-        .sortWithinPartitions("g", "block", "kind")
-        .mapInArrow(compare, "a long, b long")
+        .repartition("key", "block")
+        .sortWithinPartitions("key", "block", "kind")
+        .mapInArrow(compare, "a long, b long, likeness double")
     )
 
 
-def bitmap_of(ids: DataFrame, by: list[str]) -> np.ndarray:
-    """A bitmap of hashes of the columns by, BITMAP_BITS long: what it lacks is not among them."""
-    slot = F.pmod(F.xxhash64(*by), F.lit(BITMAP_BITS))
+def link(bands: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """a, b, likeness: links that connect every two similar documents that share a bucket.
+
+    bands: id and key. sets: shingle sets (id, grams) for a table of ids, or of more.
+    """
+    shared = level = shared_buckets(bands.select("key", "id", F.array("key").alias("path")))
+    grams = cut(sets(shared.select("id").distinct()))
+    links = cut(verified(stars(shared), grams, similarity))
+    for depth in range(DEPTH + 1):
+        mixed = _mixed(level, components(links))
+        at_once = (F.col("n") <= SMALL) | (4 * F.col("others") * F.ceil(F.col("n") / BLOCK_ROWS) <= F.col("n")) | F.lit(depth == DEPTH)
+        some, large = mixed.agg(F.count_if(at_once), F.count_if(~at_once)).first()
+        if some:
+            links = cut(links.unionByName(_compared(mixed.where(at_once), grams, similarity)))
+        if not large:
+            break
+        parts = (
+            mixed.where(~at_once).select("id", "path")
+            .join(shared.select("id", F.col("key").alias("next")).hint("shuffle_merge"), "id")
+            .where("not array_contains(path, next)")
+            .select("id", F.array_sort(F.concat("path", F.array("next"))).alias("path"))
+            .select("id", F.xxhash64("path").alias("key"), "path")
+            .distinct()
+        )
+        level = shared_buckets(parts)
+        links = cut(links.unionByName(verified(stars(level), grams, similarity)))
+    return links
+
+
+def bitmap_of(ids: DataFrame, by: list[str], bits: int) -> np.ndarray:
+    """A bitmap of hashes of the columns by: what it lacks is not among them."""
+    slot = F.pmod(F.xxhash64(*by), F.lit(bits))
     rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros((BITMAP_BITS // 32_768 + 2, 4_096), np.uint8)
-    for row in rows.collect():  # as large as one bitmap
+    out = np.zeros((bits // 32_768 + 2, 4_096), np.uint8)
+    for row in rows.toLocalIterator():  # as large as one bitmap
         out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -185,11 +235,13 @@ def bitmap_of(ids: DataFrame, by: list[str]) -> np.ndarray:
 def sets_of(docs: DataFrame, ids: DataFrame, by: list[str]) -> DataFrame:
     """id and shingle hashes of (at least) the rows of docs (id, text and by) whose columns by are in ids.
 
-    No text is shuffled. The bitmap's size is fixed; beyond it more documents pass and are computed
-    for nothing.
+    No text is shuffled. The bitmap follows the number of ids up to MOST_BITS; beyond it more
+    documents pass and are computed for nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, by))
-    slot = F.pmod(F.xxhash64(*by), F.lit(BITMAP_BITS))
+    ids = cut(ids)
+    bits = min(MOST_BITS, 1 << max(20, (BITS_PER_ID * ids.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, by, bits))
+    slot = F.pmod(F.xxhash64(*by), F.lit(bits))
     placed = docs.select("id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,3 +251,47 @@ def sets_of(docs: DataFrame, ids: DataFrame, by: list[str]) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
 
     return shingle_sets(placed.mapInArrow(run, "id long, text string"))
+
+
+# --- classes of texts -----------------------------------------------------------------------------
+
+
+def text_hash(salt: int):
+    """64 bits of the text's SHA-256; other bits for another salt."""
+    return F.xxhash64(F.lit(salt), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
+def text_classes(docs: DataFrame, rows: DataFrame, banded: DataFrame, similarity: float) -> DataFrame:
+    """For each distinct text of docs: node, rep (least id), copies, c and first.
+
+    rows: id, node and check (two hashes of the text) of each row of docs, cheap to read again.
+    banded: node, id and keys (bucket of each band) of the rows with words. c is the least id of the
+    class, first the node of its text of that id.
+    """
+    texts = cut(
+        rows.groupBy("node").agg(
+            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("check").alias("low"), F.max("check").alias("high")
+        )
+    )
+    if texts.where("low <> high").limit(1).count():
+        raise ValueError("two texts have one hash")  # less than one chance in 30,000 for 30 million texts
+    texts = texts.drop("low", "high")
+    # one row stands for each distinct text
+    bands = cut(
+        banded.join(texts.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi")
+        .select(F.col("node").alias("id"), F.explode("keys").alias("key"))
+        .distinct()
+    )
+    named = docs.select(text_hash(0).alias("id"), id_or_null().alias("doc"), "text")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        wanted = ids.join(texts.select(F.col("node").alias("id"), F.col("rep").alias("doc")).hint("shuffle_merge"), "id")
+        return sets_of(named, wanted, ["id", "doc"]).dropDuplicates(["id"])
+
+    label = components(link(bands, sets, similarity))
+    placed = cut(
+        texts.join(label.select(F.col("id").alias("node"), "c").hint("shuffle_merge"), "node", "left")
+        .select("node", "rep", "copies", F.coalesce("c", "node").alias("g"))
+    )
+    least = cut(placed.groupBy("g").agg(F.min(F.struct("rep", "node")).alias("least"), F.count(F.lit(1)).alias("m")))
+    return cut(lookup(placed, least, "g", "m").select("node", "rep", "copies", F.col("least.rep").alias("c"), F.col("least.node").alias("first")))
