@@ -8,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pitchside.llm import fingerprints, licenses, permutation_index, private_data, quality
+from pitchside.llm.common import shingle_hashes
 from pitchside.llm.near import components, jaccard
+from tests.llm.test_dedup import row_truth
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -62,34 +64,37 @@ def test_private_rows(docs, no_docs, rows):
     assert private_data.redact(docs).count() == len(rows)
 
 
-def fingerprint_truth(rows):
-    order = sorted(((i if i is not None else -(2**63), t or "") for i, t, *_ in rows), key=lambda r: (-r[0], r[1]))
-    out = []
-    for n, (i, t) in enumerate(order):
-        following = order[(n + 1) % len(order)][1]
-        m = len(t) // 3
-        e = t[: len(t) - m] + following[:m]
-        out.append((None if i == -(2**63) else i, len(t), hashlib.sha256(e.encode()).hexdigest()))
-    return out
+def plain_signature(text):
+    """The least value of each hash function over the shingles, with Python's own whole numbers."""
+    grams, _ = shingle_hashes([text])
+    if not len(grams):
+        return [0xFFFFFFFF] * fingerprints.PERMS
+    ab = [(int(a), int(b)) for a, b in zip(fingerprints._A, fingerprints._B, strict=True)][: fingerprints.PERMS]
+    return [min((int(g) * a + b) % 2**64 >> 32 for g in grams) for a, b in ab]
 
 
 def test_fingerprints(spark, docs, no_docs, rows):
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    before = fingerprints.RANGE_ROWS
-    fingerprints.RANGE_ROWS = 15  # several ranges
+    before = fingerprints.RANGE_BYTES
+    fingerprints.RANGE_BYTES = 4_000  # several ranges
     try:
         got = fingerprints.fingerprint(docs).collect()
     finally:
-        fingerprints.RANGE_ROWS = before
+        fingerprints.RANGE_BYTES = before
     key = lambda r: tuple(str(x) for x in r)
-    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=key) == sorted(fingerprint_truth(rows), key=key)
-    by = {}
-    texts = {i: t for i, t, *_ in rows if i is not None}
-    for r in got:
-        if r["doc_id"] is not None:
-            by.setdefault(texts[r["doc_id"]] or "", set()).add(r["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert all(len(v) == 1 for v in by.values())
+    order = sorted(((i if i is not None else -(2**63), t or "") for i, t, *_ in rows), key=lambda r: (-r[0], r[1]))
+    found, least = row_truth(rows)
+    classes = {t or "": least[c] for (c, _), (_, t, *_) in zip(found, rows, strict=True)}
+    hexed = lambda v: "".join(f"{x:08x}" for x in v)
+    share = lambda u, v: sum(x == y for x, y in zip(u, v, strict=True)) / len(u)
+    back = lambda i: None if i == -(2**63) else i
+    want = []
+    for n, (i, t) in enumerate(order):
+        following = order[(n + 1) % len(order)][1]
+        m = len(t) // 3
+        e = t[: len(t) - m] + following[:m]
+        own, other, after = map(plain_signature, (t, e, following))
+        want.append((back(i), len(t), hashlib.sha256(e.encode()).hexdigest(), hexed(own), hexed(other), share(own, other), share(own, after), back(classes[t])))
+    assert sorted(map(key, got)) == sorted(map(key, want))
     assert fingerprints.fingerprint(no_docs).count() == 0
 
 
