@@ -1,14 +1,12 @@
 """Line deduplication with two Bloom filters.
 
-Pass 1 builds two filters over the hashes of all line keys: bits met once and bits met twice. The
-pair is a saturating counter for each bit, so filters of different tasks merge exactly (twice is
-the union of both twice and of what both have once) and a key of two documents is never missed.
-Pass 2 tests every key against the twice filter; only suspected repeats are shuffled, by the
-first 128 bits of the key's SHA-256, where the documents that hold a key are counted exactly and
-the occurrence that stays is chosen. A third pass drops the lines.
-
-The filters are sized by the corpus and by MAX_BITS at most, which bounds what is broadcast;
-beyond it more keys are suspected and shuffled, and the result stays exact.
+Every line becomes its document's id and the first 128 bits of the SHA-256 of its key. The key space
+is cut into slices of about SLICE_KEYS lines, as many as the corpus needs, and each slice builds two
+filters in a task of its own: bits met once and bits met twice. The pair is a saturating counter for
+each bit, so a key of two documents is never missed. The lines are then tested against the twice
+filter of their slice; only suspected repeats are shuffled by key, where the documents that hold a key
+are counted exactly and the occurrence that stays is chosen. A last pass drops the lines. No filter
+grows with the corpus, and none passes the driver.
 
 A key is the line without blanks and controls 09 to 0D at its ends, A-Z lower-cased. Keys of less
 than MIN_CHARS code points never count. Null and empty texts are one empty line, and become empty
@@ -22,9 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +32,16 @@ from pitchside.llm.common import (
     lookup,
     map_arrow,
     mix,
-    pieces,
-    slices,
     table,
 )
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-MAX_BITS = 2**29
 BITS_PER_KEY = 8
 PROBES = 3
-_SEGMENT = 16 * 1024
+#: Keys of a slice of the key space (a power of two), and lines that a task holds before it sends keys on.
+SLICE_KEYS = 2**20
+HELD = 2**20
 _BLANK = SPACE.encode()
 
 
@@ -65,10 +60,6 @@ def digest(key: bytes) -> bytes:
     return hashlib.sha256(key).digest()[:16]
 
 
-def _hashed(keys: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-
-
 def _probes(h: np.ndarray, bits: int) -> np.ndarray:
     step = mix(h) | np.uint64(1)
     return np.stack([(h + np.uint64(j) * step) & np.uint64(bits - 1) for j in range(PROBES)]).astype(np.int64)
@@ -98,76 +89,114 @@ class TwoFilters:
         _set(self.once, at)
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    once = np.zeros(_SEGMENT, np.uint8)
-    twice = np.zeros(_SEGMENT, np.uint8)
-    for a, b in zip(pdf["once"], pdf["twice"], strict=True):
-        o = np.frombuffer(zstandard.decompress(a), np.uint8)
-        twice |= np.frombuffer(zstandard.decompress(b), np.uint8) | (once & o)
-        once |= o
-    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "twice": [zstandard.compress(twice.tobytes(), 1)]})
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """id and key (the digest) of every distinct line key of each row."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, found = [], []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys = [digest(k) for k in {*line_keys(t)} if k is not None]
+            ids += [i] * len(keys)
+            found += keys
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "key"])
+
+    return map_arrow(docs.select(id_or_null().alias("id"), "text"), run, "id long, key binary")
+
 
+def _heads(keys: pa.Array) -> np.ndarray:
+    """The first 64 bits of each key."""
+    return np.frombuffer(b"".join(keys.to_pylist()), np.uint64)[::2].copy()
 
-def filter_bits(docs: DataFrame) -> int:
-    """Size of each filter: BITS_PER_KEY for every 128 bytes of text, a power of 2."""
-    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MAX_BITS, 1 << max(20, int(BITS_PER_KEY * n / 128).bit_length()))
 
+def twice_filters(lines: DataFrame, slices: int) -> DataFrame:
+    """slice and twice: the filter of the keys met twice, of each slice of the key space.
 
-def repeated_filter(docs: DataFrame, bits: int) -> np.ndarray:
-    """The twice filter of all line keys, merged on the executors by segment."""
+    A task sends a key on once for every HELD lines it reads, with a mark if it met it again, so a
+    line of many documents is no hot key of its slice.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            at = np.concatenate([p[0] for p in parts])
+            h, first, n = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_counts=True)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(h.view(np.int64)), pa.array(n > 1)], ["slice", "h", "again"])
+
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy(), _heads(batch.column(1))))
+            if sum(len(p[1]) for p in parts) >= HELD:
+                yield flush()
+        if parts:
+            yield flush()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = TwoFilters(bits)
+        filters = number = None
         for batch in batches:
-            for part in slices(batch):
-                keys = [k for t in part.column(0).to_pylist() for k in {*line_keys(t)} if k is not None]
-                filters.add(_hashed(keys))
-        segment = min(_SEGMENT, bits // 8)
-        once, twice = filters.once.reshape(-1, segment), filters.twice.reshape(-1, segment)
-        used = np.flatnonzero(once.any(axis=1))
-        if len(used):
-            pack = lambda x: pa.array([zstandard.compress(x[i].tobytes(), 1) for i in used])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int64()), pack(once), pack(twice)], ["segment", "once", "twice"]
-            )
-
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    merged = (
-        docs.select("text")
-        .coalesce(tasks)
-        .mapInArrow(build, "segment long, once binary, twice binary")
-        .groupBy("segment")
-        .applyInPandas(_merge, "segment long, twice binary")
+            at = batch.column(0).to_numpy()
+            h, again = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            for s in np.unique(at).tolist():  # a partition is one slice
+                if s != number:
+                    if filters:
+                        yield _filter_row(number, filters)
+                    number, filters = s, TwoFilters(BITS_PER_KEY * SLICE_KEYS)
+                own = at == s
+                filters.add(np.repeat(h[own], 1 + again[own]))
+        if filters:
+            yield _filter_row(number, filters)
+
+    return (
+        lines.select("slice", "key")
+        .mapInArrow(local, "slice int, h long, again boolean")
+        .repartitionById(slices, F.col("slice"))
+        .sortWithinPartitions("slice")
+        .mapInArrow(build, "slice int, twice binary")
     )
-    out = np.zeros(bits // 8, np.uint8).reshape(-1, _SEGMENT)
-    for row in merged.collect():  # as large as one filter at most
-        out[row["segment"]] = np.frombuffer(zstandard.decompress(row["twice"]), np.uint8)
-    return out.ravel()
 
 
-def lines_to_drop(docs: DataFrame) -> DataFrame:
-    """id and the digests of the keys whose lines the document loses; ids without any are left out."""
-    spark = docs.sparkSession
-    bits = filter_bits(docs)
-    shared = spark.sparkContext.broadcast(repeated_filter(docs, bits))
+def _filter_row(number: int, filters: TwoFilters) -> pa.RecordBatch:
+    packed = zstandard.compress(filters.twice.tobytes(), 1)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], ["slice", "twice"])
 
-    def suspects(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, found = [], []
-        id_list, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in pieces(texts):
-            own = [(i, k) for i, t in zip(id_list[a:b], texts[a:b], strict=True) for k in {*line_keys(t)} if k is not None]
-            hit = _has(shared.value, _probes(_hashed([k for _, k in own]), bits))
-            for j in np.flatnonzero(hit):
-                ids.append(own[j][0])
-                found.append(digest(own[j][1]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "key"]
-        )
 
-    rows = cut(
-        map_arrow(docs.select(id_or_null().alias("id"), "text"), suspects, "id long, key binary").distinct()
+def suspected(lines: DataFrame, filters: DataFrame) -> DataFrame:
+    """The lines whose key the twice filter of their slice has; a large slice is tested in several tasks."""
+    sizes = cut(lines.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / (2 * SLICE_KEYS)).cast("int")))
+    own = lookup(lines, sizes, "slice", "n").select(
+        "slice", F.pmod(F.xxhash64("id"), "copies").cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "key"
+    )
+    each = filters.join(sizes, "slice").select(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.col("twice").alias("key")
+    )
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = None
+        for batch in batches:
+            kind, keys = batch.column(0).to_numpy(), batch.column(2)
+            edges = [0, *np.flatnonzero(kind == 0).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b and kind[a] == 0:  # a slice begins with its filter
+                    twice, a = np.frombuffer(zstandard.decompress(keys[a].as_py()), np.uint8), a + 1
+                if a < b:
+                    hit = _has(twice, _probes(_heads(keys.slice(a, b - a)), 8 * len(twice)))
+                    yield batch.slice(a, b - a).select([1, 2]).filter(pa.array(hit))
+
+    return (
+        own.unionByName(each)
+        .repartition("slice", "salt")
+        .sortWithinPartitions("slice", "salt", "kind")
+        .select("kind", "id", "key")
+        .mapInArrow(test, "id long, key binary")
     )
+
+
+def lines_to_drop(docs: DataFrame) -> DataFrame:
+    """id and the digests of the keys whose lines the document loses; ids without any are left out."""
+    lines = cut(keyed_lines(docs))
+    slices = int(max(1, -(-lines.count() // SLICE_KEYS)))
+    lines = lines.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
+    rows = cut(suspected(lines, cut(twice_filters(lines, slices))).distinct())
     repeated = cut(
         rows.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))

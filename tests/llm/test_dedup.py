@@ -56,6 +56,17 @@ def test_lines_against_brute_force(docs, rows):
     assert sum(n for (*_, dropped, _), n in got.items() if dropped) > 3
 
 
+def test_lines_in_many_slices(docs, rows):
+    """Filters of 64 keys each, nearly full, and slices tested in several tasks: the same result."""
+    before = line_dedup.SLICE_KEYS, line_dedup.HELD
+    line_dedup.SLICE_KEYS, line_dedup.HELD = 8, 16
+    try:
+        got = Counter(tuple(r) for r in line_dedup.line_report(docs).collect())
+    finally:
+        line_dedup.SLICE_KEYS, line_dedup.HELD = before
+    assert got == line_truth(rows)
+
+
 def test_lines_keep_columns(docs, rows):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == docs.columns
