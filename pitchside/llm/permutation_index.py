@@ -3,9 +3,9 @@
 PIVOTS vectors, a sample taken by a hash of their ids, order every vector: its prefix is the list
 of its nearest PREFIX pivots. Each shard of the index keeps an inverted file of pivots, with the
 vectors that have the pivot in their prefix and its place there. A query reads the postings of its
-own prefix, sums the footrule distance (the difference of places; a missing pivot counts as place
-PREFIX), and the nearest FRACTION of the shard by that distance are compared exactly, by the cosine
-in double precision. The best of all shards are the answer.
+own nearest ASKED pivots only, sums the footrule distance (the difference of places; a missing pivot
+counts as place PREFIX), and the nearest FRACTION of the shard by that distance (ten times k at least)
+are compared exactly, by the cosine in double precision. The best of all shards are the answer.
 
 Equal vectors are one entry of the index with their least k + 1 ids, so a group of copies costs one
 comparison and no answer is lost. Queries go to shards in blocks; the query set is a stated part of
@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 
 from pitchside.llm.common import cut, table
 
-PIVOTS = 128
-PREFIX = 64
-FRACTION = 0.4
-#: Candidates of a shard at least.
-LEAST = 512
+PIVOTS = 512
+PREFIX = 256
+ASKED = 64
+FRACTION = 0.15
 K = 5
 #: Vectors of a shard and queries of a block, about.
 SHARD_ROWS = 8_192
@@ -79,17 +78,18 @@ class Shard:
         ]
 
     def footrule(self, prefix: np.ndarray) -> np.ndarray:
-        """Distance of each vector's order to that of a query."""
+        """Distance of each vector's order to the first places of a query's."""
+        prefix = prefix[:ASKED]
         # a vector without any of the query's pivots is as far as all of them missing
-        total = np.full(len(self.unit), int((self.length - np.arange(self.length)).sum()), np.int32)
+        total = np.full(len(self.unit), int((self.length - np.arange(len(prefix))).sum()), np.int32)
         for place, pivot in enumerate(prefix):
             rows, places = self.postings[pivot]
             total[rows] += np.abs(places - place) - (self.length - place)
         return total
 
-    def nearest(self, query: np.ndarray, prefix: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: np.ndarray, prefix: np.ndarray, k: int, fraction: float) -> tuple[np.ndarray, np.ndarray]:
         """The candidates for a unit vector, and their cosines."""
-        n = max(LEAST, int(np.ceil(fraction * len(self.unit))))
+        n = max(10 * k, int(np.ceil(fraction * len(self.unit))))
         far = self.footrule(prefix)
         near = np.argpartition(far, n)[:n] if n < len(far) else np.arange(len(far))
         return near, self.unit[near] @ query
@@ -174,7 +174,7 @@ def _answers(shard: Shard, ids: list, q_ids: np.ndarray, q_bytes: bytes, pivots:
     original = np.frombuffer(q_bytes, float).reshape(len(q_ids), -1)
     units = unit(original)
     for q_id, vector, one, prefix in zip(q_ids.tolist(), original, units, prefixes(units, pivots), strict=True):
-        near, score = shard.nearest(one, prefix, fraction)
+        near, score = shard.nearest(one, prefix, k, fraction)
         m = min(len(near), k + 1)
         least = -np.partition(-score, m - 1)[m - 1]
         best = near[score >= least - 1e-12]  # with ties

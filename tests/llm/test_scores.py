@@ -200,6 +200,20 @@ def test_neighbours_recall_and_edges(spark):
     assert [m[1] for m in sorted(got[0])] == [40, 41, 42, 43, 44]
 
 
+def test_recall_of_vectors_without_clusters():
+    """Random directions in 64 dimensions, the hardest case: 15 % of the vectors are compared."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    pivots = permutation_index.unit(x[rng.choice(6000, permutation_index.PIVOTS, replace=False)])
+    shard = permutation_index.Shard(x, pivots)
+    hit = 0
+    for i in range(0, 6000, 50):
+        near, _ = shard.nearest(shard.unit[i], permutation_index.prefixes(shard.unit[i : i + 1], pivots)[0], 5, permutation_index.FRACTION)
+        assert len(near) == 900
+        hit += len(set(near.tolist()) & set(np.argsort(-(shard.unit @ shard.unit[i]))[1:6].tolist()))
+    assert hit / (5 * 120) >= 0.9
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert permutation_index.search(none, lambda i: i % 50 == 0).count() == 0
