@@ -93,20 +93,26 @@ def map_arrow(
 HEAVY_KEYS = 2000
 
 
-def weight_of(found: DataFrame, n: str) -> tuple[int, int]:
-    """All counted rows of found's keys, and those of the largest key."""
-    return tuple(x or 0 for x in found.agg(F.sum(n), F.max(n)).first())
+#: A table of so many keys with small columns is sent to every task (8 MB or so); a larger one is shuffled.
+FEW_KEYS = 200_000
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, n: str, weight: tuple[int, int] | None = None) -> DataFrame:
+def weight_of(found: DataFrame, n: str) -> tuple[int, int, int]:
+    """All counted rows of found's keys, those of the largest key, and the number of keys."""
+    return tuple(x or 0 for x in found.agg(F.sum(n), F.max(n), F.count(F.lit(1))).first())
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, n: str, weight: tuple[int, int, int] | None = None) -> DataFrame:
     """Join rows with found (one row per key; column n: how many rows the key has).
 
-    Keys with a 1 / HEAVY_KEYS share of all counted rows are HEAVY_KEYS at most, so a broadcast
-    of them is bounded whatever the size of the data; they never meet in one task. The rest goes
-    through an ordinary shuffle in which no key is large. found must be cheap to read again, and its
-    other columns small. weight: weight_of(found, n), where it is known.
+    FEW_KEYS at most are broadcast. Of more, keys with a 1 / HEAVY_KEYS share of all counted rows are
+    HEAVY_KEYS at most, so a broadcast of them is bounded whatever the size of the data; they never
+    meet in one task. The rest goes through an ordinary shuffle in which no key is large. found must
+    be cheap to read again, and its other columns small. weight: weight_of(found, n), where known.
     """
-    total, most = weight or weight_of(found, n)
+    total, most, keys = weight or weight_of(found, n)
+    if keys <= FEW_KEYS:
+        return rows.join(F.broadcast(found.drop(n)), key)
     least = max(1000, -(-total // HEAVY_KEYS))
     if most < least:
         return rows.join(found.drop(n).hint("shuffle_merge"), key)

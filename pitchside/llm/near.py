@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import cut, id_or_null, lookup, map_arrow, pieces, shingle_hashes, weight_of
+from pitchside.llm.common import FEW_KEYS, cut, id_or_null, lookup, map_arrow, pieces, shingle_hashes, weight_of
 
 #: Documents of a bucket that is compared at once, and of a block of a larger one.
 SMALL = 200
@@ -83,12 +83,15 @@ def verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame
 
     pairs = cut(pairs.select("a", "b"))
     hubs = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / SALT_ROWS).cast("int")))
-    salted = lookup(pairs, hubs, "a", "n").withColumn("salt", F.pmod(F.xxhash64("b"), "copies").cast("int")).drop("copies")
-    left = grams.join(hubs.select(F.col("a").alias("id"), "copies").hint("shuffle_merge"), "id").select(
-        F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("grams").alias("grams_a")
-    )
-    right = grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-    both = salted.join(left.hint("shuffle_merge"), ["a", "salt"]).join(right.hint("shuffle_merge"), "b")
+    weight = weight_of(hubs, "n")
+    left = grams.withColumnRenamed("id", "a").withColumnRenamed("grams", "grams_a")
+    right = grams.withColumnRenamed("id", "b").withColumnRenamed("grams", "grams_b")
+    on = ["a"]
+    if weight[1] > SALT_ROWS:
+        on = ["a", "salt"]
+        pairs = lookup(pairs, hubs, "a", "n", weight).withColumn("salt", F.pmod(F.xxhash64("b"), "copies").cast("int")).drop("copies")
+        left = left.join(hubs.hint("shuffle_merge"), "a").select("a", "grams_a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    both = pairs.join(left.hint("shuffle_merge"), on).join(right.hint("shuffle_merge"), "b")
     return map_arrow(both.select("a", "b", "grams_a", "grams_b"), run, "a long, b long, likeness double")
 
 
@@ -109,23 +112,24 @@ def components(links: DataFrame) -> DataFrame:
         .where("a <> b")
         .distinct()
     )
-    both = cut(
-        tied.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            tied.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-    )
-    label = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("c"), F.count(F.lit(1)).alias("n")))
+    # every id is its own neighbour too
+    both = cut(tied.select(F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u in "ab" for v in "ab"])).alias("e")).select("e.*").distinct())
+    label = cut(both.groupBy("u").agg(F.min("v").alias("c"), F.count(F.lit(1)).alias("n")))
     weight = weight_of(label, "n")
     while True:
         near = (
             lookup(both, label.select(F.col("u").alias("v"), F.col("c").alias("cv"), "n"), "v", "n", weight)
             .groupBy("u")
-            .agg(F.min("cv").alias("least"))
+            .agg(F.min("cv").alias("to"), F.max(F.when(F.col("u") == F.col("v"), F.col("cv"))).alias("old"), F.count(F.lit(1)).alias("n"))
         )
-        hooked = cut(label.join(near.hint("shuffle_merge"), "u").select("u", F.least("c", "least").alias("to"), F.col("c").alias("old"), "n"))
-        sizes = hooked.groupBy("to").agg(F.count(F.lit(1)).alias("members"))
-        jump = label.select(F.col("u").alias("to"), F.col("c").alias("far")).join(sizes.hint("shuffle_merge"), "to")
-        new = cut(lookup(hooked, jump, "to", "members", weight_of(sizes, "members")).select("u", F.least("to", "far").alias("c"), "n", "old"))
+        far = label.select(F.col("u").alias("to"), F.col("c").alias("far"))
+        if weight[2] <= FEW_KEYS:
+            jumped = near.join(F.broadcast(far), "to")
+        else:
+            near = cut(near)
+            sizes = near.groupBy("to").agg(F.count(F.lit(1)).alias("members"))
+            jumped = lookup(near, far.join(sizes.hint("shuffle_merge"), "to"), "to", "members", weight_of(sizes, "members"))
+        new = cut(jumped.select("u", F.least("to", "far").alias("c"), "n", "old"))
         changed = new.where("c <> old").limit(1).count()
         label = new.drop("old")
         if not changed:
@@ -133,8 +137,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """The members of buckets that hold several classes: key, id, path, c, n, main (the largest class), others (rows outside it)."""
-    members = cut(shared.join(label.hint("shuffle_merge"), "id", "left").select("key", "id", "path", "n", F.coalesce("c", "id").alias("c")))
+    """The members of buckets that hold several classes: key, id, path, c, n, main (the largest class), others (rows outside it).
+
+    The least of a bucket has been compared with all of them, so it is left out.
+    """
+    plain = shared.where("id <> a and n > 2").select("key", "id", "path", (F.col("n") - 1).alias("n"))
+    members = cut(_with_class(plain, label))
     found = cut(
         members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
         .groupBy("key")
@@ -145,52 +153,85 @@ def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
     return cut(lookup(members, found, "key", "rows"))
 
 
+def _with_class(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with c, the class of id (the id itself where label lacks it)."""
+    few = label.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    found = F.broadcast(label.select("id", "c")) if few else label.select("id", "c").hint("shuffle_merge")
+    return rows.join(found, "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+
 def _compared(mixed: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """a, b, likeness: links between classes in the buckets of mixed.
 
-    The documents outside a bucket's main class meet all its members, BLOCK_ROWS at a time, by their
-    whole shingle sets; what comes back is one link for each of them and class.
+    The documents outside a bucket's main class meet all its members by their whole shingle sets;
+    what comes back is one link for each of them and class. A bucket of more than BLOCK_ROWS is dealt
+    into blocks, and those documents go to each.
     """
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    rows = mixed.withColumn("blocks", blocks).join(grams.hint("shuffle_merge"), "id")
-    members = rows.select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "id", "c", "grams")
-    asks = rows.where("c <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "c", "grams")
+    own = F.array(F.struct(F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind")))
+    to_all = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("kind")))
+    asks = F.col("c") != F.col("main")
+    placed = mixed.withColumn("blocks", blocks).select(
+        "key", "id", "c", (asks & (F.col("blocks") == 1)).alias("ask"), F.explode(F.when(asks & (F.col("blocks") > 1), F.concat(own, to_all)).otherwise(own)).alias("at")
+    )
+    rows = placed.select("key", "at.*", "id", "c", "ask").join(grams.hint("shuffle_merge"), "id").select("key", "block", "kind", "id", "c", "ask", "grams")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, own, flat = None, [], None
+        place, block = None, None
         for batch in batches:
-            a, b, likeness = [], [], []
-            for key, block, kind, i, c, grams_ in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (key, block) != place:
-                    place, own, flat = (key, block), [], None
+            found: list[tuple] = []
+            for key, at, kind, i, c, ask, grams_ in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (key, at) != place:
+                    if block:
+                        found += block.asked()
+                    place, block = (key, at), _Block(similarity)
+                mine = np.frombuffer(grams_, np.uint64)
                 if kind == 0:
-                    own.append((i, c, np.frombuffer(grams_, np.uint64)))
-                elif own:
-                    if flat is None:
-                        flat = np.concatenate([x[2] for x in own])
-                        size = np.array([len(x[2]) for x in own])
-                        begin = np.cumsum(size) - size
-                        ids, classes = np.array([x[0] for x in own]), np.array([x[1] for x in own])
-                    mine = np.frombuffer(grams_, np.uint64)
-                    near = np.flatnonzero((classes != c) & (np.minimum(size, len(mine)) >= similarity * np.maximum(size, len(mine))))
-                    if not len(near):
-                        continue
-                    found = np.searchsorted(mine, flat)
-                    common = np.add.reduceat(mine[np.minimum(found, len(mine) - 1)] == flat, begin)[near]
-                    j = common / (size[near] + len(mine) - common)
-                    alike = near[j >= similarity]
-                    _, first = np.unique(classes[alike], return_index=True)
-                    a += [i] * len(first)
-                    b += ids[alike[first]].tolist()
-                    likeness += j[j >= similarity][first].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(likeness, pa.float64())], ["a", "b", "likeness"])
-
-    return (
-        members.unionByName(asks)
-        .repartition("key", "block")
-        .sortWithinPartitions("key", "block", "kind")
-        .mapInArrow(compare, "a long, b long, likeness double")
-    )
+                    block.rows.append((i, c, mine, ask))
+                else:
+                    found += block.links(i, c, mine)
+            yield _links(found)
+        if block:
+            yield _links(block.asked())
+
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(compare, "a long, b long, likeness double")
+
+
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    a, b, likeness = zip(*found, strict=True) if found else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(likeness, pa.float64())], ["a", "b", "likeness"])
+
+
+class _Block:
+    """Documents of a bucket, to be compared with single ones: rows are id, class, shingle set, asks."""
+
+    def __init__(self, similarity: float):
+        self.rows: list[tuple] = []
+        self.similarity = similarity
+        self.flat: np.ndarray | None = None
+
+    def links(self, i: int, c: int, mine: np.ndarray) -> list[tuple]:
+        """A link (i, other, likeness) to each class but c that has a similar document."""
+        if not self.rows:
+            return []
+        if self.flat is None:
+            self.flat = np.concatenate([r[2] for r in self.rows])
+            self.size = np.array([len(r[2]) for r in self.rows])
+            self.begin = np.cumsum(self.size) - self.size
+            self.ids, self.classes = np.array([r[0] for r in self.rows]), np.array([r[1] for r in self.rows])
+        n = len(mine)
+        near = np.flatnonzero((self.classes != c) & (np.minimum(self.size, n) >= self.similarity * np.maximum(self.size, n)))
+        if not len(near):
+            return []
+        at = np.searchsorted(mine, self.flat)
+        common = np.add.reduceat(mine[np.minimum(at, n - 1)] == self.flat, self.begin)[near]
+        j = common / (self.size[near] + n - common)
+        alike = near[j >= self.similarity]
+        _, first = np.unique(self.classes[alike], return_index=True)
+        return list(zip([i] * len(first), self.ids[alike[first]].tolist(), j[j >= self.similarity][first].tolist(), strict=True))
+
+    def asked(self) -> list[tuple]:
+        return [x for i, c, mine, ask in self.rows if ask for x in self.links(i, c, mine)]
 
 
 def link(bands: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
@@ -290,8 +331,7 @@ def text_classes(docs: DataFrame, rows: DataFrame, banded: DataFrame, similarity
 
     label = components(link(bands, sets, similarity))
     placed = cut(
-        texts.join(label.select(F.col("id").alias("node"), "c").hint("shuffle_merge"), "node", "left")
-        .select("node", "rep", "copies", F.coalesce("c", "node").alias("g"))
+        _with_class(texts.withColumnRenamed("node", "id"), label).select(F.col("id").alias("node"), "rep", "copies", F.col("c").alias("g"))
     )
     least = cut(placed.groupBy("g").agg(F.min(F.struct("rep", "node")).alias("least"), F.count(F.lit(1)).alias("m")))
     return cut(lookup(placed, least, "g", "m").select("node", "rep", "copies", F.col("least.rep").alias("c"), F.col("least.node").alias("first")))
