@@ -1,14 +1,13 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is split into sentences; each is normalised (lower case, other characters than letters and
-digits as one blank) and looked up among the known licence sentences. The identifiers found, in
-order, are matched against ordered rules: a rule holds where its identifiers stand one after the
-other, and takes them out before the next rule is tried. All of it is one projection: no shuffle,
-whatever the skew.
-
-A sentence may run over line breaks, comment marks and semicolons; a line that is a known sentence
-by itself is one too. The SQL is older and finds less: no sentences that run on, no notices of ADDED
-and nothing in texts without one of CUES as it stands.
+A text is split into sentences at full stops, colons, semicolons and blank lines; marks of comments at
+the start of lines are dropped and single line breaks join. A sentence is normalised (lower case, other
+characters than letters and digits as one blank) and mapped to an identifier: it is a known licence
+sentence, fits one of PATTERNS, or is a notice (NOTICE, SPDX, TITLE) around a known name. Where a
+sentence runs over other lines (a title above, a heading below), the longest runs of its lines that
+are known count. The identifiers found, in order, are matched against ordered rules: a rule holds where
+its identifiers stand one after the other, and leaves a gap in their place before the next rule is
+tried. All of it is one projection: no shuffle, whatever the skew.
 
 A null or empty text has no sentences, no identifiers and no licences. Every row gives one row,
 repeated rows and null ids too; only doc_id and text are read.
@@ -21,46 +20,32 @@ from pyspark.sql import functions as F
 
 from pitchside.llm.common import table
 
-#: Licences by their SPDX identifier, and the names that notices use for them.
+#: Licences by their SPDX identifier, and the names that notices and titles use for them.
 NAMES = {
-    "MIT": ["mit license", "mit licence"],
-    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"],
-    "GPL-2.0": ["gnu general public license version 2", "gnu gpl version 2", "gpl 2 0", "gplv2"],
-    "GPL-3.0": ["gnu general public license version 3", "gnu gpl version 3", "gpl 3 0", "gplv3"],
-    "LGPL-2.1": ["gnu lesser general public license version 2 1", "lgpl 2 1"],
-    "LGPL-3.0": ["gnu lesser general public license version 3", "lgpl 3 0"],
-    "AGPL-3.0": ["gnu affero general public license version 3", "agpl 3 0"],
-    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"],
-    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license"],
-    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license", "modified bsd license"],
+    "MIT": ["mit license", "mit licence", "mit license mit", "expat license"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license v2 0", "apache license version 2 0 january 2004", "apache software license 2 0"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license version 2 june 1991", "gnu general public license v2 0", "gnu gpl version 2", "gnu gpl v2", "gpl version 2", "gpl 2 0", "gplv2"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license version 3 29 june 2007", "gnu general public license v3 0", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gpl 3 0", "gplv3"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1 february 1999", "gnu lgpl version 2 1", "lgpl 2 1", "lgplv2 1"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "gnu lesser general public license version 3 29 june 2007", "gnu lgpl version 3", "lgpl 3 0", "lgplv3"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "gnu affero general public license version 3 19 november 2007", "gnu agpl version 3", "agpl 3 0", "agplv3"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0", "mpl 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license", "2 clause bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license", "modified bsd license", "3 clause bsd license"],
     "ISC": ["isc license"],
     "Unlicense": ["unlicense"],
-    "CC0-1.0": ["cc0 1 0", "creative commons zero v1 0 universal license"],
+    "CC0-1.0": ["cc0 1 0", "creative commons zero v1 0 universal license", "cc0 1 0 universal license"],
     "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license"],
     "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
     "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
     "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
 }
-#: Notices around a name, with and without an article.
-NOTICES = [
-    "licensed under {}",
-    "released under {}",
-    "distributed under {}",
-    "available under {}",
-    "this work is licensed under {}",
-    "this file is licensed under {}",
-    "this project is licensed under {}",
-    "this software is licensed under {}",
-    "this software is released under {}",
-    "this program is licensed under {}",
-    "distributed under the terms of {}",
-    "licensed under the terms of {}",
-]
 #: Sentences of licence texts, normalised.
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -68,11 +53,34 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "apache-use": "you may not use this file except in compliance with the license",
+    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache-see": "see the license for the specific language governing permissions and limitations under the license",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense-domain": "this is free and unencumbered software released into the public domain",
 }
+#: Sentences with a name or an address in them.
+PATTERNS = [
+    ("isc-grant", r"^permission to use copy modify (and )?(or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies$"),
+    ("isc-as-is", r"^the software is provided as is and .{1,80} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness$"),
+    ("bsd-names", r"^neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("bsd-as-is", r"^this software is provided by .{1,80} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed$"),
+    ("mpl-copy", r"^if a copy of the mpl was not distributed with this file you can obtain one at .{1,80}$"),
+    ("gpl-copy", r"^you should have received a copy of the gnu (lesser |affero )?general public license along with this (program|library|software)$"),
+]
+#: Families of the public licence that one text serves: the word in its name, and versions as texts write them.
+FAMILIES = {"GPL": ("", {"2": "2.0", "3": "3.0"}), "LGPL": ("lesser ", {"2 1": "2.1", "3": "3.0"}), "AGPL": ("affero ", {"3": "3.0"})}
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+#: Notices around a name; the second group tells later versions.
+NOTICE = (
+    r"^(?:this (?:work|file|project|software|program|library|code|package|module|repository|document|source code|source file) is )?"
+    r"(?:dual )?(?:licensed|released|distributed|available|published|provided|covered|made available) under (?:the )?(?:terms of |terms and conditions of )?(?:the |a |an )?"
+    r"(.+?)( or later| or any later version| or newer| only)?(?: the license)?$"
+)
+SPDX = r"^(?:.{0,20} )?spdx license identifier (.+?)( or later| only)?$"
+TITLE = r"^(?:the )?(.*licen[cs]e.*)$"
 #: Licences of more than one sentence or of a sentence of their own, first rule first; then notices.
 TEXT_RULES = [
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
@@ -80,6 +88,7 @@ TEXT_RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", ["name:Apache-2.0", "apache-use"]),
+    ("Apache-2.0", ["apache-use", "apache-as-is"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0-or-later", ["gpl2-free"]),
     ("MPL-2.0", ["mpl-form"]),
@@ -87,73 +96,101 @@ TEXT_RULES = [
     ("MIT", ["mit-grant"]),
     ("ISC", ["isc-grant"]),
 ]
-#: Notice forms that the SQL does not know.
-ADDED = {f"{notice.format('the apache license version 2 0')} the license": "name:Apache-2.0" for notice in NOTICES}
-#: The SQL splits only texts with one of these.
-CUES = ["licen", "gpl", "spdx", "cc by", "cc0", "mpl", "permission", "redistribution", "software", "copyright"]
-#: Where a sentence ends in the SQL.
-BREAK = r"[.!?;]+[\x20\x09\x0B-\x0D]+|\x0A"
-#: Where a run of units ends (not after the v of a version): a full stop or a line without words.
-END = r"(?<!\bv)[.!?]+[\x20\x09-\x0D]+|\x0A[^a-z0-9\x0A]*(?=\x0A)"
-#: What parts the units of a run.
-UNIT = r"[.!?;]+[\x20\x09-\x0D]+|\x0A"
+#: A text or sentence without one of these (blanks stand for anything but letters and digits) holds nothing known.
+CUES = ["licen", "gpl", "spdx", "cc by", "cc0", "mpl", "permission", "redistribut", "software", "copyright", "without any warranty"]
+CUE = "|".join(CUES).replace(" ", "[^a-z0-9]+")
+#: Marks of comments at the start of a line, and stops that end no sentence.
+MARK = r"(^|\n)[\x20\x09]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--|rem |dnl )[\x20\x09]*)+"
+STOPS = r"(\bv)\.[\x20\x09]+|(identifier):"
+#: Where a sentence ends.
+END = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09\x0D]*\n"
+#: Lines of a sentence that make one known sentence, at most.
+LINES = 60
+
+
+def known_names() -> dict[str, str]:
+    """Name, normalised, and licence."""
+    out = {spdx.lower().replace("-", " ").replace(".", " "): spdx for spdx in NAMES}
+    return out | {name: spdx for spdx, names in NAMES.items() for name in names}
 
 
 def known_sentences() -> dict[str, str]:
-    """Normalised sentence and its identifier."""
+    """Normalised sentence and its identifier, notices left out."""
     out = {text: i for i, text in SENTENCES.items()}
-    for spdx, names in NAMES.items():
-        plain = spdx.lower().replace("-", " ").replace(".", " ")
-        out[f"spdx license identifier {plain}"] = f"name:{spdx}"
-        for later in ("or later", "only"):
-            out[f"spdx license identifier {plain} {later}"] = f"name:{spdx}"
-        for name in names:
-            for notice in NOTICES:
-                for article in ("", "the ", "a ", "an "):
-                    out[notice.format(article + name)] = f"name:{spdx}"
-                    if "GPL" in spdx:
-                        out[notice.format(article + name) + " or later"] = f"later:{spdx}"
-                        out[notice.format(article + name) + " or any later version"] = f"later:{spdx}"
+    for family, (word, versions) in FAMILIES.items():
+        terms = _TERMS.format(word)
+        out[terms] = f"terms:{family}"
+        for text, v in versions.items():
+            later = f"version {text} of the license or at your option any later version"
+            out[f"{terms} either {later}"] = out[f"{terms} {later}"] = f"later:{family}-{v}"
+            out[f"{terms} version {text} of the license"] = f"name:{family}-{v}"
+            out[f"either {later}"] = out[later] = f"either:{v}"
+            out[f"version {text} of the license"] = f"version:{v}"
     return out
 
 
 def rules() -> list[tuple[str, str]]:
     """Licence and the identifiers in a row, as they stand in the list of a text's identifiers."""
     listed = [*TEXT_RULES]
+    for family, (_, versions) in FAMILIES.items():
+        for v in versions.values():
+            listed += [(f"{family}-{v}-or-later", [f"terms:{family}", f"either:{v}"]), (f"{family}-{v}", [f"terms:{family}", f"version:{v}"])]
     listed += [(f"{spdx}-or-later", [f"later:{spdx}"]) for spdx in NAMES if "GPL" in spdx]
     listed += [(spdx, [f"name:{spdx}"]) for spdx in NAMES]
     return [(name, "".join(f"<{i}>" for i in ids)) for name, ids in listed]
 
 
-def _identifiers() -> Column:
-    """Identifiers of the known sentences, in order: units of a run that together make one."""
-    sentences = known_sentences() | ADDED
-    known = F.create_map(*[F.lit(x) for pair in sorted(sentences.items()) for x in pair])
-    most = max(len(x.split()) for x in sentences)  # a unit has one word at least
-    cue = "|".join(CUES).replace(" ", "[^a-z0-9]+")
+def starts() -> str:
+    """A pattern of the first words of all that is known."""
+    texts = [*known_sentences(), *known_names(), *[p.lstrip("^") for _, p in PATTERNS]]
+    words = {t.split()[0] for t in texts} | set("this dual licensed released distributed available published provided covered made spdx the".split())
+    return rf"^([0-9]{{1,2}} )?({'|'.join(sorted(words))})( |$)|spdx license"
+
+
+def _literal_map(entries: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in sorted(entries.items()) for x in pair])
+
+
+def _identifier(s: Column) -> Column:
+    """The identifier of a normalised sentence, or null."""
+    names, known = _literal_map(known_names()), _literal_map(known_sentences())
+    out = known[s]
+    for i, pattern in PATTERNS:
+        out = F.coalesce(out, F.when(s.rlike(pattern), F.lit(i)))
+    for pattern in (SPDX, NOTICE, TITLE):
+        name = names[F.regexp_extract(s, pattern, 1)]
+        later = F.regexp_extract(s, pattern, 2).isin(" or later", " or any later version", " or newer") if pattern != TITLE else F.lit(False)
+        out = F.coalesce(out, F.concat(F.when(later & name.contains("GPL"), F.lit("later:")).otherwise(F.lit("name:")), name))
+    return out
+
+
+def _identifiers(clean: Column) -> Column:
+    """Identifiers of the known sentences, in order: runs of a sentence's lines that together make one."""
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    start = starts()
 
-    def hits(run: Column) -> Column:
-        units = F.transform(F.split(run, UNIT, -1), lambda u: F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")))
-        units = F.filter(units, lambda u: u != "")
+    def hits(sentence: Column) -> Column:
+        lines = F.transform(F.split(sentence, "\n", -1), lambda u: F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")))
+        return once(F.filter(lines, lambda u: u != ""), lambda u: once(runs(u), apart))
 
-        def longest(i: Column, units: Column) -> Column:
-            sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size(units) - i + 1))
-            ends = F.transform(sizes, lambda k: F.struct(i.alias("i"), k.alias("k"), known[F.array_join(F.slice(units, i, k), " ")].alias("id")))
-            return F.try_element_at(F.filter(ends, lambda e: e["id"].isNotNull()), F.lit(-1))
+    def runs(lines: Column) -> Column:
+        """The longest known run from each line that can begin one."""
 
-        def all_of(units: Column) -> Column:
-            places = F.filter(F.sequence(F.lit(0), F.size(units)), lambda i: i > 0)
-            return F.filter(F.transform(places, lambda i: longest(i, units)), lambda h: h.isNotNull())
+        def longest(i: Column) -> Column:
+            sizes = F.sequence(F.lit(1), F.least(F.lit(LINES), F.size(lines) - i + 1))
+            text = lambda k: F.regexp_replace(F.array_join(F.slice(lines, i, k), " "), "^[0-9]{1,2} ", "")
+            found = F.transform(sizes, lambda k: F.struct(i.alias("i"), k.alias("k"), once(text(k), _identifier).alias("id")))
+            return F.try_element_at(F.filter(found, lambda e: e["id"].isNotNull()), F.lit(-1))
 
-        def apart(found: Column) -> Column:
-            inside = lambda h: F.exists(found, lambda g: (g["i"] < h["i"]) & (g["i"] + g["k"] > h["i"]))
-            return F.transform(F.filter(found, lambda h: ~inside(h)), lambda h: h["id"])
+        places = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i > 0) & F.coalesce(F.try_element_at(lines, F.greatest(i, F.lit(1))), F.lit("")).rlike(start))
+        return F.filter(F.transform(places, longest), lambda h: h.isNotNull())
 
-        once = lambda x, f: F.transform(F.array(x), f)[0]
-        return once(units, lambda u: once(all_of(u), apart))
+    def apart(found: Column) -> Column:
+        inside = lambda h: F.exists(found, lambda g: (g["i"] < h["i"]) & (g["i"] + g["k"] > h["i"]))
+        return F.transform(F.filter(found, lambda h: ~inside(h)), lambda h: h["id"])
 
-    runs = F.filter(F.split("low", END, -1), lambda r: r.rlike(cue))
-    return F.when(F.col("low").rlike(cue), F.flatten(F.transform(runs, hits))).otherwise(F.array().cast("array<string>"))
+    sentences = F.filter(F.split(clean, END, -1), lambda r: r.rlike(CUE))
+    return F.flatten(F.transform(sentences, hits))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -164,14 +201,16 @@ def scan(docs: DataFrame) -> DataFrame:
     def step(s: Column, rule: Column) -> Column:
         there = s["left"].contains(rule["pattern"])
         return F.struct(
-            F.when(there, F.replace(s["left"], rule["pattern"], F.lit(""))).otherwise(s["left"]).alias("left"),
+            F.when(there, F.replace(s["left"], rule["pattern"], F.lit("|"))).otherwise(s["left"]).alias("left"),
             F.when(there, F.array_union(s["got"], F.array(rule["name"]))).otherwise(s["got"]).alias("got"),
         )
 
     found = F.when(F.size("ids") > 0, F.aggregate(ordered, state, step, lambda s: F.array_join(s["got"], ",")))
+    clean = F.regexp_replace(F.regexp_replace("low", MARK, "$1"), STOPS, "$1$2 ")
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-        .select("doc_id", _identifiers().alias("ids"))
+        .select("doc_id", F.when(F.col("low").rlike(CUE), clean).alias("clean"))
+        .select("doc_id", F.when(F.col("clean").isNotNull(), _identifiers(F.col("clean"))).otherwise(F.array().cast("array<string>")).alias("ids"))
         .select(
             "doc_id",
             F.size("ids").cast("long").alias("n_known"),
@@ -183,35 +222,46 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = sorted(known_sentences().items())
-    cued = " OR ".join(f"contains(low, {quoted(c)})" for c in CUES)
+    values = lambda d: ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in sorted(d.items()))
     steps, last = [], "found"
     for n, (name, pattern) in enumerate(rules()):
         there = f"contains(gone, {quoted(pattern)})"
         steps.append(
-            f"r{n} AS (SELECT doc_id, ids, CASE WHEN {there} THEN replace(gone, {quoted(pattern)}, '') ELSE gone END AS gone, "
+            f"r{n} AS (SELECT rid, ids, CASE WHEN {there} THEN replace(gone, {quoted(pattern)}, '|') ELSE gone END AS gone, "
             f"CASE WHEN {there} AND NOT list_contains(got, {quoted(name)}) THEN list_append(got, {quoted(name)}) ELSE got END AS got FROM {last})"
         )
         last = f"r{n}"
-    values = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in known)
+    fits = " ".join(f"WHEN regexp_matches(t, {quoted(p)}) THEN {quoted(i)}" for i, p in PATTERNS)
+    later = lambda p: f"regexp_extract(t, {quoted(p)}, 2) IN (' or later', ' or any later version', ' or newer')"
+    named = lambda a, p: f"CASE WHEN {a}.spdx IS NOT NULL THEN (CASE WHEN {later(p)} AND contains({a}.spdx, 'GPL') THEN 'later:' ELSE 'name:' END) || {a}.spdx END"
     return f"""
-WITH known(sentence, id) AS (VALUES {values}),
-lowered AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
-parts AS (
-  SELECT doc_id, unnest(regexp_split_to_array(low, '{BREAK}')) AS part,
-         generate_subscripts(regexp_split_to_array(low, '{BREAK}'), 1) AS pos
-  FROM lowered WHERE {cued}),
+WITH known(sentence, id) AS (VALUES {values(known_sentences())}),
+names(name, spdx) AS (VALUES {values(known_names())}),
+numbered AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS low FROM documents),
+cleaned AS (SELECT rid, regexp_replace(regexp_replace(low, {quoted(MARK)}, '\\1', 'g'), {quoted(STOPS)}, '\\1\\2 ', 'g') AS clean FROM numbered WHERE regexp_matches(low, {quoted(CUE)})),
+split AS (SELECT rid, regexp_split_to_array(clean, {quoted(END)}) AS parts FROM cleaned),
+sentences AS (SELECT rid, unnest(parts) AS part, generate_subscripts(parts, 1) AS sn FROM split),
+lined AS (
+  SELECT rid, sn, list_filter(list_transform(string_split(part, chr(10)), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM sentences WHERE regexp_matches(part, {quoted(CUE)})),
+begun AS (SELECT rid, sn, lines, unnest(range(1, len(lines) + 1)) AS i FROM lined),
+runs AS (SELECT rid, sn, i, lines, unnest(range(1, least({LINES}, len(lines) - i + 1) + 1)) AS k FROM begun WHERE regexp_matches(lines[i], {quoted(starts())})),
+texts AS (SELECT rid, sn, i, k, regexp_replace(array_to_string(lines[i:i + k - 1], ' '), '^[0-9]{{1,2}} ', '') AS t FROM runs),
 hits AS (
-  SELECT p.doc_id, list(k.id ORDER BY p.pos) AS ids
-  FROM parts p JOIN known k ON trim(regexp_replace(p.part, '[^a-z0-9]+', ' ', 'g')) = k.sentence
-  GROUP BY p.doc_id),
-found AS (
-  SELECT doc_id, ids, '<' || array_to_string(ids, '><') || '>' AS gone, CAST([] AS VARCHAR[]) AS got FROM hits),
+  SELECT rid, sn, i, k, coalesce(known.id, CASE {fits} END, {named('a', SPDX)}, {named('b', NOTICE)}, 'name:' || c.spdx) AS id
+  FROM texts LEFT JOIN known ON t = known.sentence
+  LEFT JOIN names a ON regexp_extract(t, {quoted(SPDX)}, 1) = a.name
+  LEFT JOIN names b ON regexp_extract(t, {quoted(NOTICE)}, 1) = b.name
+  LEFT JOIN names c ON regexp_extract(t, {quoted(TITLE)}, 1) = c.name),
+longest AS (SELECT rid, sn, i, max(k) AS k, arg_max(id, k) AS id FROM hits WHERE id IS NOT NULL GROUP BY rid, sn, i),
+apart AS (SELECT * FROM longest x WHERE NOT EXISTS (SELECT 1 FROM longest g WHERE g.rid = x.rid AND g.sn = x.sn AND g.i < x.i AND g.i + g.k > x.i)),
+listed AS (SELECT rid, list(id ORDER BY sn, i) AS ids FROM apart GROUP BY rid),
+found AS (SELECT rid, ids, '<' || array_to_string(ids, '><') || '>' AS gone, CAST([] AS VARCHAR[]) AS got FROM listed),
 {", ".join(steps)}
 SELECT d.doc_id, coalesce(len(r.ids), 0)::BIGINT AS n_known,
        coalesce(array_to_string(r.ids, ','), '') AS sentence_ids,
        coalesce(array_to_string(r.got, ','), '') AS licenses
-FROM documents d LEFT JOIN {last} r ON d.doc_id = r.doc_id
+FROM numbered d LEFT JOIN {last} r ON d.rid = r.rid
 """
 
 

@@ -245,3 +245,44 @@ def test_links_that_the_least_of_a_bucket_lacks(spark, tmp_path):
     found = fingerprints.similar_pairs(spark.read.parquet(path)).collect()
     assert {r["c"] for r in components(spark.createDataFrame([(r["a"], r["b"]) for r in found], "a long, b long")).collect()} == {0}
     assert len({i for r in found for i in (r["a"], r["b"])}) == 25
+
+#: Notices and texts as files hold them, and what they are.
+SHIPPED = {
+    "MIT": 'MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "BSD-3-Clause": '/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n *\n * 1. Redistributions of source code must retain the above copyright notice, this\n *    list of conditions and the following disclaimer.\n *\n * 2. Redistributions in binary form must reproduce the above copyright notice,\n *    this list of conditions and the following disclaimer in the documentation\n *    and/or other materials provided with the distribution.\n *\n * 3. Neither the name of Example Works nor the names of its\n *    contributors may be used to endorse or promote products derived from\n *    this software without specific prior written permission.\n */\nint main;',
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n  * Redistributions of source code must retain the above copyright notice, this\n  list of conditions and the following disclaimer.\n  * Redistributions in binary form must reproduce the above copyright notice,\n  this list of conditions and the following disclaimer in the documentation\n  and/or other materials provided with the distribution.",
+    "ISC": 'Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND EXAMPLE DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.',
+    "Apache-2.0": '# Copyright 2020 Someone\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nimport x',
+    "GPL-3.0-or-later": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\n//\n// This program is distributed in the hope that it will be useful,",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-4.0": "My notes\nThis work is licensed under a Creative Commons Attribution 4.0 International License\nand more",
+    "MIT,Apache-2.0": "Licensed under the MIT License. Released under the Apache License, Version 2.0.",
+    "": "The license plate of the software team's car has no permission to park.",
+}
+
+
+def test_licences_as_shipped(spark, tmp_path):
+    """Wrapped texts behind comment marks; the SQL finds the same; what a rule takes leaves a gap."""
+    import duckdb
+
+    s = licenses.SENTENCES
+    rows = [(i, t) for i, t in enumerate(SHIPPED.values())]
+    gap = f"{s['bsd-grant']}. Licensed under the MIT License. {s['bsd-source']}. {s['bsd-binary']}."
+    rows += [(100, gap), (101, None), (102, ""), (100, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path.as_uri()}/documents.parquet")
+    got = licenses.op6(spark, tmp_path.as_uri()).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got if r["doc_id"] < 100} == {i: want for i, want in enumerate(SHIPPED)}
+    assert sorted(r["licenses"] for r in got if r["doc_id"] >= 100) == ["", "", "MIT", "MIT"]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.sql(licenses.SQL["op6_license_rules"]).fetchall())
+
+
+def test_every_known_sentence_has_a_cue_and_a_start():
+    import re
+
+    for text in [*licenses.known_sentences(), *[f"licensed under {n}" for n in licenses.known_names()]]:
+        assert re.search(licenses.CUE, text) and re.search(licenses.starts(), text), text
