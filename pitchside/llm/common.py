@@ -93,8 +93,8 @@ def map_arrow(
 HEAVY_KEYS = 2000
 
 
-#: A table of so many keys with small columns is sent to every task (8 MB or so); a larger one is shuffled.
-FEW_KEYS = 200_000
+#: A table of so many keys with small columns is sent to every task (2 MB or so); a larger one is shuffled.
+FEW_KEYS = 50_000
 
 
 def weight_of(found: DataFrame, n: str) -> tuple[int, int, int]:

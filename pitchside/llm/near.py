@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import FEW_KEYS, cut, id_or_null, lookup, map_arrow, pieces, shingle_hashes, weight_of
+from pitchside.llm.common import FEW_KEYS, cut, id_or_null, lookup, map_arrow, pieces, shingle_hashes, slices, weight_of
 
 #: Documents of a bucket that is compared at once, and of a block of a larger one.
 SMALL = 200
@@ -178,7 +178,7 @@ def _compared(mixed: DataFrame, grams: DataFrame, similarity: float) -> DataFram
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, block = None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found: list[tuple] = []
             for key, at, kind, i, c, ask, grams_ in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (key, at) != place:
