@@ -6,15 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A decimal number; single underscores may part its digits.
+_DECIMAL = r"^[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?$"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def safe_float(c: Column, default: float | None = None) -> Column:
-    """A finite number or the default."""
-    x = F.trim(c).try_cast("double")
-    return F.coalesce(F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x), F.lit(default))
+    """A finite decimal number or the default: no hexadecimal, no type suffix, no NaN or infinity."""
+    t = stripped(c)
+    x = F.when(t.rlike(_DECIMAL), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.coalesce(F.when(F.abs(x) != float("inf"), x), F.lit(default))
 
 
 def safe_int(c: Column, default: int | None = 0) -> Column:
-    """A number cut towards zero, or the default."""
-    return F.coalesce(safe_float(c).cast("long"), F.lit(default))
+    """A number cut towards zero, or the default (also beyond 64 bits)."""
+    return F.coalesce(safe_float(c).try_cast("long"), F.lit(default))
 
 
 def scraped_number(c: Column) -> Column:
@@ -22,16 +32,22 @@ def scraped_number(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9.+\-]", "").try_cast("double")
 
 
-#: Day first, then ISO, then month first, then compact, as a reader of mixed files tries them.
-DATE_FORMATS = ("d/M/yyyy", "d/M/yy", "yyyy-M-d", "M/d/yyyy", "yyyyMMdd")
-_SHAPES = (r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}/\d{1,2}/\d{2}$", r"^\d{4}-\d{1,2}-\d{1,2}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{8}$")
+#: Formats and their shapes, in the order in which a reader of mixed files tries them.
+DATE_FORMATS = {
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+#: The order of files that write the month first.
+MONTH_FIRST = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy")
 
 
-def parsed_date(c: Column) -> Column:
+def parsed_date(c: Column, formats: tuple[str, ...] = tuple(DATE_FORMATS)) -> Column:
     """The first format that fits."""
-    c = F.trim(c)
-    tries = [F.when(c.rlike(s), F.try_to_date(c, f)) for f, s in zip(DATE_FORMATS, _SHAPES, strict=True)]
-    return F.coalesce(*tries)
+    c = stripped(c)
+    return F.coalesce(*[F.when(c.rlike(DATE_FORMATS[f]), F.try_to_date(c, f)) for f in formats])
 
 
 def _season(start: Column) -> Column:
@@ -44,12 +60,12 @@ def season_of(day: Column, first_month: int) -> Column:
 
 
 def season_in_name(name: Column, day: Column, first_month: int = 7) -> Column:
-    """Season from a file name (2023-24, 2023_24 or 2324), else from the date."""
-    long = F.regexp_extract(name, r"(20\d{2})[-_](\d{2})", 1)
-    y1 = F.regexp_extract(name, r"(\d{2})(\d{2})", 1).try_cast("int")
-    y2 = F.regexp_extract(name, r"(\d{2})(\d{2})", 2).try_cast("int")
+    """Season from a file name (2023-24, 2023_24, or the first lone 2324), else from the date."""
+    long, lone = r"(20\d{2})[-_](\d{2})", r"(?<!\d)(\d{2})(\d{2})(?!\d)"
+    y1 = F.regexp_extract(name, lone, 1).try_cast("int")
+    y2 = F.regexp_extract(name, lone, 2).try_cast("int")
     return (
-        F.when(long != "", F.concat(long, F.lit("-"), F.regexp_extract(name, r"(20\d{2})[-_](\d{2})", 2)))
+        F.when(name.rlike(long), F.concat_ws("-", F.regexp_extract(name, long, 1), F.regexp_extract(name, long, 2)))
         .when(y2 == (y1 + 1) % 100, _season(2000 + y1))
         .otherwise(season_of(day, first_month))
     )
@@ -74,13 +90,13 @@ SELECTIONS = {
 
 
 def canonical_selection(c: Column) -> Column:
-    """Lower case with underscores, one spelling for each outcome, no trailing zeros of a line."""
+    """Lower case with underscores, one spelling for each outcome, no trailing zeros of a decimal."""
     s = F.regexp_replace(F.lower(F.trim(c)), r"[\s–]+", "_")
     s = F.regexp_replace(s, r"([a-z])-([0-9])", "$1_$2")
     known = F.create_map(*[F.lit(x) for pair in SELECTIONS.items() for x in pair])
     s = F.coalesce(known[s], s)
-    s = F.regexp_replace(s, r"^((?:over|under)_[0-9]+\.[0-9]*?)0+$", "$1")
-    return F.regexp_replace(s, r"^((?:over|under)_[0-9]+)\.$", "$1")
+    s = F.regexp_replace(s, r"([0-9]+\.[0-9]*?)0+(?![0-9])", "$1")
+    return F.regexp_replace(s, r"([0-9]+)\.(?![0-9])", "$1")
 
 
 def direction_and_line(c: Column) -> Column:
@@ -95,9 +111,9 @@ def tokens(c: Column, least: int = 3) -> Column:
 
 
 def last_name(c: Column) -> Column:
-    """What stands before a comma, else the first of the longest words."""
-    words = F.split(F.trim(c), r"\s+")
-    longest = F.aggregate(words, F.lit(""), lambda b, w: F.when(F.length(w) > F.length(b), w).otherwise(b))
+    """What stands before a comma, else the first of the longest words, lower case."""
+    c = F.lower(F.regexp_replace(stripped(c), r"\s+", " "))
+    longest = F.aggregate(F.split(c, " "), F.lit(""), lambda b, w: F.when(F.length(w) > F.length(b), w).otherwise(b))
     return F.when(F.contains(c, F.lit(",")), F.trim(F.substring_index(c, ",", 1))).otherwise(longest)
 
 

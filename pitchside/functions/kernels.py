@@ -61,15 +61,18 @@ def match(s: np.ndarray, best_of: int = 3) -> np.ndarray:
     return s * s * (3 - 2 * s) if best_of == 3 else s**3 * (10 - 15 * s + 6 * s * s)
 
 
-def legs(home: np.ndarray, away: np.ndarray, target: int) -> np.ndarray:
-    """Probability that the home player is first to so many legs, with the throw changing every leg."""
-    mass = {(0, 0): np.ones_like(home)}
-    won = np.zeros_like(home)
-    for n in range(2 * target - 1):
-        p = home if n % 2 == 0 else 1 - away
+def first_to(first: np.ndarray, second: np.ndarray, target: int, a: int = 0, b: int = 0) -> np.ndarray:
+    """Probability that A is first to target from a to b, when A wins the next part with probability
+    first, the one after it with second, and so on by turns."""
+    if a >= target or b >= target:
+        return np.full_like(first, float(a >= target))
+    mass = {(a, b): np.ones_like(first)}
+    won = np.zeros_like(first)
+    for n in range(2 * target - 1 - a - b):
+        p = first if n % 2 == 0 else second
         after: dict[tuple[int, int], np.ndarray] = {}
-        for (a, b), m in mass.items():
-            for to, share in (((a + 1, b), p), ((a, b + 1), 1 - p)):
+        for (x, y), m in mass.items():
+            for to, share in (((x + 1, y), p), ((x, y + 1), 1 - p)):
                 if to[0] == target:
                     won = won + m * share
                 elif to[1] < target:
@@ -78,6 +81,59 @@ def legs(home: np.ndarray, away: np.ndarray, target: int) -> np.ndarray:
     return won
 
 
+def legs(home: np.ndarray, away: np.ndarray, target: int, a: int = 0, b: int = 0, home_first: bool = True) -> np.ndarray:
+    """Probability that the home player is first to so many legs, with the throw changing every leg."""
+    return first_to(home, 1 - away, target, a, b) if home_first else first_to(1 - away, home, target, a, b)
+
+
+def leg_sets(home: np.ndarray, away: np.ndarray, legs_per_set: int = 5, target: int = 4, a: int = 0, b: int = 0, home_first: bool = True) -> np.ndarray:
+    """The same for sets of legs; the first throw changes every set."""
+    need = (legs_per_set + 1) // 2
+    own, other = (np.round(legs(home, away, need, home_first=f), 4) for f in (True, False))
+    return first_to(own, other, target, a, b) if home_first else first_to(other, own, target, a, b)
+
+
+def _by_state(f, state: pd.DataFrame, *rates: np.ndarray) -> pd.Series:
+    """f over the rows of each state; a state with nulls gives null."""
+    out = pd.Series(np.nan, index=state.index)
+    for key, rows in state.groupby(list(state.columns), dropna=True).groups.items():
+        at = state.index.get_indexer(rows)
+        out.iloc[at] = f(*[int(k) for k in key], *[r[at] for r in rates])
+    return out
+
+
+def tennis_update(p: Column, home: Column, away: Column, clock: Column, stats: Column) -> Column:
+    """Match win from sets won; stats may hold p_serve_home, p_serve_away, best_of and a_serving (1 or 0)."""
+    number = lambda n, default: F.coalesce(stats[n], F.lit(float(default)))
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, sh: pd.Series, sa: pd.Series, best: pd.Series, serves: pd.Series) -> pd.Series:
+        def win(won: int, lost: int, best_of: int, first: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            s = sets(x, y)[0] if first else 1 - sets(y, x)[0]
+            return first_to(s, s, (best_of + 1) // 2, won, lost)
+
+        return _by_state(win, pd.DataFrame({"a": a, "b": b, "best": best, "serves": serves}), sh.round(4).to_numpy(float), sa.round(4).to_numpy(float))
+
+    return run(home.cast("double"), away.cast("double"), number("p_serve_home", 0.65), number("p_serve_away", 0.62), number("best_of", 3), number("a_serving", 1))
+
+
+def darts_update(p: Column, home: Column, away: Column, clock: Column, stats: Column) -> Column:
+    """Match win from legs or sets won; stats may hold p_leg_home, p_leg_away, legs_to_win, sets (1: sets of legs),
+    legs_per_set, sets_to_win and home_throwing (1 or 0)."""
+    number = lambda n, default: F.coalesce(stats[n], F.lit(float(default)))
+    own = number("p_leg_home", 0.55)
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series, to: pd.Series, by_sets: pd.Series, per: pd.Series, sets_to: pd.Series, throws: pd.Series) -> pd.Series:
+        def win(won: int, lost: int, target: int, sets_: int, per_set: int, of: int, first: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return leg_sets(x, y, per_set, of, won, lost, bool(first)) if sets_ else legs(x, y, target, won, lost, bool(first))
+
+        state = pd.DataFrame({"a": a, "b": b, "to": to, "sets": by_sets, "per": per, "of": sets_to, "first": throws})
+        return _by_state(win, state, h.round(4).to_numpy(float), w.round(4).to_numpy(float))
+
+    return run(home.cast("double"), away.cast("double"), own, F.coalesce(stats["p_leg_away"], 1 - own), number("legs_to_win", 6), number("sets", 0), number("legs_per_set", 5), number("sets_to_win", 4), number("home_throwing", 1))
+
+
 def tennis(pa: Column, pb: Column, best_of: int = 3) -> Column:
     """Struct of the set, the match and the expected games, from the points won on serve."""
 

@@ -7,10 +7,13 @@ import unicodedata
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchside.functions.cleaning import last_name
+
 LEAST_RATIO = 0.88
 #: Canonical names that fit in every task.
 MAX_NAMES = 100_000
@@ -53,62 +56,102 @@ def abbreviates(short: Column, full: Column) -> Column:
 
 
 def closest_names(names: DataFrame, canonical: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
-    """name, canonical and ratio: the first of the most similar known names, if similar enough.
+    """name, canonical and ratio: the first of the most similar known names, if similar enough; a row for each of names.
 
     The known names are a dimension; they go to every task only after a check of their number, and
-    beyond it each goes to the names of about its length, in blocks of a shuffle.
+    beyond it each goes to the names of about its length, in blocks of a shuffle. Either way each
+    distinct name is looked up once.
     """
-    known = canonical.select("canonical").distinct()
-    n = known.limit(MAX_NAMES + 1).count()
-    if n <= MAX_NAMES:
+    known = canonical.select("canonical").where("canonical is not null").distinct()
+    asked = names.select("name").where("name <> ''").distinct()
+    if known.limit(MAX_NAMES + 1).count() <= MAX_NAMES:
         rows = sorted(r["canonical"] for r in known.collect())
+        counts = _letters(rows)
 
         @F.pandas_udf("canonical string, ratio double")
         def run(s: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([_closest(x, rows, least) for x in s], columns=["canonical", "ratio"])
-
-        return names.select("name", run("name").alias("r")).select("name", "r.*").where("canonical is not null")
-    # a ratio of least bounds the lengths: shorter / longer >= least / (2 - least)
-    step = 8
-    reach = F.ceil(F.length("name") * (2 - least) / least / step)
-    low = F.floor(F.length("name") * least / (2 - least) / step)
-    x = names.select("name", F.explode(F.sequence(low, reach)).alias("bin"))
-    y = known.select("canonical", F.floor(F.length("canonical") / step).alias("bin"))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)])
-
-    scored = x.join(y, "bin").withColumn("ratio", ratio("name", "canonical")).where(F.col("ratio") >= least)
-    return scored.groupBy("name").agg(F.min_by(F.struct("canonical", "ratio"), F.struct(-F.col("ratio"), F.col("canonical"))).alias("r")).select("name", "r.*")
-
-
-def _closest(name: str | None, rows: list[str], least: float) -> tuple[str | None, float | None]:
+            return pd.DataFrame([_closest(x, rows, counts, least) for x in s], columns=["canonical", "ratio"])
+
+        found = asked.select("name", run("name").alias("r")).select("name", "r.*").where("canonical is not null")
+    else:
+        # a ratio of least bounds the lengths: shorter / longer >= least / (2 - least)
+        step = 8
+        reach = F.ceil(F.length("name") * (2 - least) / least / step)
+        low = F.floor(F.length("name") * least / (2 - least) / step)
+        x = asked.select("name", F.explode(F.sequence(low, reach)).alias("bin"))
+        y = known.select("canonical", F.floor(F.length("canonical") / step).alias("bin"))
+
+        @F.pandas_udf("double")
+        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)])
+
+        scored = x.join(y, "bin").withColumn("ratio", ratio("name", "canonical")).where(F.col("ratio") >= least)
+        found = scored.groupBy("name").agg(F.min_by(F.struct("canonical", "ratio"), F.struct(-F.col("ratio"), F.col("canonical"))).alias("r")).select("name", "r.*")
+    return names.select("name").join(found, "name")
+
+
+def _letters(names: list[str]) -> np.ndarray:
+    """How often each of 64 kinds of letters is in each name."""
+    out = np.zeros((len(names), 64), np.int16)
+    for row, name in zip(out, names, strict=True):
+        np.add.at(row, [ord(c) % 64 for c in name], 1)
+    return out
+
+
+def _closest(name: str, rows: list[str], counts: np.ndarray, least: float) -> tuple[str | None, float | None]:
+    """No ratio is above twice the letters in common by the letters of both, so most names need none."""
+    if not rows:
+        return None, None
+    own = _letters([name])[0]
+    bound = 2 * np.minimum(counts, own).sum(axis=1) / (counts.sum(axis=1) + own.sum())
     best, top = None, 0.0
-    for other in rows if name else []:
-        m = SequenceMatcher(None, name, other)
-        if m.real_quick_ratio() > top and m.quick_ratio() > top and (r := m.ratio()) > top:
-            best, top = other, r
-    return (best, top) if top >= least else (None, None)
-
-
-def event_matches(matches: DataFrame, events: DataFrame, least: int = 3) -> DataFrame:
-    """Each match with the event of its day that names the same teams.
-
-    matches: match_id, day, home, away; events: event_id, day, home, away (keys as of name_key).
-    Equal names come first, then abbreviations, then the most shared words (one at least for each
-    side); ties go to the least event_id. Only events of the same day are compared.
+    for i in np.lexsort((np.arange(len(rows)), -bound)).tolist():
+        if bound[i] < max(top, least):
+            break
+        r = SequenceMatcher(None, name, rows[i]).ratio()
+        if r >= least and (r > top or r == top and i < best):
+            best, top = i, r
+    return (None, None) if best is None else (rows[best], top)
+
+
+def event_matches(matches: DataFrame, events: DataFrame, least: int = 3, fixture_order: bool = False, passes: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """Each match with the event that names the same teams: match_id, event_id and tier.
+
+    matches: match_id, day, home, away, and bound (an event id known already, or null); events:
+    event_id, day, home, away (keys as of name_key). A bound event of any day comes first (tier 0).
+    Then, among events of the same day that share a word, a last name or an initial with the match:
+    equal names (1), abbreviations (2), the most shared words or one name inside the other, on both
+    sides (3), equal last names on both sides (4). Ties go to the least event_id. With fixture_order
+    the first event by id that fits any pass wins. Only the tiers in passes count.
+
+    Names are compared only where a word of both home names agrees, so a busy day is not a product.
     """
-    m, e = matches.alias("m"), events.alias("e")
+    if "bound" not in matches.columns:
+        matches = matches.withColumn("bound", F.lit(None).cast(events.schema["event_id"].dataType))
+    keys = lambda c: F.array_distinct(F.filter(F.split(c, r"[\s,.]+"), lambda t: t != ""))
+    m = matches.select("*", F.explode(keys(F.col("home"))).alias("word")).alias("m")
+    e = events.select("*", F.explode(keys(F.col("home"))).alias("word")).alias("e")
     words = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= least)
     side = lambda a, b: F.greatest(F.size(F.array_intersect(words(a), words(b))), (F.contains(a, b) | F.contains(b, a)).cast("int"))
     mh, ma, eh, ea = F.col("m.home"), F.col("m.away"), F.col("e.home"), F.col("e.away")
     same = lambda a, b: (a == b) | abbreviates(a, b) | abbreviates(b, a)
     home, away = side(mh, eh), side(ma, ea)
-    tier = F.when((mh == eh) & (ma == ea), 0).when(same(mh, eh) & same(ma, ea), 1).when((home > 0) & (away > 0), 2)
-    scored = m.join(e, F.col("m.day") == F.col("e.day")).select("m.match_id", "e.event_id", tier.alias("tier"), (home + away).alias("score")).where("tier is not null")
-    order = F.struct("tier", F.when(F.col("tier") == 2, -F.col("score")).otherwise(0).alias("s"), "event_id")
-    return scored.groupBy("match_id").agg(F.min_by(F.struct("event_id", "tier"), order).alias("r")).select("match_id", "r.*")
+    tier = (
+        F.when((mh == eh) & (ma == ea), 1)
+        .when(same(mh, eh) & same(ma, ea), 2)
+        .when((home > 0) & (away > 0), 3)
+        .when((last_name(mh) == last_name(eh)) & (last_name(ma) == last_name(ea)), 4)
+    )
+    named = (
+        m.join(e, (F.col("m.day") == F.col("e.day")) & (F.col("m.word") == F.col("e.word")))
+        .select("m.match_id", "e.event_id", tier.alias("tier"), F.when(tier == 3, home + away).otherwise(0).alias("score"))
+        .where("tier is not null")
+    )
+    bound = matches.where("bound is not null").join(events.select(F.col("event_id").alias("bound")), "bound").select(
+        "match_id", F.col("bound").alias("event_id"), F.lit(0).alias("tier"), F.lit(0).alias("score")
+    )
+    order = F.struct(F.col("tier") > 0, "event_id", "tier") if fixture_order else F.struct("tier", (-F.col("score")).alias("s"), "event_id")
+    return bound.unionByName(named).where(F.col("tier").isin(*passes)).groupBy("match_id").agg(F.min_by(F.struct("event_id", "tier"), order).alias("r")).select("match_id", "r.*")
 
 
 class _Tables(HTMLParser):
@@ -136,14 +179,15 @@ class _Tables(HTMLParser):
 
 
 def html_tables(c: Column) -> Column:
-    """Tables, rows and cells of a page; empty rows are left out."""
+    """Tables, rows and cells of a page; empty rows and empty tables are left out."""
 
     @F.pandas_udf("array<array<array<string>>>")
     def run(s: pd.Series) -> pd.Series:
         def tables(page):
             p = _Tables()
             p.feed(page or "")
-            return [[r for r in t if r] for t in p.tables]
+            found = [[r for r in t if r] for t in p.tables]
+            return [t for t in found if t]
 
         return s.map(tables)
 

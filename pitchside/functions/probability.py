@@ -145,3 +145,62 @@ def football_live(home: Column, away: Column, minute: Column, rate_h: Column, ra
     win = total(F.transform(h, lambda p, i: p * below(i + lead)))
     p = F.when(left <= 0, (home > away).cast("double")).otherwise(win)
     return F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+
+
+# --- live models ------------------------------------------------------------------------------------
+
+
+def _live_goals(lead: Column, h: list[Column], a: list[Column]) -> tuple[Column, Column]:
+    """Probabilities to be ahead and level at the end, from a lead and the goals still to come."""
+    x, y = F.array(*h), F.array(*a)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    part = lambda n, hit: total(F.transform(y, lambda q, j: F.when(hit(j, n), q).otherwise(F.lit(0.0))))
+    ahead = total(F.transform(x, lambda p, i: p * part(i + lead, lambda j, n: j < n)))
+    level = total(F.transform(x, lambda p, i: p * part(i + lead, lambda j, n: j == n)))
+    return ahead, level
+
+
+def blended_rate(seen: Column, prior: Column, elapsed: Column, most: float = 5.0) -> Column:
+    """A rate of the whole match: what was seen so far, weighed by the share elapsed, and the prior."""
+    live = F.least(F.greatest(seen, F.lit(0.0)) / F.nullif(elapsed, F.lit(0.0)), F.lit(most))
+    return F.when((elapsed > 0.05) & seen.isNotNull(), elapsed * live + (1 - elapsed) * prior).otherwise(prior)
+
+
+def football_update(p: Column, home: Column, away: Column, clock: Column, stats: Column) -> Column:
+    """Home win from score and minute; stats may hold home_xg and away_xg, both or none."""
+    share = F.greatest(F.lit(0.0), 90 - clock) / 90
+    both = stats["home_xg"].isNotNull() & stats["away_xg"].isNotNull()
+    rate = lambda n, prior: blended_rate(F.when(both, stats[n]), F.lit(prior), clock / 90)
+    goals = lambda r: [poisson(k, F.greatest(r * share, F.lit(0.01))) for k in range(GOALS + 1)]
+    ahead, _ = _live_goals(home - away, goals(rate("home_xg", 1.45)), goals(rate("away_xg", 1.15)))
+    return F.when(share <= 0, (home > away).cast("double")).otherwise(ahead)
+
+
+def hockey_update(p: Column, home: Column, away: Column, clock: Column, stats: Column) -> Column:
+    """Home win with overtime; without expected goals the rates follow from the prior."""
+    share, elapsed = F.greatest(F.lit(0.0), 60 - clock) / 60, clock / 60
+    both = stats["home_xg"].isNotNull() & stats["away_xg"].isNotNull()
+    own = F.greatest(F.lit(0.1), -F.log(1 - F.least(p, F.lit(0.99))) * 2.5)
+
+    def rate(n: str, prior: Column) -> Column:
+        seen = F.greatest(stats[n], F.lit(0.0))
+        late = F.least(seen / F.nullif(elapsed, F.lit(0.0)), F.lit(8.0))
+        return F.when(both, F.when(elapsed > 0.05, late).otherwise(seen)).otherwise(prior) * share
+
+    goals = lambda r: [poisson(k, r) for k in range(HOCKEY_GOALS + 1)]
+    ahead, level = _live_goals(home - away, goals(rate("home_xg", own)), goals(rate("away_xg", F.greatest(F.lit(0.1), 0.85 * own))))
+    final = F.when(home > away, 1.0).when(home < away, 0.0).otherwise(OVERTIME_HOME)
+    return F.when(share <= 0, final).otherwise(ahead + OVERTIME_HOME * level)
+
+
+def basketball_update(p: Column, home: Column, away: Column, clock: Column, stats: Column) -> Column:
+    return live_normal(p, (home - away).cast("double"), F.greatest(F.lit(0.0), 48 - clock), 48.0, 12.0)
+
+
+def american_football_update(p: Column, home: Column, away: Column, clock: Column, stats: Column) -> Column:
+    return live_normal(p, (home - away).cast("double"), F.greatest(F.lit(0.0), 60 - clock), 60.0, 13.5)
+
+
+def hockey_over(home: Column, away: Column, line: float = 5.5) -> Column:
+    """Probability of more goals than the line."""
+    return poisson_over(home, away, line)

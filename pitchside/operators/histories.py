@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def asof_before(probes: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, values: list[str]) -> DataFrame:
@@ -66,25 +69,24 @@ def ratio_of_sums(top: str, bottom: str, w: Window, digits: int = 4) -> Column:
 def anchored_clusters(df: DataFrame, keys: list[str], time: str, tie: str, minutes: int = 15) -> DataFrame:
     """Clusters of a key's rows: a row further than so many minutes from its cluster's first begins the next.
 
-    Rows with a gap before them begin a chain; the greedy walk is needed within chains only, and
-    runs as a fold over a chain's own times, so a busy key is cut into many groups.
+    The greedy walk reads the sorted rows of a partition as a stream and keeps the first time and row
+    of the open cluster only, so a key of any length takes linear time and no memory.
     """
-    limit = minutes * 60
-    w = Window.partitionBy(*keys).orderBy(time, tie)
-    t = F.unix_micros(F.col(time).cast("timestamp"))
-    gap = F.coalesce((t - F.lag(t).over(w) > limit * 1_000_000).cast("int"), F.lit(1))
-    chained = df.withColumn("_g", gap).withColumn("_chain", F.sum("_g").over(w)).drop("_g")
-    rows = chained.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(F.struct(t.alias("t"), F.col(tie).alias("i")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("first"), F.array().cast("array<struct<i:bigint,a:bigint>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        new = s["anchor"].isNull() | (r["t"] - s["anchor"] > limit * 1_000_000)
-        first = F.when(new, r["i"].cast("long")).otherwise(s["first"])
-        pair = F.struct(r["i"].cast("long").alias("i"), first.alias("a"))
-        return F.struct(F.when(new, r["t"]).otherwise(s["anchor"]).alias("anchor"), first.alias("first"), F.array_append(s["out"], pair).alias("out"))
-
-    walked = rows.select(*keys, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
-    return walked.select(*keys, F.col("r.i").alias(tie), F.col("r.a").alias("cluster"))
+    limit = minutes * 60 * 1_000_000
+    rows = df.select(*keys, F.col(tie).cast("long").alias(tie), F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
+    schema = StructType([*rows.drop("_t").schema.fields, StructField("cluster", LongType())])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_, anchor, first = None, 0, 0
+        for pdf in batches:
+            found = []
+            for *key, i, t in pdf.itertuples(index=False):
+                if key != open_ or t - anchor > limit:
+                    open_, anchor, first = key, t, i
+                found.append(first)
+            yield pdf.drop(columns="_t").assign(cluster=found)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_t", tie).mapInPandas(walk, schema)
 
 
 def near_pairs(df: DataFrame, keys: list[str], time: str, tie: str, minutes: int = 15) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Latest, best and first rows of a key, without a sort: aggregates that combine on the map side."""
+"""Latest, best and first rows of a key: aggregates that combine on the map side before the shuffle.
+
+Rows as structs make Spark sort its (already combined) groups; a window would sort and shuffle every row.
+"""
 
 from __future__ import annotations
 

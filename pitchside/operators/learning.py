@@ -44,7 +44,7 @@ def walk_forward(df: DataFrame, columns: list[str], day: Column, tie: str, folds
     One model is fitted for each fold; the rows stay in Spark.
     """
     rows = placed(df, day, tie)
-    rows = rows.withColumn("fold_", fold_of(F.col("n_"), folds, F.col("position_"))).cache()
+    rows = rows.withColumn("fold_", fold_of(F.col("n_"), folds, F.col("position_")))
     out = None
     for k in range(1, folds + 1):
         train, test = rows.where(F.coalesce("fold_", F.lit(0)) < k), rows.where(F.col("fold_") == k)

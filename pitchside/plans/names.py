@@ -9,8 +9,8 @@ from pitchside.functions import cleaning as C
 from pitchside.plans.adapters import MATCHES, matches, table
 
 #: A generated mess: what a CSV cell may hold, by part key.
-_CELLS = (" 12 ", "3.75", "", "n/a", "-4.9", "1e3", "+7", "NaN", "Infinity", "12abc")
-CELL = "[' 12 ', '3.75', '', 'n/a', '-4.9', '1e3', '+7', 'NaN', 'Infinity', '12abc'][p_partkey % 10 + 1]"
+_CELLS = (" 12 ", "3.75", "", "n/a", "-4.9", "1e3", "+7", "NaN", "Infinity", "12abc", "12d", "1.5f", "0x1p3", "1e19", "\t8\n")
+CELL = "[' 12 ', '3.75', '', 'n/a', '-4.9', '1e3', '+7', 'NaN', 'Infinity', '12abc', '12d', '1.5f', '0x1p3', '1e19', ' 8 '][p_partkey % 15 + 1]"
 
 
 def _one_of(values: tuple[str, ...]) -> Column:
@@ -40,8 +40,8 @@ def prj_04_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = C.parsed_date(text)
     return matches(spark, sf_dir).select(
         "match_id", parsed.cast("timestamp_ntz").alias("day"),
-        *[F.coalesce(C.season_of(parsed, m), F.lit("")).alias(n) for n, m in (("football", 7), ("nfl", 7), ("nba", 10), ("nhl", 10))],
-        C.season_in_name(F.concat(F.lit("E0_"), F.when(style == 0, "2023-24").when(style == 1, "1998_99").when(style == 2, "2324").otherwise("x"), F.lit(".csv")), day).alias("named"),
+        *[F.coalesce(C.season_of(parsed, m), F.lit("")).alias(n) for n, m in (("football", 7), ("nfl", 7), ("nba", 7), ("nhl", 7))],
+        C.season_in_name(F.concat(F.lit("E0_"), F.when(style == 0, "2023-24").when(style == 1, "1998_99").when(style == 2, "2324").otherwise("20212022"), F.lit(".csv")), day).alias("named"),
     )
 
 
@@ -52,8 +52,8 @@ def prj_16_set_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select("p_partkey", s["won"].alias("won"), s["lost"].alias("lost"))
 
 
-_SELECTIONS = ("Over 2.50", "1", "x", "2", "Home Win", "under 3.00", "away", "H", "over-2.5", "Over 2.05")
-SELECTION = "['Over 2.50', '1', 'x', '2', 'Home Win', 'under 3.00', 'away', 'H', 'over-2.5', 'Over 2.05'][p_partkey % 10 + 1]"
+_SELECTIONS = ("Over 2.50", "1", "x", "2", "Home Win", "under 3.00", "away", "H", "over-2.5", "Over 2.05", "Home -1.50", "away 3.0")
+SELECTION = "['Over 2.50', '1', 'x', '2', 'Home Win', 'under 3.00', 'away', 'H', 'over-2.5', 'Over 2.05', 'Home -1.50', 'away 3.0'][p_partkey % 12 + 1]"
 
 
 def prj_25_canonical_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,19 +154,19 @@ _TOKENS = r"list_distinct(list_filter(string_split_regex(trim(p_name), '\s+'), l
 _NEWS = "lower(coalesce(text, '') || ' ' || ['knee injury', 'ruled out', 'suspended', 'illness', 'no news'][doc_id % 5 + 1] || ' ' || ['knee injury', 'ruled out', 'suspended', 'illness', 'no news'][doc_id % 3 + 1])"
 _HITS = ", ".join(f"nullif(regexp_extract(low, '{p}'), '')" for p in PATTERNS)
 SQL = {
-    "prj_01_safe_numbers": f"SELECT p_partkey, coalesce(trunc({_F})::BIGINT, 0) AS as_int, coalesce({_F}, -1.0) AS as_float FROM part",
+    "prj_01_safe_numbers": f"SELECT p_partkey, coalesce(TRY_CAST(trunc({_F}) AS BIGINT), 0) AS as_int, coalesce({_F}, -1.0) AS as_float FROM part",
     "prj_03_scraped_number": "SELECT p_partkey, (p_size || '.' || lpad((p_partkey % 100)::VARCHAR, 2, '0'))::DOUBLE AS number FROM part",
     "prj_04_dates": f"""WITH {MATCHES}, d AS (SELECT match_id, match_id % 4 AS style, scheduled_at::DATE AS real_day, CASE WHEN match_id % 4 < 3 THEN scheduled_at::DATE END AS day FROM matches)
-SELECT match_id, day::TIMESTAMP AS day, {_season(7)} AS football, {_season(7)} AS nfl, {_season(10)} AS nba, {_season(10)} AS nhl,
+SELECT match_id, day::TIMESTAMP AS day, {_season(7)} AS football, {_season(7)} AS nfl, {_season(7)} AS nba, {_season(7)} AS nhl,
   CASE WHEN style = 0 OR style = 2 THEN '2023-24' ELSE (SELECT {_season(7)} FROM (SELECT real_day AS day)) END AS named FROM d""",
     "prj_16_set_score": """SELECT p_partkey, ((a > b)::INT + (c > e)::INT) AS won, ((b > a)::INT + (e > c)::INT) AS lost
 FROM (SELECT p_partkey, p_partkey * 3 % 8 AS a, p_partkey * 5 % 8 AS b, p_partkey * 7 % 8 AS c, p_partkey % 8 AS e FROM part)""",
     "prj_25_canonical_selection": f"""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(trim({SELECTION})), '[\\s–]+', '_', 'g'), '([a-z])-([0-9])', '\\1_\\2', 'g') AS s FROM part),
 k AS (SELECT p_partkey, CASE WHEN s IN ('1', 'h', 'home_win') THEN 'home' WHEN s IN ('x', 'd') THEN 'draw' WHEN s IN ('2', 'a', 'away_win') THEN 'away' ELSE s END AS s FROM s),
-c AS (SELECT p_partkey, CASE WHEN regexp_matches(s, '^(over|under)_[0-9]+\\.[0-9]+$') THEN rtrim(rtrim(s, '0'), '.') ELSE s END AS s FROM k)
+c AS (SELECT p_partkey, CASE WHEN regexp_matches(s, '_-?[0-9]+\\.[0-9]+$') THEN rtrim(rtrim(s, '0'), '.') ELSE s END AS s FROM k)
 SELECT p_partkey, s AS selection, split_part(s, '_', 1) AS direction, coalesce(TRY_CAST(nullif(substr(s, length(split_part(s, '_', 1)) + 2), '') AS DOUBLE), -1.0) AS line FROM c""",
     "prj_22_tokens": f"""SELECT p_partkey, array_to_string(list_sort({_TOKENS}), ' ') AS tokens,
-  CASE WHEN contains(p_name, ',') THEN trim(split_part(p_name, ',', 1)) ELSE list_reduce(string_split_regex(trim(p_name), '\\s+'), lambda b, w: CASE WHEN length(w) > length(b) THEN w ELSE b END) END AS last_name,
+  CASE WHEN contains(p_name, ',') THEN trim(split_part(lower(p_name), ',', 1)) ELSE list_reduce(string_split_regex(trim(lower(p_name)), '\\s+'), lambda b, w: CASE WHEN length(w) > length(b) THEN w ELSE b END) END AS last_name,
   length(trim(substr(p_name, 1, 3))) < 4 AS is_short, CASE WHEN length(p_name) > 10 THEN p_name[:7] || '...' ELSE p_name END AS cut FROM part""",
     "set_04_overlap": f"""WITH p AS (SELECT *, {_TOKENS} AS t FROM part)
 SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.t, y.t)) AS n_shared FROM p x JOIN p y

@@ -22,23 +22,39 @@ def mth_14_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_18_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelt part names and the known names they are closest to."""
+    """Every part name, misspelt, and the known name it is closest to."""
     p = table(spark, sf_dir, "part").select(F.lower("p_name").alias("canonical")).distinct()
-    wrong = p.where(F.pmod(F.xxhash64("canonical"), F.lit(20)) == 0).select(F.concat(F.substring("canonical", 1, 3), F.lit("z"), F.substring("canonical", 4, 100)).alias("name"))
+    wrong = p.select(F.concat(F.substring("canonical", 1, 3), F.lit("z"), F.substring("canonical", 4, 100)).alias("name"))
     return M.closest_names(wrong, p).select("name", "canonical", F.round("ratio", 4).alias("ratio"))
 
 
-def join_15_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches and the event of their day with the same teams (JOIN-15 passes 1 to 3, JOIN-19)."""
+def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Matches with players' names written in four ways, some bound to an event, and the day's events."""
     first = F.element_at(F.array(*map(F.lit, ("anna", "boris", "carla", "dmitri", "elena"))), (F.col("home") % 5 + 1).cast("int"))
     last = F.concat(F.lit("player"), (F.col("home") % 97).cast("string"))
     rival = F.concat(F.lit("fritz rival"), F.col("away").cast("string"))
     m = matches(spark, sf_dir).withColumn("day", F.to_date("scheduled_at"))
     full = F.concat_ws(" ", first, last)
-    style = F.col("match_id") % 3
-    short = F.when(style == 0, full).when(style == 1, F.concat(last, F.lit(" "), F.substring(first, 1, 1), F.lit("."))).otherwise(F.concat(last, F.lit(", "), first))
+    style = F.col("match_id") % 4
+    short = F.when(style == 0, full).when(style == 1, F.concat(last, F.lit(" "), F.substring(first, 1, 1), F.lit("."))).when(style == 2, F.concat(last, F.lit(", "), first)).otherwise(F.concat(F.lit("x "), last))
     events = m.select(F.col("match_id").alias("event_id"), "day", full.alias("home"), rival.alias("away"))
-    return M.event_matches(m.select("match_id", "day", short.alias("home"), rival.alias("away")), events)
+    bound = F.when(F.col("match_id") % 9 == 0, F.col("match_id"))
+    return m.select("match_id", "day", bound.alias("bound"), short.alias("home"), rival.alias("away")), events
+
+
+def join_15_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches and the event that is bound or, on their day, has the same teams (JOIN-15, JOIN-19)."""
+    return M.event_matches(*_written(spark, sf_dir))
+
+
+def join_16_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches and the first event of their day that fits any pass (JOIN-16)."""
+    return M.event_matches(*_written(spark, sf_dir), fixture_order=True)
+
+
+def join_17_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of players and events by equal names, abbreviations and last names only (JOIN-17)."""
+    return M.event_matches(*_written(spark, sf_dir), passes=(1, 2, 4))
 
 
 def prj_35_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +90,5 @@ def ml_06_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(g, "match_id")
 
 
-QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_14_darts, join_18_fuzzy, join_15_events, prj_35_html, ml_05_walk_forward, ml_06_inference)}
+QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_14_darts, join_18_fuzzy, join_15_events, join_16_first_fit, join_17_players, prj_35_html, ml_05_walk_forward, ml_06_inference)}
 SQL: dict[str, str] = {}
