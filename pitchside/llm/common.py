@@ -93,7 +93,7 @@ def map_arrow(
 HEAVY_KEYS = 2000
 
 
-#: A table of so many keys with small columns is sent to every task (2 MB or so); a larger one is shuffled.
+#: A table of so many ids with small columns is sent to every task (2 MB or so); a larger one is shuffled.
 FEW_KEYS = 50_000
 
 
@@ -105,14 +105,12 @@ def weight_of(found: DataFrame, n: str) -> tuple[int, int, int]:
 def lookup(rows: DataFrame, found: DataFrame, key: str, n: str, weight: tuple[int, int, int] | None = None) -> DataFrame:
     """Join rows with found (one row per key; column n: how many rows the key has).
 
-    FEW_KEYS at most are broadcast. Of more, keys with a 1 / HEAVY_KEYS share of all counted rows are
-    HEAVY_KEYS at most, so a broadcast of them is bounded whatever the size of the data; they never
-    meet in one task. The rest goes through an ordinary shuffle in which no key is large. found must
-    be cheap to read again, and its other columns small. weight: weight_of(found, n), where known.
+    Keys with a 1 / HEAVY_KEYS share of all counted rows are HEAVY_KEYS at most, so a broadcast
+    of them is bounded whatever the size of the data; they never meet in one task. The rest goes
+    through an ordinary shuffle in which no key is large. found must be cheap to read again, and its
+    other columns small. weight: weight_of(found, n), where known.
     """
-    total, most, keys = weight or weight_of(found, n)
-    if keys <= FEW_KEYS:
-        return rows.join(F.broadcast(found.drop(n)), key)
+    total, most, _ = weight or weight_of(found, n)
     least = max(1000, -(-total // HEAVY_KEYS))
     if most < least:
         return rows.join(found.drop(n).hint("shuffle_merge"), key)

@@ -44,17 +44,19 @@ def stars(shared: DataFrame) -> DataFrame:
     return shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """id and the sorted distinct shingle hashes of id, text."""
+def shingle_sets(texts: DataFrame, keep: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """id and the sorted distinct shingle hashes of id, text; keep: takes some rows of a batch."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if keep:
+            batch = keep(batch)
         out, values = [], batch.column(1).to_pylist()
         for a, b in pieces(values):
             h, at = shingle_hashes(values[a:b])
             out += [np.unique(h[i:j]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "grams"])
 
-    return map_arrow(texts.select("id", "text"), run, "id long, grams binary")
+    return map_arrow(texts, run, "id long, grams binary")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -116,14 +118,16 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(tied.select(F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u in "ab" for v in "ab"])).alias("e")).select("e.*").distinct())
     label = cut(both.groupBy("u").agg(F.min("v").alias("c"), F.count(F.lit(1)).alias("n")))
     weight = weight_of(label, "n")
+    few = weight[2] <= FEW_KEYS
     while True:
+        seen = label.select(F.col("u").alias("v"), F.col("c").alias("cv"), "n")
         near = (
-            lookup(both, label.select(F.col("u").alias("v"), F.col("c").alias("cv"), "n"), "v", "n", weight)
+            (both.join(F.broadcast(seen.drop("n")), "v") if few else lookup(both, seen, "v", "n", weight))
             .groupBy("u")
             .agg(F.min("cv").alias("to"), F.max(F.when(F.col("u") == F.col("v"), F.col("cv"))).alias("old"), F.count(F.lit(1)).alias("n"))
         )
         far = label.select(F.col("u").alias("to"), F.col("c").alias("far"))
-        if weight[2] <= FEW_KEYS:
+        if few:
             jumped = near.join(F.broadcast(far), "to")
         else:
             near = cut(near)
@@ -285,13 +289,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, by: list[str]) -> DataFrame:
     slot = F.pmod(F.xxhash64(*by), F.lit(bits))
     placed = docs.select("id", "text", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            keep = (shared.value[bucket, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        hit = (shared.value[bucket, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+        return batch.filter(pa.array(hit.astype(bool)))
 
-    return shingle_sets(placed.mapInArrow(run, "id long, text string"))
+    return shingle_sets(placed, keep)
 
 
 # --- classes of texts -----------------------------------------------------------------------------
