@@ -147,17 +147,25 @@ def football_live(home: Column, away: Column, minute: Column, rate_h: Column, ra
     return F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 # --- live models ------------------------------------------------------------------------------------
 
 
-def _live_goals(lead: Column, h: list[Column], a: list[Column]) -> tuple[Column, Column]:
-    """Probabilities to be ahead and level at the end, from a lead and the goals still to come."""
-    x, y = F.array(*h), F.array(*a)
+def _goals(rate: Column, most: int) -> Column:
+    """Array of the probabilities of 0 to most goals."""
+    return once(rate, lambda r: F.array(*[poisson(k, r) for k in range(most + 1)]))
+
+
+def _live_goals(lead: Column, h: Column, a: Column, level: float) -> Column:
+    """Probability to be ahead at the end, from a lead and the goals still to come; a level end counts as so much."""
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    part = lambda n, hit: total(F.transform(y, lambda q, j: F.when(hit(j, n), q).otherwise(F.lit(0.0))))
-    ahead = total(F.transform(x, lambda p, i: p * part(i + lead, lambda j, n: j < n)))
-    level = total(F.transform(x, lambda p, i: p * part(i + lead, lambda j, n: j == n)))
-    return ahead, level
+    worth = lambda j, n: F.when(j < n, 1.0).when(j == n, level).otherwise(0.0)
+    pair = F.struct(h.alias("h"), a.alias("a"), lead.alias("lead"))
+    return once(pair, lambda x: total(F.transform(x["h"], lambda p, i: p * total(F.transform(x["a"], lambda q, j: q * worth(j, i + x["lead"]))))))
 
 
 def blended_rate(seen: Column, prior: Column, elapsed: Column, most: float = 5.0) -> Column:
@@ -171,8 +179,8 @@ def football_update(p: Column, home: Column, away: Column, clock: Column, stats:
     share = F.greatest(F.lit(0.0), 90 - clock) / 90
     both = stats["home_xg"].isNotNull() & stats["away_xg"].isNotNull()
     rate = lambda n, prior: blended_rate(F.when(both, stats[n]), F.lit(prior), clock / 90)
-    goals = lambda r: [poisson(k, F.greatest(r * share, F.lit(0.01))) for k in range(GOALS + 1)]
-    ahead, _ = _live_goals(home - away, goals(rate("home_xg", 1.45)), goals(rate("away_xg", 1.15)))
+    goals = lambda r: _goals(F.greatest(r * share, F.lit(0.01)), GOALS)
+    ahead = _live_goals(home - away, goals(rate("home_xg", 1.45)), goals(rate("away_xg", 1.15)), 0.0)
     return F.when(share <= 0, (home > away).cast("double")).otherwise(ahead)
 
 
@@ -187,10 +195,10 @@ def hockey_update(p: Column, home: Column, away: Column, clock: Column, stats: C
         late = F.least(seen / F.nullif(elapsed, F.lit(0.0)), F.lit(8.0))
         return F.when(both, F.when(elapsed > 0.05, late).otherwise(seen)).otherwise(prior) * share
 
-    goals = lambda r: [poisson(k, r) for k in range(HOCKEY_GOALS + 1)]
-    ahead, level = _live_goals(home - away, goals(rate("home_xg", own)), goals(rate("away_xg", F.greatest(F.lit(0.1), 0.85 * own))))
+    goals = lambda r: _goals(r, HOCKEY_GOALS)
+    ahead = _live_goals(home - away, goals(rate("home_xg", own)), goals(rate("away_xg", F.greatest(F.lit(0.1), 0.85 * own))), OVERTIME_HOME)
     final = F.when(home > away, 1.0).when(home < away, 0.0).otherwise(OVERTIME_HOME)
-    return F.when(share <= 0, final).otherwise(ahead + OVERTIME_HOME * level)
+    return F.when(share <= 0, final).otherwise(ahead)
 
 
 def basketball_update(p: Column, home: Column, away: Column, clock: Column, stats: Column) -> Column:

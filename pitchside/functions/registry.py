@@ -54,17 +54,22 @@ def updated(sport: Column, p: Column, home: Column, away: Column, clock: Column,
     out = F.lit(None).cast("double")
     for name in models.names():
         x = models.get(name)(p, home, away, clock, stats)
-        out = F.when(sport == name, F.when(x.isNull() | F.isnan(x), p).otherwise(x)).otherwise(out)
-    return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
+        out = F.when(sport == name, F.coalesce(F.nanvl(x, F.lit(None).cast("double")), p)).otherwise(out)
+    return P.once(out, lambda v: F.when(v > 1, 1.0).when(v < 0, 0.0).otherwise(v))
 
 
 def value(p: Column, odds: Column) -> Column:
     """Struct of prob, implied, edge, ev (six places) and positive; null without valid odds and a probability in 0 to 1."""
-    o = O.normalized(odds)
-    ev = O.expected_value(p, o)
     r = lambda c: F.round(c, 6)
-    some = F.struct(r(p).alias("prob"), r(1 / o).alias("implied"), r(p - 1 / o).alias("edge"), r(ev).alias("ev"), (ev > 0).alias("positive"))
-    return F.when(o.isNotNull() & p.between(0, 1), some)
+
+    def one(x: Column) -> Column:
+        p, o = x["p"], x["o"]
+        ev = O.expected_value(p, o)
+        some = F.struct(r(p).alias("prob"), r(1 / o).alias("implied"), r(p - 1 / o).alias("edge"), r(ev).alias("ev"), (ev > 0).alias("positive"))
+        return F.when(o.isNotNull() & p.between(0, 1), some)
+
+    # a fold over one row computes a long p once
+    return F.transform(F.array(F.struct(p.alias("p"), O.normalized(odds).alias("o"))), one)[0]
 
 
 def live_value(sport: Column, p: Column, home: Column, away: Column, clock: Column, odds: Column, stats: Column) -> Column:

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import kernels as K
 from pitchside.functions import matching as M
+from pitchside.functions import registry as G
+from pitchside.functions.rowmodels import present
 from pitchside.operators import learning as L
+from pitchside.operators import training as T
 from pitchside.plans.adapters import matches, table
+from pitchside.plans.live import _played
 
 
 def mth_13_tennis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,37 +62,40 @@ def join_17_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prj_35_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of tables and rows of each page."""
-    t = M.html_tables(F.col("html"))
+    """Number of tables and rows of each page, with a table of the page's own numbers before it."""
+    own = F.concat(F.lit("<table></table><table><tr><th>id</th></tr><tr></tr><tr><td>"), F.col("page_id"), F.lit("</td></tr></table>"))
+    t = M.html_tables(F.concat(own, F.coalesce("html", F.lit(""))))
     return table(spark, sf_dir, "pages").select("page_id", t.alias("t")).select("page_id", F.size("t").alias("n_tables"), F.coalesce(F.aggregate("t", F.lit(0), lambda a, x: a + F.size(x)), F.lit(0)).alias("n_rows"))
 
 
-_COLUMNS = ["total_k", "month", "rival"]
-
-
-def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(spark, sf_dir).where("goals is not null")
-
-
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir)
-    outcome = F.when(F.col("home_score") > F.col("away_score"), 0).when(F.col("home_score") == F.col("away_score"), 1).otherwise(2)
-    return m.select("match_id", "scheduled_at", (F.col("total") / 1000).alias("total_k"), F.month("scheduled_at").cast("double").alias("month"), F.col("away").cast("double").alias("rival"), outcome.cast("double").alias("label"), (F.col("home_score") + F.col("away_score")).cast("double").alias("goals"))
-
-
 def ml_05_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fold metrics of the outcome classifier (ML-01, ML-03, ML-05, WIN-13)."""
-    return L.walk_forward(_training(spark, sf_dir), _COLUMNS, F.to_date("scheduled_at"), "match_id", 3)
+    """Fold metrics of the outcome trees over the training set, if it passes the gate (ML-01, ML-03, ML-05, WIN-13)."""
+    rows = T.training_set(_played(spark, sf_dir))
+    passed = T.gate(rows, T.COLUMNS)
+    if passed != "ok":
+        raise ValueError(f"no model is fitted: {passed}")
+    return L.walk_forward(rows, T.COLUMNS, F.to_date("scheduled_at"), "match_id", 2, fit=lambda df, columns, label: L.boosted(df, columns, label, trees=5))
 
 
 def ml_06_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome probabilities and goals of every match (ML-04, ML-06)."""
-    t = _matches(spark, sf_dir)
-    early = _training(spark, sf_dir).where("scheduled_at < timestamp_ntz'1996-01-01'")
-    p = L.predicted(L.classifier(early, _COLUMNS), t, _COLUMNS).select("match_id", *[F.round(F.col("p")[i], 4).alias(f"p{i}") for i in range(3)])
-    g = L.predicted(L.regressor(early.withColumn("label", F.col("goals")), _COLUMNS, trees=5), t, _COLUMNS).select("match_id", F.round("prediction", 4).alias("goals"))
+    """Outcome probabilities and goals of every match, by models of the matches before 1996 (ML-02, ML-04, ML-06)."""
+    every = T.vectors(_played(spark, sf_dir))
+    early = T.training_set(_played(spark, sf_dir)).where("scheduled_at < timestamp_ntz'1996-01-01'")
+    p = L.predicted(L.classifier(early, T.COLUMNS), every, T.COLUMNS).select("match_id", *[F.round(F.col("p")[i], 4).alias(f"p{i}") for i in range(3)])
+    g = L.predicted(L.regressor(early.withColumn("label", F.col("goals")), T.COLUMNS, trees=5), every, T.COLUMNS).select("match_id", F.round("prediction", 4).alias("goals"))
     return p.join(g, "match_id")
 
 
-QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_14_darts, join_18_fuzzy, join_15_events, join_16_first_fit, join_17_players, prj_35_html, ml_05_walk_forward, ml_06_inference)}
+def mth_13_tennis_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tennis and darts matches under way: live probability from sets or legs won (MTH-13, MTH-14, MTH-15)."""
+    k = F.col("s_suppkey")
+    n = lambda m, r: F.when(k % m != r, (k % m).cast("double"))
+    tennis = present({"p_serve_home": 0.55 + (k % 20) / 100, "p_serve_away": 0.55 + (k % 17) / 100, "best_of": F.when(k % 2 == 0, 5).otherwise(3), "a_serving": n(2, 5)})
+    darts = present({"p_leg_home": 0.4 + (k % 30) / 100, "p_leg_away": 0.4 + (k % 23) / 100, "sets": k % 2, "home_throwing": n(2, 5)})
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.struct(F.lit("tennis").alias("sport"), tennis.alias("stats")), F.struct(F.lit("darts").alias("sport"), darts.alias("stats")))).alias("m")).select("s_suppkey", "m.*")
+    live = G.updated(F.col("sport"), F.lit(0.5), k % 3, k % 2, F.lit(0.0), F.col("stats"))
+    return s.select("s_suppkey", "sport", F.round(live, 6).alias("home"))
+
+
+QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_13_tennis_live, mth_14_darts, join_18_fuzzy, join_15_events, join_16_first_fit, join_17_players, prj_35_html, ml_05_walk_forward, ml_06_inference)}
 SQL: dict[str, str] = {}
