@@ -153,7 +153,7 @@ def redacted(text: str | None) -> str | None:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, the number of spans of each kind, the digest of the base spans, and all spans."""
+    """doc_id, the number of spans of each kind, the digest of the base spans, all spans, and their number."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, digests, spans = [], [], []
@@ -164,14 +164,14 @@ def detect(docs: DataFrame) -> DataFrame:
             spans.append(joined(found))
         each = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *each, pa.array(digests), pa.array(spans)],
-            ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"],
+            [batch.column(0), *each, pa.array(digests), pa.array(spans), pa.array([sum(c) for c in counts], pa.int64())],
+            ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"],
         )
 
     return map_arrow(
         docs.selectExpr("cast(doc_id as bigint) doc_id", "text"),
         run,
-        "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string",
+        "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long",
     )
 
 

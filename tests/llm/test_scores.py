@@ -60,6 +60,7 @@ def test_private_rows(docs, no_docs, rows):
     assert len(got) == len(rows)
     none = hashlib.sha256(b"").hexdigest()
     assert all(r["base_sha256"] == none for r in got if not r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"])
+    assert all(r["n_spans"] == sum(r[f"n_{k}"] for k in private_data.KINDS) == (r["spans"].count(",") + 1 if r["spans"] else 0) for r in got)
     assert private_data.detect(no_docs).count() == 0
     assert private_data.redact(docs).count() == len(rows)
 
