@@ -114,14 +114,14 @@ def _closest(name: str, rows: list[str], counts: np.ndarray, least: float) -> tu
     return (None, None) if best is None else (rows[best], top)
 
 
-def event_matches(matches: DataFrame, events: DataFrame, least: int = 3, fixture_order: bool = False, passes: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+def event_matches(matches: DataFrame, events: DataFrame, least: int = 3, fixture_order: bool = False, passes: tuple[int, ...] = (-1, 0, 1, 2, 3)) -> DataFrame:
     """Each match with the event that names the same teams: match_id, event_id and tier.
 
     matches: match_id, day, home, away, and bound (an event id known already, or null); events:
-    event_id, day, home, away (keys as of name_key). A bound event of any day comes first (tier 0).
+    event_id, day, home, away (keys as of name_key). A bound event of any day comes first (tier -1).
     Then, among events of the same day that share a word, a last name or an initial with the match:
-    equal names (1), abbreviations (2), the most shared words or one name inside the other, on both
-    sides (3), equal last names on both sides (4). Ties go to the least event_id. With fixture_order
+    equal names (0), abbreviations (1), the most shared words or one name inside the other, on both
+    sides (2), equal last names on both sides (3). Ties go to the least event_id. With fixture_order
     the first event by id that fits any pass wins. Only the tiers in passes count.
 
     Names are compared only where a word of both home names agrees, so a busy day is not a product.
@@ -136,22 +136,24 @@ def event_matches(matches: DataFrame, events: DataFrame, least: int = 3, fixture
     mh, ma, eh, ea = F.col("m.home"), F.col("m.away"), F.col("e.home"), F.col("e.away")
     same = lambda a, b: (a == b) | abbreviates(a, b) | abbreviates(b, a)
     home, away = side(mh, eh), side(ma, ea)
-    tier = (
-        F.when((mh == eh) & (ma == ea), 1)
-        .when(same(mh, eh) & same(ma, ea), 2)
-        .when((home > 0) & (away > 0), 3)
-        .when((last_name(mh) == last_name(eh)) & (last_name(ma) == last_name(ea)), 4)
-    )
+    checks = {
+        0: (mh == eh) & (ma == ea),
+        1: same(mh, eh) & same(ma, ea),
+        2: (home > 0) & (away > 0),
+        3: (last_name(mh) == last_name(eh)) & (last_name(ma) == last_name(ea)),
+    }
+    tier = F.coalesce(*[F.when(check, F.lit(n)) for n, check in checks.items() if n in passes], F.lit(None).cast("int"))
     named = (
         m.join(e, (F.col("m.day") == F.col("e.day")) & (F.col("m.word") == F.col("e.word")))
-        .select("m.match_id", "e.event_id", tier.alias("tier"), F.when(tier == 3, home + away).otherwise(0).alias("score"))
+        .select("m.match_id", "e.event_id", tier.alias("tier"), F.when(tier == 2, home + away).otherwise(0).alias("score"))
         .where("tier is not null")
     )
     bound = matches.where("bound is not null").join(events.select(F.col("event_id").alias("bound")), "bound").select(
-        "match_id", F.col("bound").alias("event_id"), F.lit(0).alias("tier"), F.lit(0).alias("score")
+        "match_id", F.col("bound").alias("event_id"), F.lit(-1).alias("tier"), F.lit(0).alias("score")
     )
-    order = F.struct(F.col("tier") > 0, "event_id", "tier") if fixture_order else F.struct("tier", (-F.col("score")).alias("s"), "event_id")
-    return bound.unionByName(named).where(F.col("tier").isin(*passes)).groupBy("match_id").agg(F.min_by(F.struct("event_id", "tier"), order).alias("r")).select("match_id", "r.*")
+    order = F.struct(F.col("tier") >= 0, "event_id", "tier") if fixture_order else F.struct("tier", (-F.col("score")).alias("s"), "event_id")
+    every = bound.unionByName(named) if -1 in passes else named
+    return every.groupBy("match_id").agg(F.min_by(F.struct("event_id", "tier"), order).alias("r")).select("match_id", "r.*")
 
 
 class _Tables(HTMLParser):

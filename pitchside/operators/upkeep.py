@@ -181,7 +181,7 @@ def digest(messages: DataFrame, at: str, text: str, most: int = 500, single: int
     kept = messages.orderBy(at, text).limit(most)
     lines = kept.agg(F.array_sort(F.collect_list(F.struct(at, text))).alias("m"))
     each = F.transform("m", lambda x: x[text])
-    return lines.select(F.explode(F.when(F.size("m") <= single, each).otherwise(F.array(F.concat_ws("\\n", F.format_string("%d alerts", F.size("m")), F.array_join(each, "\\n"))))).alias("message"))
+    return lines.select(F.explode(F.when(F.size("m") <= single, each).otherwise(F.array(F.concat_ws("\n", F.format_string("%d alerts", F.size("m")), F.array_join(each, "\n"))))).alias("message"))
 
 
 def stored_batches(stream: DataFrame, path: str, checkpoint: str) -> None:

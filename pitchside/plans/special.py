@@ -58,7 +58,7 @@ def join_16_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_17_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of players and events by equal names, abbreviations and last names only (JOIN-17)."""
-    return M.event_matches(*_written(spark, sf_dir), passes=(1, 2, 4))
+    return M.event_matches(*_written(spark, sf_dir), passes=(0, 1, 3))
 
 
 def prj_35_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def ml_05_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml_06_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome probabilities and goals of every match, by models of the matches before 1996 (ML-02, ML-04, ML-06)."""
-    every = T.vectors(_played(spark, sf_dir))
+    every = T.vectors(matches(spark, sf_dir))
     early = T.training_set(_played(spark, sf_dir)).where("scheduled_at < timestamp_ntz'1996-01-01'")
     p = L.predicted(L.classifier(early, T.COLUMNS), every, T.COLUMNS).select("match_id", *[F.round(F.col("p")[i], 4).alias(f"p{i}") for i in range(3)])
     g = L.predicted(L.regressor(early.withColumn("label", F.col("goals")), T.COLUMNS, trees=5), every, T.COLUMNS).select("match_id", F.round("prediction", 4).alias("goals"))
