@@ -3,10 +3,12 @@
 Candidates are documents that share a bucket of a band. Within a bucket every document is compared
 with the least one (a star, as many pairs as members). Where the documents of one bucket are then
 still in different classes, they are compared bucket by bucket: those outside the bucket's largest
-class with all its members, so no link is lost and no bucket is capped. A bucket too large for that
-is split first by a second band (then a third ...) that its members share: similar documents share
-many bands, so they meet in one of the parts, and the parts of documents that met by chance are
-small. What is large still after DEPTH bands is compared whole, in blocks.
+class with all its members, so no link is lost and no bucket is capped. Buckets of more than SMALL
+that share documents are taken together, so that their documents are compared once and not once for
+each band, in blocks. Where that makes more than WHOLE documents, the buckets are parted first by a
+second band (then a third ...) that their members share: similar documents share many bands, so they
+meet in one of the parts, and the parts of documents that met by chance are small. What is large
+still after DEPTH bands is compared whole.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pitchside.llm.common import FEW_KEYS, cut, id_or_null, lookup, map_arrow, p
 #: Documents of a bucket that is compared at once, and of a block of a larger one.
 SMALL = 200
 BLOCK_ROWS = 1_000
+#: Documents of joined buckets that are compared at once: each is copied to WHOLE / BLOCK_ROWS blocks at most.
+WHOLE = 20_000
 #: Bands by which a large bucket is split before it is compared in blocks.
 DEPTH = 3
 #: Pairs that read one copy of a document's shingle set.
@@ -141,20 +145,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """The members of buckets that hold several classes: key, id, path, c, n, main (the largest class), others (rows outside it).
+    """The members of buckets that hold several classes: key, id, path, a, c, n, main (the largest class).
 
     The least of a bucket has been compared with all of them, so it is left out.
     """
-    plain = shared.where("id <> a and n > 2").select("key", "id", "path", (F.col("n") - 1).alias("n"))
+    plain = shared.where("id <> a and n > 2").select("key", "id", "path", "a", (F.col("n") - 1).alias("n"))
     members = cut(_with_class(plain, label))
-    found = cut(
+    return cut(lookup(members, _main_classes(members).drop("n"), "key", "rows"))
+
+
+def _main_classes(members: DataFrame) -> DataFrame:
+    """key, rows and n (its members), main (its largest class) of the keys of members (key, c) that hold several."""
+    return cut(
         members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
         .groupBy("key")
         .agg(F.sum("m").alias("rows"), F.max(F.struct("m", "c")).alias("top"), F.count(F.lit(1)).alias("classes"))
         .where("classes > 1")
-        .select("key", "rows", F.col("top.c").alias("main"), (F.col("rows") - F.col("top.m")).alias("others"))
+        .select("key", "rows", F.col("rows").alias("n"), F.col("top.c").alias("main"))
     )
-    return cut(lookup(members, found, "key", "rows"))
 
 
 def _with_class(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -248,14 +256,22 @@ def link(bands: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: f
     links = cut(verified(stars(shared), grams, similarity))
     for depth in range(DEPTH + 1):
         mixed = _mixed(level, components(links))
-        at_once = (F.col("n") <= SMALL) | (4 * F.col("others") * F.ceil(F.col("n") / BLOCK_ROWS) <= F.col("n")) | F.lit(depth == DEPTH)
-        some, large = mixed.agg(F.count_if(at_once), F.count_if(~at_once)).first()
+        some, many = mixed.agg(F.count_if(F.col("n") <= SMALL), F.count_if(F.col("n") > SMALL)).first()
         if some:
-            links = cut(links.unionByName(_compared(mixed.where(at_once), grams, similarity)))
-        if not large:
+            links = cut(links.unionByName(_compared(mixed.where(F.col("n") <= SMALL), grams, similarity)))
+        if not many:
+            break
+        large = mixed.where(F.col("n") > SMALL)
+        joined = components(large.select("a", F.col("id").alias("b"))).withColumnRenamed("c", "g")
+        members = cut(large.select("id", "c").distinct().join(joined.hint("shuffle_merge"), "id").select(F.col("g").alias("key"), "id", "c"))
+        members = cut(lookup(members, _main_classes(members), "key", "rows"))
+        whole = F.lit(True) if depth == DEPTH else F.col("n") <= WHOLE
+        links = cut(links.unionByName(_compared(members.where(whole), grams, similarity)))
+        rest = members.where(~whole)
+        if depth == DEPTH or not rest.limit(1).count():
             break
         parts = (
-            mixed.where(~at_once).select("id", "path")
+            large.select("id", "path").join(rest.select("id").distinct(), "id", "left_semi")
             .join(shared.select("id", F.col("key").alias("next")).hint("shuffle_merge"), "id")
             .where("not array_contains(path, next)")
             .select("id", F.array_sort(F.concat("path", F.array("next"))).alias("path"))

@@ -214,3 +214,22 @@ def test_rows_of_one_id_are_as_alike_as_their_texts(spark, tmp_path):
     assert sorted(r["text"] for r in prob_minhash.drop_near_duplicates(docs).collect()) == sorted(t for _, t in rows[:10])
     got = {r["doc_id"]: r["class_id"] for r in prob_minhash.near_duplicates(docs).collect()}
     assert got == {None: None, 7: 7} | {20 + n: None if n < 5 else 7 for n in range(10)}
+
+
+def test_large_buckets_lose_no_link(spark, tmp_path, monkeypatch):
+    """Pairs of near copies among texts that share half of their words: by joined buckets, then by further bands."""
+    from pitchside.llm import near
+
+    base = [f"b{i}" for i in range(70)]
+    rows = []
+    for k in range(30):
+        own = [f"k{k}x{i}" for i in range(40)]
+        rows += [(2 * k, " ".join(base + own)), (2 * k + 1, " ".join(base + own + ["end"]))]
+    path = tmp_path.as_uri() + "/large"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    monkeypatch.setattr(near, "SMALL", 3)
+    for whole, depth in ((1000, 3), (4, 1)):
+        monkeypatch.setattr(near, "WHOLE", whole)
+        monkeypatch.setattr(near, "DEPTH", depth)
+        got = prob_minhash.near_duplicates(spark.read.parquet(path)).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == class_truth(rows)

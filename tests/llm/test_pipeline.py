@@ -75,3 +75,41 @@ def test_run_is_the_stages(spark, folder):
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     assert got.count() > 50
     assert quality.CUT == 0.3
+
+
+def test_stages_on_odd_rows(spark, docs, no_docs, rows, tmp_path):
+    """Null, empty and repeated rows, null ids, columns with clashing names; and an empty table."""
+    path = tmp_path.as_uri()
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(20)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    for table, n in ((docs, len(rows)), (no_docs, 0)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            before = at.count()
+            at = cut(stage(spark, at, path))
+            if name != "encoding":
+                assert at.columns == docs.columns and at.count() <= 2 * before, name
+        assert at.count() <= 2 * n
+    assert at.count() == 0
+
+
+def test_ranking_weights_are_the_best():
+    """No step in any direction lowers the penalised logistic loss of the same pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    y = (x @ [2.0, -1.0, 0.5, 0.0] + rng.normal(size=200) > 0).astype(int)
+    model = quality.fit_pairs(x, y, pairs=2000, seed=7)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.default_rng(7)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -8, 8)
+    pairs = [(a, b) for a, b in zip(draw.choice(good, 2000), draw.choice(bad, 2000), strict=True)]
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-float((z[a] - z[b]) @ w))) for a, b in pairs) + 0.5 * 1e-3 * 2000 * float(w @ w)
+
+    best = loss(model.weights)
+    for i in range(4):
+        for step in (1e-3, -1e-3):
+            w = model.weights.copy()
+            w[i] += step
+            assert loss(w) >= best - 1e-9
+    assert model.cut == pytest.approx(np.quantile(z @ model.weights, len(bad) / len(y)))
