@@ -24,11 +24,10 @@ def placed(df: DataFrame, key: str, order: list[str], rows: int) -> tuple[DataFr
 
     Gives the table with part (the range) and at (its place); for each part and key there: first (the
     least at), cnt, begin (rows of the key in parts before) and n (all rows of the key); and the
-    number of parts.
+    number of parts, which are numbered from 0.
     """
-    parts = parts_of(df, rows)
     ordered = cut(
-        df.repartitionByRange(parts, key, *order, "salt")
+        df.repartitionByRange(parts_of(df, rows), key, *order, "salt")
         .sortWithinPartitions(key, *order, "salt")
         .drop("salt")
         .withColumn("at", F.monotonically_increasing_id())
@@ -41,4 +40,5 @@ def placed(df: DataFrame, key: str, order: list[str], rows: int) -> tuple[DataFr
         .withColumn("begin", F.sum("cnt").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cnt"))
         .withColumn("n", F.sum("cnt").over(Window.partitionBy(key)))
     )
-    return ordered, cut(starts), parts
+    starts = cut(starts)
+    return ordered, starts, (starts.agg(F.max("part")).first()[0] or 0) + 1

@@ -104,7 +104,7 @@ def test_equal_keys_are_dealt_to_ranges(spark, tmp_path):
 
     rows = cut(ranks.salted(spark.range(2000).select(F.lit("one").alias("s"), F.lit(1).alias("doc_id"))))
     ordered, starts, parts = ranks.placed(rows, "s", ["doc_id"], 100)
-    assert parts == 20
+    assert 10 <= parts <= 20
     assert ordered.groupBy("part").count().agg(F.max("count")).first()[0] < 400
     got = starts.orderBy("part").collect()
     assert [r["begin"] for r in got] == [sum(x["cnt"] for x in got[:i]) for i in range(len(got))]
