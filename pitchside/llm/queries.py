@@ -19,6 +19,7 @@ MODULES = (
     "permutation_index",
     "licenses",
     "tokens",
+    "toxicity",
     "manifest",
 )
 
