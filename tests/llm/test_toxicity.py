@@ -66,7 +66,8 @@ def test_unlabelled_toxic_documents_are_found():
     model = toxicity.fit_rows(toxicity.features(toxic[:100]), toxicity.features(unlabelled), 1 / 9)
     s = model.score(unlabelled)
     assert (s[:100] >= toxicity.CUT).mean() > 0.98 and (s[100:] < toxicity.CUT).mean() > 0.98
-    assert model.score([" ".join(f"vile{i}" for i in range(50, 60)) + " w1" * 50])[0] >= toxicity.CUT  # seen by its beginning only
+    calm, vile = model.score(["w1 " * 60, "w1 " * 50 + " ".join(f"vile{i}x" for i in range(10, 20))])
+    assert vile > 3 * calm  # known by the beginnings of its words only
 
 
 def test_odd_rows(spark, docs, no_docs, rows):
