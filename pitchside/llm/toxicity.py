@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchside.llm.common import map_arrow, mix, pieces, powers, table
+from pitchside.llm.common import cut, map_arrow, mix, pieces, powers, table
 from pitchside.llm.quality import in_fold
 
 POSITIVES = 4_000
@@ -170,22 +170,14 @@ def least_risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> float:
 
 
 def fit_rows(toxic: Rows, unlabelled: Rows, prior: float) -> Model:
-    """The model of samples of toxic and of unlabelled documents."""
+    """The model of samples of toxic and of unlabelled documents, with weights for the columns they have."""
     weights = np.zeros(2**BITS, np.float32)
     prior = float(np.clip(prior, 1e-4, 0.95))
     n_p, n_u = len(toxic.at) - 1, len(unlabelled.at) - 1
-    in_p, in_u = (np.bincount(x.column, minlength=2**BITS) for x in (toxic, unlabelled))
-    used = np.flatnonzero((in_p >= LEAST_DOCS) & (in_p * max(n_u, 1) >= LIFT * in_u * n_p))
-    if not len(used) or not n_u:
+    used = np.unique(np.concatenate([toxic.column, unlabelled.column]))
+    if not len(used) or not n_p or not n_u:
         return Model(weights, float(np.log(min(prior, 0.4) / (1 - min(prior, 0.4)))))
-    number = np.full(2**BITS, -1)
-    number[used] = np.arange(len(used))
-
-    def packed(x: Rows) -> Rows:
-        keep = number[x.column] >= 0
-        return Rows(np.concatenate([[0], np.cumsum(keep)])[x.at], number[x.column[keep]], x.value[keep])
-
-    p, u = packed(toxic), packed(unlabelled)
+    p, u = (Rows(x.at, np.searchsorted(used, x.column), x.value) for x in (toxic, unlabelled))
     models = []
     for i in range(MODELS):
         own = np.arange(n_u)[i::MODELS] if n_u >= MODELS else np.arange(n_u)
@@ -196,7 +188,10 @@ def fit_rows(toxic: Rows, unlabelled: Rows, prior: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """The model of bounded samples of the documents that are not held out."""
+    """The model of bounded samples of the documents that are not held out.
+
+    Features are counted and chosen in tasks; the driver gets the chosen ones of each sampled document.
+    """
     doc_id = F.col("doc_id").cast("long")
     judged = (
         labels.select(doc_id.alias("doc_id"), F.col("toxic").cast("double").alias("toxic"))
@@ -211,27 +206,43 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     def some(ids: DataFrame, most: int, kind: str) -> DataFrame:
         return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.lit(kind).alias("kind"))
 
-    rows = docs.select(doc_id.alias("doc_id"), "text").where("doc_id is not null")
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     chosen = some(judged.where("toxic").select("doc_id"), positives, "p").unionByName(
         some(rows.select("doc_id").where(~in_fold(F.col("doc_id"))).distinct(), unlabelled, "u")
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(batch.column(2).to_pylist())
-        at = pa.array(x.at.astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(x.column)), pa.ListArray.from_arrays(at, pa.array(x.value))],
-            ["doc_id", "kind", "columns", "values"],
-        )
+        return _batch(batch, features(batch.column(2).to_pylist()))
+
+    schema = "doc_id long, kind string, columns array<int>, values array<float>"
+    texts = rows.where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(chosen), "doc_id")
+    sample = cut(map_arrow(texts.groupBy("doc_id", "kind").agg(F.min("text")), run, schema))  # one text for each id
+    sizes = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}
+    n_p, n_u = sizes.get("p", 0), sizes.get("u", 0)
+    in_kind = [F.count_if(F.col("kind") == k).alias(k) for k in "pu"]
+    counts = sample.select("kind", F.explode("columns").alias("column")).groupBy("column").agg(*in_kind)
+    found = counts.where((F.col("p") >= LEAST_DOCS) & (F.col("p") * max(n_u, 1) >= LIFT * n_p * F.col("u"))).select("column").toPandas()
+    used = np.zeros(2**BITS, bool)
+    used[found["column"].to_numpy(np.int64)] = True
+
+    def chosen_only(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = _rows_of(batch)
+        keep = used[x.column]
+        return _batch(batch, Rows(np.concatenate([[0], np.cumsum(keep)])[x.at], x.column[keep], x.value[keep]))
+
+    got = map_arrow(sample, chosen_only, schema).toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    return fit_rows(*(_rows_of(got.filter(pa.compute.equal(got.column("kind"), k)).combine_chunks()) for k in "pu"), prior)
+
 
-    short = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
-    got = map_arrow(short.join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text"), run, "doc_id long, kind string, columns array<int>, values array<float>")
-    sample = got.orderBy(F.xxhash64("doc_id"), "doc_id", "kind", "columns").limit(positives + unlabelled).toArrow()
-    return fit_rows(*(_rows_of(sample.filter(pa.compute.equal(sample.column("kind"), k))) for k in "pu"), prior)
+def _batch(batch: pa.RecordBatch, x: Rows) -> pa.RecordBatch:
+    """doc_id and kind of a batch with features."""
+    at = pa.array(x.at.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(v, t)) for v, t in ((x.column, pa.int32()), (x.value, pa.float32()))]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "kind", "columns", "values"])
 
 
-def _rows_of(sample: pa.Table) -> Rows:
-    columns, values = (sample.column(x).combine_chunks() for x in ("columns", "values"))
+def _rows_of(rows: pa.RecordBatch | pa.Table) -> Rows:
+    columns, values = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (rows.column("columns"), rows.column("values")))
     n = pa.compute.list_value_length(columns).to_numpy(zero_copy_only=False)
     return Rows(np.concatenate([[0], np.cumsum(n)]).astype(np.int64), columns.flatten().to_numpy(), values.flatten().to_numpy())
 

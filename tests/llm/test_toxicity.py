@@ -57,15 +57,17 @@ def test_risk_and_cut():
     assert -1 < toxicity.least_risk(np.full(10, 2.0), u, 0.2) < 2
 
 
-def test_unlabelled_toxic_documents_are_found():
+def test_unlabelled_toxic_documents_are_found(spark):
     """Only half of the toxic documents are confirmed; the others are among the unlabelled ones."""
     rng = np.random.default_rng(0)
-    clean = [" ".join(f"w{rng.integers(300)}" for _ in range(60)) for _ in range(900)]
-    toxic = [c + " " + " ".join(f"vile{rng.integers(40)}" for _ in range(5)) for c in clean[:200]]
-    unlabelled = toxic[100:] + clean[100:]
-    model = toxicity.fit_rows(toxicity.features(toxic[:100]), toxicity.features(unlabelled), 1 / 9)
-    s = model.score(unlabelled)
-    assert (s[:100] >= toxicity.CUT).mean() > 0.98 and (s[100:] < toxicity.CUT).mean() > 0.98
+    clean = [" ".join(f"w{rng.integers(300)}" for _ in range(60)) for _ in range(1000)]
+    toxic = [c + " " + " ".join(f"vile{rng.integers(40)}" for _ in range(5)) for c in clean[:250]]
+    texts = toxic + clean[250:]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(125)] + [(i, 1, 0) for i in range(250, 625)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    s = model.score(texts)
+    assert (s[125:250] >= toxicity.CUT).mean() > 0.97 and (s[250:] < toxicity.CUT).mean() > 0.97
     calm, vile = model.score(["w1 " * 60, "w1 " * 50 + " ".join(f"vile{i}x" for i in range(10, 20))])
     assert vile > 3 * calm  # known by the beginnings of its words only
 
