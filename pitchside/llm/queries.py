@@ -21,6 +21,7 @@ MODULES = (
     "tokens",
     "toxicity",
     "manifest",
+    "conversation_trie",
 )
 
 
