@@ -25,7 +25,7 @@ def mth_02_live_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     odds = F.when(k % 13 == 0, 1.0).when(k % 7 == 0, 150.0).otherwise(1.1 + (k % 40) / 10)
     v = G.live_value(sport, F.when(k % 29 == 0, 1.5).otherwise((k % 99 + 1) / 100), k % 4, k % 3, (k % 95).cast("double"), odds, F.col("stats"))
     rows = table(spark, sf_dir, "part").select("p_partkey", stats.alias("stats")).withColumn("v", v)
-    return rows.where("v is not null").select("p_partkey", sport.alias("sport"), *[F.round(f"v.{c}", 4).alias(c) for c in ("prob", "implied", "edge", "ev")])
+    return rows.where("v is not null").select("p_partkey", sport.alias("sport"), *[F.col(f"v.{c}") for c in ("prob", "implied", "edge", "ev")])
 
 
 def mth_03_ml_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mth_03_ml_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     odds = {"home": 1.5 + F.col("a") * 0.1, "draw": F.when(F.col("b") % 2 == 0, F.lit(3.2)), "away": 1.8 + F.col("b") * 0.1}
     one = [F.when(o.isNotNull(), F.struct(F.lit(n).alias("selection"), o.alias("odds"), F.coalesce(F.col(f"s.{n}"), 1 / o).alias("p"), F.when(F.col("s").isNull(), "analytical").otherwise("model").alias("source"))) for n, o in odds.items()]
     each = rows.select("a", "b", F.explode(F.array_compact(F.array(*one))).alias("x"))
-    return each.withColumn("v", G.value(F.col("x.p"), F.col("x.odds"))).select("a", "b", "x.selection", "x.source", F.round("v.prob", 4).alias("prob"), F.round("v.ev", 4).alias("ev"))
+    return each.withColumn("v", G.value(F.col("x.p"), F.col("x.odds"))).select("a", "b", "x.selection", "x.source", "v.prob", "v.ev")
 
 
 def mth_18_prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +128,11 @@ SQL = {
   FROM r LEFT JOIN f ON r.k = f.k LEFT JOIN g ON r.k = g.k),
 c AS (SELECT *, least(greatest(live, 0), 1)::DOUBLE AS x FROM q WHERE s < 4 AND p <= 1 AND odds IS NOT NULL)
 SELECT k AS p_partkey, CASE s WHEN 0 THEN 'football' WHEN 1 THEN 'ice_hockey' WHEN 2 THEN 'basketball' ELSE 'american_football' END AS sport,
-  round(round(x, 6), 4) AS prob, round(round(1 / odds, 6), 4) AS implied, round(round(x - 1 / odds, 6), 4) AS edge, round(round(x * (odds - 1) - (1 - x), 6), 4) AS ev FROM c""",
+  round(x, 6) AS prob, round(1 / odds, 6) AS implied, round(x - 1 / odds, 6) AS edge, round(x * (odds - 1) - (1 - x), 6) AS ev FROM c""",
     "mth_03_ml_value": f"""WITH {_CELLS}, d AS (SELECT a, b, sum(m) FILTER (i > j) / sum(m) AS h, sum(m) FILTER (i = j) / sum(m) AS x, sum(m) FILTER (i < j) / sum(m) AS w FROM cells GROUP BY a, b),
 o AS (SELECT a, b, 'home' AS selection, 1.5::DOUBLE + a * 0.1::DOUBLE AS odds, h AS p FROM d UNION ALL SELECT a, b, 'draw', 3.2::DOUBLE, x FROM d WHERE b % 2 = 0 UNION ALL SELECT a, b, 'away', 1.8::DOUBLE + b * 0.1::DOUBLE, w FROM d),
 q AS (SELECT a, b, selection, odds, a % 3 <> 0 AS has, CASE WHEN a % 3 <> 0 THEN p ELSE 1 / odds END AS p FROM o)
-SELECT a, b, selection, CASE WHEN has THEN 'model' ELSE 'analytical' END AS source, round(round(p, 6), 4) AS prob, round(round(p * (odds - 1) - (1 - p), 6), 4) AS ev FROM q""",
+SELECT a, b, selection, CASE WHEN has THEN 'model' ELSE 'analytical' END AS source, round(p, 6) AS prob, round(p * (odds - 1) - (1 - p), 6) AS ev FROM q""",
     "mth_18_prediction_rows": f"""WITH {_CELLS}, d AS (SELECT a, b, sum(m) FILTER (i > j) / sum(m) AS h, sum(m) FILTER (i = j) / sum(m) AS x, sum(m) FILTER (i < j) / sum(m) AS w FROM cells GROUP BY a, b),
 g AS (SELECT a, b, 1 - ({' + '.join(_pmf(str(k), 'rh + ra') for k in range(2))}) AS o1, 1 - ({' + '.join(_pmf(str(k), 'rh + ra') for k in range(3))}) AS o2 FROM pairs),
 o AS (SELECT a, b, 'match_winner' AS market, 'home' AS selection, 1.5::DOUBLE + a * 0.1::DOUBLE AS odds, h AS p FROM d UNION ALL SELECT a, b, 'match_winner', 'draw', 3.2::DOUBLE, x FROM d WHERE b % 2 = 0

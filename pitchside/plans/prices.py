@@ -52,7 +52,7 @@ def flt_05_positive_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_01_by_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of positive value, best first. The SQL holds only the 50 best."""
+    """All of positive value, best first (TOP-01)."""
     return flt_05_positive_ev(spark, sf_dir).orderBy(F.desc("ev"), F.asc("match_id"), F.asc("selection"))
 
 
@@ -173,7 +173,7 @@ SELECT match_id, selection, odds AS best_odds, book AS best_book, n AS n_offers
          count(*) OVER (PARTITION BY match_id, selection) AS n FROM prices) WHERE rn = 1""",
     "mth_01_ev": f"WITH {LATEST} SELECT match_id, selection, odds, {_EV}, {P} * (odds - 1) - (1 - {P}) > 0 AS is_positive FROM latest",
     "flt_05_positive_ev": f"WITH {LATEST} SELECT match_id, selection, odds, ev FROM (SELECT *, {_EV} FROM latest) WHERE ev > 0.02",
-    "top_01_by_ev": f"WITH {LATEST} SELECT match_id, selection, odds, ev FROM (SELECT *, {_EV} FROM latest) WHERE ev > 0.02 ORDER BY ev DESC, match_id, selection LIMIT 50",
+    "top_01_by_ev": f"WITH {LATEST} SELECT match_id, selection, odds, ev FROM (SELECT *, {_EV} FROM latest) WHERE ev > 0.02 ORDER BY ev DESC, match_id, selection",
     "top_03_apply_best": f"""WITH {PRICES}, best AS (
   SELECT match_id, selection, max(odds) AS odds, arg_min(book, (-odds, book)) AS best_book FROM prices GROUP BY ALL)
 SELECT match_id, selection, odds AS best_odds, best_book, {_EV} FROM best""",
