@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and SQL.
-MODULES = ("prices", "bets", "teams", "names", "models", "quality", "actions", "special", "ingest", "upkeep", "live")
+MODULES = ("prices", "bets", "teams", "names", "models", "quality", "actions", "special", "ingest", "upkeep", "live", "streams")
 
 
 def _all(what: str) -> dict:

@@ -28,7 +28,12 @@ LATE_DAYS = 3
 
 
 def _millis(t: pd.Timestamp) -> int:
-    return int(pd.Timestamp(t).timestamp() * 1000)
+    return pd.Timestamp(t).value // 1_000_000
+
+
+def _match_rows(key: Any, rows: list[tuple]) -> pd.DataFrame:
+    at, match, odds = zip(*rows, strict=True)
+    return pd.DataFrame({"match_id": [key[0]] * len(rows), "at": pd.to_datetime(list(at), unit="ms"), "match": list(match), "odds": pd.Series(odds, dtype=float)})
 
 
 class _Break(StatefulProcessor):
@@ -42,33 +47,39 @@ class _Break(StatefulProcessor):
         self.known = handle.getValueState("known", "state string, since long, row string")
         self.price = handle.getValueState("price", "odds double")
 
-    def _row(self, key: Any, at: int) -> pd.DataFrame:
-        odds = self.price.get()[0] if self.price.exists() else None
-        return pd.DataFrame({"match_id": [key[0]], "at": [pd.Timestamp(at, unit="ms")], "match": [self.known.get()[2]], "odds": [odds]})
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state, since, match = self.known.get() if self.known.exists() else (None, 0, None)
+        odds = self.price.get()[0] if self.price.exists() else None
+        timers = [*self.handle.listTimers()]
+        due = timers[0] if timers else None
+        out: list[tuple] = []
         for r in pd.concat(list(rows)).sort_values("at", kind="stable").itertuples(index=False):
             at = _millis(r.at)
-            for due in sorted(t for t in self.handle.listTimers() if t < at):  # it would fire later, with what comes now
-                self.handle.deleteTimer(due)
-                yield self._row(key, due)
-            state, since, _ = self.known.get() if self.known.exists() else (None, 0, None)
+            if due is not None and due < at:  # its timer would fire later, with what comes now
+                out.append((due, match, odds))
+                due = None
             if r.match is not None and not pd.isna(r.match):
                 if r.state != state:
-                    for t in list(self.handle.listTimers()):
-                        self.handle.deleteTimer(t)
-                    since = at
-                    if r.state in self.breaks:
-                        self.handle.registerTimer(at + self.wait)
-                state = r.state
-                self.known.update((state, since, r.match))
+                    since, due = at, at + self.wait if r.state in self.breaks else None
+                state, match = r.state, r.match
             if not pd.isna(r.odds):
-                self.price.update((float(r.odds),))
+                odds = float(r.odds)
                 if state in self.breaks and at - since > self.wait:
-                    yield self._row(key, at)
+                    out.append((at, match, odds))
+        for t in timers:
+            self.handle.deleteTimer(t)
+        if due is not None:
+            self.handle.registerTimer(due)
+        if match is not None:
+            self.known.update((state, since, match))
+        if odds is not None:
+            self.price.update((odds,))
+        if out:
+            yield _match_rows(key, out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._row(key, expiredTimerInfo.getExpiryTimeInMs())
+        odds = self.price.get()[0] if self.price.exists() else None
+        yield _match_rows(key, [(expiredTimerInfo.getExpiryTimeInMs(), self.known.get()[2], odds)])
 
     def close(self) -> None:
         pass
@@ -100,33 +111,40 @@ class _Expiry(StatefulProcessor):
         self.bet = handle.getValueState("bet", "placed long, outcome string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        placed, outcome = self.bet.get() if self.bet.exists() else (None, None)
+        timers = [*self.handle.listTimers()]
+        due = timers[0] if timers else None
+        out: list[tuple] = []
         for r in pd.concat(list(rows)).sort_values("at", kind="stable").itertuples(index=False):
             at = _millis(r.at)
-            placed, outcome = self.bet.get() if self.bet.exists() else (None, None)
-            for due in [t for t in self.handle.listTimers() if t < at]:  # it would fire after this row
-                self.handle.deleteTimer(due)
-                if outcome is None:
-                    outcome = "expired"
-                    self.bet.update((placed, outcome))
-                    yield self._row(key, due, "VOID", outcome)
+            if due is not None and due < at:  # its timer would fire after this row
+                outcome = "expired"
+                out.append((due, "VOID", outcome))
+                due = None
             if r.status == "PENDING":
                 if placed is None:
-                    self.bet.update((at, None))
-                    self.handle.registerTimer(at + EXPIRY[r.ledger] * 60_000)
+                    placed, due = at, at + EXPIRY[r.ledger] * 60_000
             elif placed is not None and outcome is None:
-                self.bet.update((placed, "settled"))
-                yield self._row(key, at, r.status, "settled")
+                outcome, due = "settled", None
+                out.append((at, r.status, outcome))
             elif placed is None or at - placed > LATE_DAYS * 86_400_000:
-                yield self._row(key, at, r.status, "late")
+                out.append((at, r.status, "late"))
+        for t in timers:
+            self.handle.deleteTimer(t)
+        if due is not None:
+            self.handle.registerTimer(due)
+        if placed is not None:
+            self.bet.update((placed, outcome))
+        if out:
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        placed, outcome = self.bet.get()
-        if outcome is None:
-            self.bet.update((placed, "expired"))
-            yield self._row(key, expiredTimerInfo.getExpiryTimeInMs(), "VOID", "expired")
+        self.bet.update((self.bet.get()[0], "expired"))
+        yield self._rows(key, [(expiredTimerInfo.getExpiryTimeInMs(), "VOID", "expired")])
 
-    def _row(self, key: Any, at: int, status: str, outcome: str) -> pd.DataFrame:
-        return pd.DataFrame({"bet_id": [key[0]], "at": [pd.Timestamp(at, unit="ms")], "status": [status], "outcome": [outcome]})
+    def _rows(self, key: Any, rows: list[tuple]) -> pd.DataFrame:
+        at, status, outcome = zip(*rows, strict=True)
+        return pd.DataFrame({"bet_id": [key[0]] * len(rows), "at": pd.to_datetime(list(at), unit="ms"), "status": status, "outcome": outcome})
 
     def close(self) -> None:
         pass
