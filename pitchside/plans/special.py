@@ -9,10 +9,16 @@ from pitchside.functions import kernels as K
 from pitchside.functions import matching as M
 from pitchside.functions import registry as G
 from pitchside.functions.rowmodels import present
-from pitchside.operators import learning as L
+from pitchside.operators import boosting as B
 from pitchside.operators import training as T
+from pitchside.operators import walkforward as W
 from pitchside.plans.adapters import matches, table
 from pitchside.plans.live import _played
+from pitchside.sources.scratch import scratch
+from pitchside.sources.stores import latest_model
+
+#: Folds, and rounds of trees of the queries (the operators take any number; 200 for a model in use).
+FOLDS, ROUNDS = 5, 5
 
 
 def mth_13_tennis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,22 +74,27 @@ def prj_35_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", t.alias("t")).select("page_id", F.size("t").alias("n_tables"), F.coalesce(F.aggregate("t", F.lit(0), lambda a, x: a + F.size(x)), F.lit(0)).alias("n_rows"))
 
 
+def _folds(spark: SparkSession, sf_dir: str) -> tuple[list[B.Trees], DataFrame]:
+    return W.fold_models(_played(spark, sf_dir), FOLDS, trees=ROUNDS)
+
+
 def ml_05_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fold metrics of the outcome trees over the training set, if it passes the gate (ML-01, ML-03, ML-05, WIN-13)."""
-    rows = T.training_set(_played(spark, sf_dir))
-    passed = T.gate(rows, T.COLUMNS)
-    if passed != "ok":
-        raise ValueError(f"no model is fitted: {passed}")
-    return L.walk_forward(rows, T.COLUMNS, F.to_date("scheduled_at"), "match_id", 2, fit=lambda df, columns, label: L.boosted(df, columns, label, trees=5))
+    """Metrics of five folds of the outcome and goals trees over the training set, if it passes the gate (ML-01, ML-03, ML-04, ML-05, WIN-13)."""
+    return B.fold_scores(_folds(spark, sf_dir)[1], FOLDS)
+
+
+def agg_26_fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the metrics over the folds (AGG-26)."""
+    return B.fold_summary(ml_05_walk_forward(spark, sf_dir))
 
 
 def ml_06_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome probabilities and goals of every match, by models of the matches before 1996 (ML-02, ML-04, ML-06)."""
+    """Outcome probabilities and goals of every match, by a model of the matches before 1996 that was stored and found again (ML-02 to ML-06, SNK-02, SNK-03)."""
+    folder = scratch(spark)
+    W.train(_played(spark, sf_dir).where("scheduled_at < timestamp_ntz'1996-01-01'"), folder, "football", folds=2, trees=ROUNDS)
+    model, _ = latest_model(spark, folder, "football", "outcome")
     every = T.vectors(matches(spark, sf_dir))
-    early = T.training_set(_played(spark, sf_dir)).where("scheduled_at < timestamp_ntz'1996-01-01'")
-    p = L.predicted(L.classifier(early, T.COLUMNS), every, T.COLUMNS).select("match_id", *[F.round(F.col("p")[i], 4).alias(f"p{i}") for i in range(3)])
-    g = L.predicted(L.regressor(early.withColumn("label", F.col("goals")), T.COLUMNS, trees=5), every, T.COLUMNS).select("match_id", F.round("prediction", 4).alias("goals"))
-    return p.join(g, "match_id")
+    return model.transform(every.select("match_id", *T.COLUMNS)).select("match_id", *[F.round(F.col("p")[i], 4).alias(f"p{i}") for i in range(3)], F.round("total", 4).alias("goals"))
 
 
 def mth_13_tennis_live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +108,5 @@ def mth_13_tennis_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", "sport", F.round(live, 6).alias("home"))
 
 
-QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_13_tennis_live, mth_14_darts, join_18_fuzzy, join_15_events, join_16_first_fit, join_17_players, prj_35_html, ml_05_walk_forward, ml_06_inference)}
+QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_13_tennis_live, mth_14_darts, join_18_fuzzy, join_15_events, join_16_first_fit, join_17_players, prj_35_html, ml_05_walk_forward, agg_26_fold_summary, ml_06_inference)}
 SQL: dict[str, str] = {}

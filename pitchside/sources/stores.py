@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.functions.cleaning import version_hash
+from pitchside.operators.boosting import Trees
+from pitchside.operators.learning import Boosted
+from pitchside.sources.scratch import cut
+
+SAVED = "sport string, kind string, version string, form string, parts int, metadata string"
 
 
 def save_table(df: DataFrame, path: str, keys: list[str] | None = None, partition_by: list[str] | None = None) -> None:
-    """Appends df to the Parquet table at path; with keys only rows whose key is not there yet."""
+    """Appends df to the Parquet table at path; with keys only rows whose key is not there yet (one writer at a time is meant)."""
     spark = df.sparkSession
     if keys:
         df = df.dropDuplicates(keys)
@@ -22,6 +27,23 @@ def save_table(df: DataFrame, path: str, keys: list[str] | None = None, partitio
     df.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def replace_keys(df: DataFrame, path: str, keys: list[str], partition: str) -> None:
+    """Puts df into the Parquet table at path, partitioned by a column: a row takes the place of the one with its keys.
+
+    Only the partitions that df touches are written again (dynamic partition overwrite), so a day's metrics
+    can be run again or corrected. Of rows of df with equal keys any one is kept; keys hold the partition's
+    column. One writer at a time is meant.
+    """
+    spark = df.sparkSession
+    new = df.dropDuplicates(keys)
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        touched = new.select(partition).distinct()
+        kept = old.join(touched, partition, "left_semi").join(new.select(*keys), keys, "left_anti")
+        new = cut(new.unionByName(kept.select(*df.columns)))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table is there, by Spark's own file listing."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
@@ -43,25 +65,44 @@ def model_version(spark: SparkSession, settings: dict[str, Any], rows: int) -> s
     return spark.range(1).select(version_hash(F.lit(text), F.lit(str(rows))).alias("v")).first()["v"]
 
 
-def save_model(model: PipelineModel, folder: str, sport: str, kind: str, metadata: dict[str, Any]) -> str:
-    """Saves a fitted model and its metadata under folder; gives the version."""
+def save_model(model: Any, folder: str, sport: str, kind: str, metadata: dict[str, Any]) -> str:
+    """Saves a fitted model and its metadata under folder; gives the version.
+
+    A model of trees is stored as its JSON text, boosted pipelines one by one, any other by its own writer.
+    The metadata is written last, so what latest_model finds is whole.
+    """
     spark = SparkSession.active()
     version = model_version(spark, metadata, int(metadata.get("rows", 0)))
-    model.write().overwrite().save(f"{folder}/{sport}_{kind}_{version}/model")
-    row = {"sport": sport, "kind": kind, "version": version, "metadata": json.dumps(metadata, sort_keys=True)}
-    spark.createDataFrame([row], "sport string, kind string, version string, metadata string").withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{folder}/{sport}_{kind}_{version}/metadata")
+    path = f"{folder}/{sport}_{kind}_{version}"
+    form = "trees" if isinstance(model, Trees) else "boosted" if isinstance(model, Boosted) else "pipeline"
+    if form == "trees":
+        spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+    elif form == "boosted":
+        for i, m in enumerate(model.models):
+            m.write().overwrite().save(f"{path}/model/{i}")
+    else:
+        model.write().overwrite().save(f"{path}/model")
+    parts = len(model.models) if form == "boosted" else 1
+    row = {"sport": sport, "kind": kind, "version": version, "form": form, "parts": parts, "metadata": json.dumps(metadata, sort_keys=True)}
+    spark.createDataFrame([row], SAVED).withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
     return version
 
 
-def latest_model(spark: SparkSession, folder: str, sport: str, kind: str) -> tuple[PipelineModel, dict[str, Any]] | None:
+def latest_model(spark: SparkSession, folder: str, sport: str, kind: str) -> tuple[Any, dict[str, Any]] | None:
     """The model of a sport and kind that was saved last, with its metadata; None if there is none."""
-    rows = spark.read.schema("sport string, kind string, version string, metadata string, saved_at timestamp").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.json").json(folder)
-    own = rows.where((F.col("sport") == sport) & (F.col("kind") == kind) & F.col("version").isNotNull())
+    rows = spark.read.schema(SAVED + ", saved_at timestamp").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.json").json(folder)
+    own = rows.where((F.col("sport") == sport) & (F.col("kind") == kind) & F.col("version").isNotNull() & F.col("form").isNotNull())
     last = own.orderBy(F.desc("saved_at"), F.desc("version")).limit(1).collect()
     if not last:
         return None
-    name = f"{sport}_{kind}_{last[0]['version']}"
-    return PipelineModel.load(f"{folder}/{name}/model"), json.loads(last[0]["metadata"])
+    path = f"{folder}/{sport}_{kind}_{last[0]['version']}/model"
+    if last[0]["form"] == "trees":
+        model = Trees.from_json(spark.read.text(path, wholetext=True).first()["value"])
+    elif last[0]["form"] == "boosted":
+        model = Boosted([PipelineModel.load(f"{path}/{i}") for i in range(last[0]["parts"])])
+    else:
+        model = PipelineModel.load(path)
+    return model, json.loads(last[0]["metadata"])
 
 
 def report(df: DataFrame, path: str, form: str = "json") -> None:
