@@ -7,7 +7,6 @@ import unicodedata
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 from pitchside.functions.cleaning import last_name
 
 LEAST_RATIO = 0.88
-#: Canonical names that fit in every task.
-MAX_NAMES = 100_000
+#: Frequencies of pairs of letters that are sent to every task.
+COMMON = 20_000
 
 
 def bare(name: str | None) -> str | None:
@@ -55,65 +54,80 @@ def abbreviates(short: Column, full: Column) -> Column:
     )
 
 
+def grams(c: Column) -> Column:
+    """The pairs of neighbouring letters of a name, each with its number among equal ones; so the array is a set."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2)))
+    numbered = F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    return F.when(F.length(c) >= 2, numbered).otherwise(F.array().cast("array<string>"))
+
+
+def _lost(own: Column, other: Column, least: float) -> Column:
+    """How many pairs of letters of a name of length own may lack in a similar name of length other.
+
+    A ratio of least leaves (1 - least) of both lengths as letters that have no partner; one of the
+    name's own takes two of its pairs with it, one of the other name parts one.
+    """
+    apart = F.floor((1 - least) * (own + other) + 1e-9)
+    return F.floor((3 * apart + own - other) / 2)
+
+
+def candidate_pairs(names: DataFrame, canonical: DataFrame, keys: list[str], least: float = LEAST_RATIO) -> DataFrame:
+    """keys, name and canonical: every two that can have a ratio of least, and few others.
+
+    Names of keys and name, known names of keys and canonical, both distinct. Pairs of letters are in
+    order of how rare they are; a name is looked up by its first ones only, as many as a similar name may
+    lack and one more, so two similar names share one of those. Lengths bound it further, and what is
+    left must have enough pairs in common. No frequent pair of letters gathers all names.
+    """
+    both = names.select(F.col("name").alias("n")).unionByName(canonical.select(F.col("canonical").alias("n"))).distinct()
+    # the frequencies only order the pairs: the COMMON most frequent ones are enough, and bound what is broadcast
+    counts = both.select(F.explode(grams(F.col("n"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    counts = F.broadcast(counts.orderBy(F.desc("often"), "gram").limit(COMMON))
+    # the most that _lost can be for a name of length n: that of the shortest similar name, without rounding
+    most = 1.5 * (1 - least) + 0.5 + (1.5 * (1 - least) - 0.5) * least / (2 - least)
+
+    def indexed(rows: DataFrame, name: str) -> DataFrame:
+        each = rows.select(*keys, name, F.explode(grams(F.col(name))).alias("gram")).join(counts, "gram", "left")
+        every = each.groupBy(*keys, name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("all"))
+        n = F.length(name)
+        first = F.slice("all", F.lit(1), F.floor(n * most + 1e-9).cast("int") + 1)
+        return every.select(*keys, name, n.alias(f"{name}_n"), F.posexplode(first).alias(f"{name}_at", "first_")).select(*keys, name, f"{name}_n", f"{name}_at", "first_.gram")
+
+    m, n = F.col("name_n"), F.col("canonical_n")
+    near = F.abs(m - n) <= F.floor((1 - least) * (m + n) + 1e-9)
+    found = (
+        indexed(names, "name").join(indexed(canonical, "canonical"), [*keys, "gram"])
+        .where(near & (F.col("name_at") <= _lost(m, n, least)) & (F.col("canonical_at") <= _lost(n, m, least)))
+        .select(*keys, "name", "canonical").distinct()
+    )
+    x, y = F.length("name"), F.length("canonical")
+    enough = F.size(F.array_intersect(grams(F.col("name")), grams(F.col("canonical")))) >= x - 1 - _lost(x, y, least)
+    short = names.where(F.length("name") < 2).join(canonical.select(*keys, F.col("canonical"), F.col("canonical").alias("name")), [*keys, "name"])
+    return found.where(enough).unionByName(short.select(*keys, "name", "canonical"))
+
+
+def ratios(pairs: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
+    """pairs with their ratio, where it is least or more."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)], dtype=float)
+
+    return pairs.withColumn("ratio", ratio("name", "canonical")).where(F.col("ratio") >= least)
+
+
 def closest_names(names: DataFrame, canonical: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     """name, canonical and ratio: the first of the most similar known names, if similar enough; a row for each of names.
 
-    The known names are a dimension; they go to every task only after a check of their number, and
-    beyond it each goes to the names of about its length, in blocks of a shuffle. Either way each
-    distinct name is looked up once.
+    Each distinct name is looked up once, by candidate_pairs. Empty names and nulls have none.
     """
     known = canonical.select("canonical").where("canonical is not null").distinct()
     asked = names.select("name").where("name <> ''").distinct()
-    if known.limit(MAX_NAMES + 1).count() <= MAX_NAMES:
-        rows = sorted(r["canonical"] for r in known.collect())
-        counts = _letters(rows)
-
-        @F.pandas_udf("canonical string, ratio double")
-        def run(s: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([_closest(x, rows, counts, least) for x in s], columns=["canonical", "ratio"])
-
-        found = asked.select("name", run("name").alias("r")).select("name", "r.*").where("canonical is not null")
-    else:
-        # a ratio of least bounds the lengths: shorter / longer >= least / (2 - least)
-        step = 8
-        reach = F.ceil(F.length("name") * (2 - least) / least / step)
-        low = F.floor(F.length("name") * least / (2 - least) / step)
-        x = asked.select("name", F.explode(F.sequence(low, reach)).alias("bin"))
-        y = known.select("canonical", F.floor(F.length("canonical") / step).alias("bin"))
-
-        @F.pandas_udf("double")
-        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)])
-
-        scored = x.join(y, "bin").withColumn("ratio", ratio("name", "canonical")).where(F.col("ratio") >= least)
-        found = scored.groupBy("name").agg(F.min_by(F.struct("canonical", "ratio"), F.struct(-F.col("ratio"), F.col("canonical"))).alias("r")).select("name", "r.*")
+    scored = ratios(candidate_pairs(asked, known, [], least), least)
+    found = scored.groupBy("name").agg(F.min_by(F.struct("canonical", "ratio"), F.struct(-F.col("ratio"), F.col("canonical"))).alias("r")).select("name", "r.*")
     return names.select("name").join(found, "name")
 
 
-def _letters(names: list[str]) -> np.ndarray:
-    """How often each of 64 kinds of letters is in each name."""
-    out = np.zeros((len(names), 64), np.int16)
-    for row, name in zip(out, names, strict=True):
-        np.add.at(row, [ord(c) % 64 for c in name], 1)
-    return out
-
-
-def _closest(name: str, rows: list[str], counts: np.ndarray, least: float) -> tuple[str | None, float | None]:
-    """No ratio is above twice the letters in common by the letters of both, so most names need none."""
-    if not rows:
-        return None, None
-    own = _letters([name])[0]
-    bound = 2 * np.minimum(counts, own).sum(axis=1) / (counts.sum(axis=1) + own.sum())
-    best, top = None, 0.0
-    for i in np.lexsort((np.arange(len(rows)), -bound)).tolist():
-        if bound[i] < max(top, least):
-            break
-        r = SequenceMatcher(None, name, rows[i]).ratio()
-        if r >= least and (r > top or r == top and i < best):
-            best, top = i, r
-    return (None, None) if best is None else (rows[best], top)
-
-
 def event_matches(matches: DataFrame, events: DataFrame, least: int = 3, fixture_order: bool = False, passes: tuple[int, ...] = (-1, 0, 1, 2, 3)) -> DataFrame:
     """Each match with the event that names the same teams: match_id, event_id and tier.
 

@@ -7,14 +7,14 @@ it twice gives the same: what is there already is not added, what is settled is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchside.functions.matching import bare
+from pitchside.functions.matching import bare, candidate_pairs, ratios
 from pitchside.functions.odds import expected_value
+from pitchside.sources.scratch import cut
 
 #: Short states of a fixture that is over.
 FINAL = ("FT", "AET", "PEN", "AOT")
@@ -114,42 +114,63 @@ def placed_bets(bets: DataFrame, asks: DataFrame) -> DataFrame:
 
 
 def learned_aliases(names: DataFrame, group: str, name: str, order: list[str], least: float = 0.88) -> DataFrame:
-    """Canonical names learnt in order: group, name, canonical and how (exact, abbreviation, fuzzy, new) of each distinct name.
-
-    The first time a name's key is met in a group (a sport, say) it is the alias of the known name it
-    abbreviates, else of the first of those most like it (from least on), else a new canonical name. What
-    a name becomes hangs on those before it, so a group is walked in order; equal keys are one name
-    before that, and only distinct names of a group, a dimension, meet in one task.
+    """Canonical names learnt in order: group, key, canonical and how (abbreviation, fuzzy, new) of each distinct name.
+
+    The first time a name's key is met in a group (a sport, say) it is the alias of the first known name it
+    abbreviates, else of the first of those most like it (from least on), else a new canonical name. So a
+    key is new if and only if no earlier new key is its partner, by abbreviation or likeness. That is
+    settled in rounds over the graph of such partners: keys without open or new earlier partners are new,
+    keys with a new one are aliases. The graph comes from blocks (last name and initial, rare pairs of
+    letters), so no task sees a group, and the rounds follow the longest chain of partners.
     """
     @F.pandas_udf("string")
     def key(s: pd.Series) -> pd.Series:
         return s.map(bare, na_action="ignore")
 
-    first = names.where(F.trim(name) != "").withColumn("key_", key(F.col(name))).groupBy(group, "key_").agg(F.min(F.struct(*order, F.col(name).alias("name_"))).alias("o_"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("rank_", kind="stable")
-        known: dict[str, str] = {}
-        out = []
-        for k, n in zip(rows["key_"], rows["name_"], strict=True):
-            to, how = next(((c, "abbreviation") for c in known if stands_for(k, c)), (None, "new"))
-            if to is None:
-                best, top = None, 0.0
-                for c in known:
-                    m = SequenceMatcher(None, k, c)
-                    if m.real_quick_ratio() > top and m.quick_ratio() > top and (r := m.ratio()) > top:
-                        best, top = c, r
-                if top >= least:
-                    to, how = best, "fuzzy"
-            if to is None:
-                to = k
-                known[k] = " ".join(n.split())
-            out.append((known[to], how))
-        return rows[[group, "key_"]].assign(canonical=[o[0] for o in out], how=[o[1] for o in out])
-
-    ranked = first.select(group, "key_", F.col("o_.name_").alias("name_"), F.row_number().over(Window.partitionBy(group).orderBy(*[F.col(f"o_.{c}") for c in order], "key_")).alias("rank_"))
-    kind = names.schema[group].dataType.simpleString()
-    return ranked.groupBy(group).applyInPandas(walk, f"`{group}` {kind}, key_ string, canonical string, how string").withColumnRenamed("key_", "key")
+    rows = names.where(F.trim(name) != "").select(F.col(group).alias("g"), key(F.col(name)).alias("name"), F.struct(*order, F.col(name).alias("name_")).alias("o"))
+    first = cut(rows.groupBy("g", "name").agg(F.min("o").alias("o")))
+    known = first.select("g", F.col("name").alias("canonical"))
+    rank = lambda side: first.select("g", F.col("name").alias(side), F.struct("o", F.col("name").alias("tie")).alias(f"{side}_o"))
+
+    def blocks(side: str, kinds: tuple[int, ...]) -> DataFrame:
+        return first.select("g", F.col("name").alias(side), F.explode(F.filter(F.array(*[_block(F.col("name"), k) for k in kinds]), lambda b: b.isNotNull())).alias("block"))
+
+    @F.pandas_udf("boolean")
+    def short_of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([stands_for(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    shorts = blocks("name", (1, 2, 3)).join(blocks("canonical", (0,)), ["g", "block"]).select("g", "name", "canonical").distinct()
+    shorts = shorts.where("name <> canonical").where(short_of("name", "canonical")).withColumn("ratio", F.lit(None).cast("double"))
+    alike = ratios(candidate_pairs(first.select("g", "name"), known, ["g"], least).where("name <> canonical"), least)
+    earlier = shorts.unionByName(alike).join(rank("name"), ["g", "name"]).join(rank("canonical"), ["g", "canonical"]).where("canonical_o < name_o")
+    edges = cut(earlier.select("g", "name", "canonical", "ratio", F.col("canonical_o").alias("at")))
+    state = cut(first.join(edges.select("g", "name").distinct(), ["g", "name"], "left_anti").select("g", "name", F.lit("new").alias("state")))
+    while True:
+        seen = edges.join(state.select("g", F.col("name").alias("canonical"), "state"), ["g", "canonical"], "left").join(state.select("g", "name"), ["g", "name"], "left_anti")
+        fresh = seen.groupBy("g", "name").agg(F.bool_or(F.coalesce(F.col("state") == "new", F.lit(False))).alias("to_new"), F.bool_and(F.col("state").isNotNull()).alias("all_known"))
+        fresh = cut(fresh.where("to_new or all_known").select("g", "name", F.when(F.col("to_new"), "alias").otherwise("new").alias("state")))
+        if fresh.isEmpty():
+            break
+        state = cut(state.unionByName(fresh))
+    spelt = first.select("g", F.col("name").alias("canonical"), F.trim(F.regexp_replace("o.name_", r"\s+", " ")).alias("spelling"))
+    links = edges.join(state.where("state = 'new'").select("g", F.col("name").alias("canonical")), ["g", "canonical"])
+    # an abbreviation first, by the order of the known names; then the likest, by that order
+    best = links.groupBy("g", "name").agg(F.min_by(F.struct("canonical", "ratio"), F.struct(F.coalesce(-F.col("ratio"), F.lit(-9.0)), F.col("at"))).alias("b"))
+    aliases = state.where("state = 'alias'").join(best, ["g", "name"]).select("g", "name", "b.canonical", F.when(F.col("b.ratio").isNull(), "abbreviation").otherwise("fuzzy").alias("how"))
+    every = aliases.unionByName(state.where("state = 'new'").select("g", "name", F.col("name").alias("canonical"), F.lit("new").alias("how")))
+    return every.join(spelt, ["g", "canonical"]).select(F.col("g").alias(group), F.col("name").alias("key"), F.col("spelling").alias("canonical"), "how")
+
+
+def _block(c: Column, kind: int) -> Column:
+    """Last name and first initial of a full name (0), of 'last, given' (1), 'l. last' (2) and 'last l.' (3); null for another form."""
+    words = F.split(c, " ")
+    both = lambda last, initial: F.concat_ws(" ", last, F.substring(initial, 1, 1))
+    if kind == 0:
+        return F.when(F.size(words) >= 2, both(F.element_at(words, -1), words[0]))
+    if kind == 1:
+        return F.when(F.contains(c, F.lit(",")), both(F.trim(F.substring_index(c, ",", 1)), F.trim(F.regexp_replace(c, "^[^,]*,", ""))))
+    a, b = (words[0], words[1]) if kind == 2 else (words[1], words[0])
+    return F.when((F.size(words) == 2) & F.contains(a, F.lit(".")), both(b, a))
 
 
 def stands_for(short: str, full: str) -> bool:

@@ -33,7 +33,7 @@ def mth_14_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_18_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part name, misspelt, and the known name it is closest to."""
-    p = table(spark, sf_dir, "part").select(F.lower("p_name").alias("canonical")).distinct()
+    p = table(spark, sf_dir, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("canonical")).distinct()
     wrong = p.select(F.concat(F.substring("canonical", 1, 3), F.lit("z"), F.substring("canonical", 4, 100)).alias("name"))
     return M.closest_names(wrong, p).select("name", "canonical", F.round("ratio", 4).alias("ratio"))
 
