@@ -15,6 +15,8 @@ repeated rows and null ids too; only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ NAMES = {
     "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license"],
     "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
     "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
+    "Zlib": ["zlib license", "zlib libpng license"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0", "boost software license version 1 0 august 17th 2003", "boost software license"],
+    "EPL-1.0": ["eclipse public license v1 0", "eclipse public license 1 0", "eclipse public license v 1 0", "eclipse public license version 1 0"],
+    "EPL-2.0": ["eclipse public license v2 0", "eclipse public license 2 0", "eclipse public license v 2 0", "eclipse public license version 2 0"],
+    "0BSD": ["zero clause bsd license", "bsd zero clause license", "0bsd license"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic license version 2 0"],
+    "EUPL-1.2": ["european union public licence v 1 2", "european union public licence version 1 2", "european union public license 1 2", "european union public licence 1 2", "eupl version 1 2"],
+    "PostgreSQL": ["postgresql license", "postgresql licence"],
     "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
 }
 #: Sentences of licence texts, normalised.
@@ -59,6 +69,10 @@ SENTENCES = {
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense-domain": "this is free and unencumbered software released into the public domain",
 }
 #: Sentences with a name or an address in them.
@@ -73,14 +87,19 @@ PATTERNS = [
 #: Families of the public licence that one text serves: the word in its name, and versions as texts write them.
 FAMILIES = {"GPL": ("", {"2": "2.0", "3": "3.0"}), "LGPL": ("lesser ", {"2 1": "2.1", "3": "3.0"}), "AGPL": ("affero ", {"3": "3.0"})}
 _TERMS = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
-#: Notices around a name; the second group tells later versions.
-NOTICE = (
-    r"^(?:this (?:work|file|project|software|program|library|code|package|module|repository|document|source code|source file) is )?"
-    r"(?:dual )?(?:licensed|released|distributed|available|published|provided|covered|made available) under (?:the )?(?:terms of |terms and conditions of )?(?:the |a |an )?"
-    r"(.+?)( or later| or any later version| or newer| only)?(?: the license)?$"
+#: Notices around a name, or several joined by or, and, with; then notices with a clause after the name.
+_UNDER = (
+    r"^(?:(?:the|this|these|all|our|its) (?:[a-z0-9]+ ){1,6}(?:is|are) )?(?:dual |multi |triple )?"
+    r"(?:licensed|released|distributed|available|published|provided|covered|made available) under (?:the )?(?:terms of |terms and conditions of )?(?:the |a |an )?(?:either )?(?:the )?"
 )
-SPDX = r"^(?:.{0,20} )?spdx license identifier (.+?)( or later| only)?$"
+NOTICE = _UNDER + r"(.+?)(?: the license)?$"
+CLAUSE = _UNDER + r"(.+?) (?:by|see|which|as) .+$"
+SPDX = r"^(?:.{0,20} )?spdx license identifier (.+)$"
+FIELD = r"^(?:project |package |code )?licen[cs]e (.+)$"
 TITLE = r"^(?:the )?(.*licen[cs]e.*)$"
+FORMS = (SPDX, NOTICE, CLAUSE, FIELD, TITLE)
+#: What makes a name one of later versions, or says nothing; and what joins names.
+LATER, ONLY, JOINT = r" (?:or (?:any )?(?:later|newer)(?: version)?)( |$)", r" only( |$)", " or | and | with "
 #: Licences of more than one sentence or of a sentence of their own, first rule first; then notices.
 TEXT_RULES = [
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
@@ -93,19 +112,25 @@ TEXT_RULES = [
     ("GPL-2.0-or-later", ["gpl2-free"]),
     ("MPL-2.0", ["mpl-form"]),
     ("Unlicense", ["unlicense-domain"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
     ("MIT", ["mit-grant"]),
     ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant"]),
 ]
 #: A text or sentence without one of these (blanks stand for anything but letters and digits) holds nothing known.
 CUES = ["licen", "gpl", "spdx", "cc by", "cc0", "mpl", "permission", "redistribut", "software", "copyright", "without any warranty"]
 CUE = "|".join(CUES).replace(" ", "[^a-z0-9]+")
-#: Marks of comments at the start of a line, and stops that end no sentence.
-MARK = r"(^|\n)[\x20\x09]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|%+|<!--|rem |dnl )[\x20\x09]*)+"
-STOPS = r"(\bv)\.[\x20\x09]+|(identifier):"
+#: Marks of comments at the start of a line, by classes of single characters that are never given back: a
+#: repeated group would need a stack as deep as the line is long. (HELD is for a SQL whose patterns need none.)
+_SIGNS = r"[\x20\x09/*#;%<>!-]*"
+HELD = rf"(^|\n){_SIGNS}(?:(?:rem|dnl)[\x20\x09]{_SIGNS})?"
+MARK = HELD.replace(_SIGNS, _SIGNS + "+")
+#: Stops that end no sentence.
+STOPS = r"(\bv)\.[\x20\x09]+|(identifier|licen[cs]e):"
 #: Where a sentence ends.
 END = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09\x0D]*\n"
-#: Lines of a sentence that make one known sentence, at most.
-LINES = 60
 
 
 def known_names() -> dict[str, str]:
@@ -140,34 +165,53 @@ def rules() -> list[tuple[str, str]]:
     return [(name, "".join(f"<{i}>" for i in ids)) for name, ids in listed]
 
 
+def most_lines() -> int:
+    """Words, and so lines, of the longest sentence that is known: .{1,80} is 40 words at most, a clause after a
+    name or an exception counts up to that too."""
+    texts = [*known_sentences(), *[re.sub(r"[^a-z0-9 ]", "", p) + " x" * 40 * p.count("{1,80}") for _, p in PATTERNS]]
+    return max(*(len(t.split()) for t in texts), 80)
+
+
+#: Lines that are enough to tell whether a known sentence begins: subject, notice and the first word of a name.
+BEGINNING = 24
+
+
 def starts() -> str:
-    """A pattern of the first words of all that is known."""
-    texts = [*known_sentences(), *known_names(), *[p.lstrip("^") for _, p in PATTERNS]]
-    words = {t.split()[0] for t in texts} | set("this dual licensed released distributed available published provided covered made spdx the".split())
-    return rf"^([0-9]{{1,2}} )?({'|'.join(sorted(words))})( |$)|spdx license"
+    """A pattern of how all that is known begins: three words (or all) of sentences and names; notices up to the
+    first word of a name."""
+    texts = [*known_sentences(), *known_names(), *["the " + n for n in known_names()], *[re.split(r" [^a-z0-9 ]", p.lstrip("^"))[0] for _, p in PATTERNS]]
+    words = {" ".join(t.split()[:3]) for t in texts}
+    names = "|".join(sorted({n.split()[0] for n in known_names()}))
+    return rf"^(?:[0-9]{{1,2}} )?(?:(?:{'|'.join(sorted(words))})(?: |$)|(?:{_UNDER[1:]}|(?:project |package |code )?licen[cs]e )(?:{names})(?: |$)|(?:.{{0,20}} )?spdx license identifier )"
 
 
 def _literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in sorted(entries.items()) for x in pair])
+    """A map as one constant (keys and values are words, so = and ; are free)."""
+    return F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in sorted(entries.items()))), F.lit(";"), F.lit("="))
 
 
 def _identifier(s: Column) -> Column:
-    """The identifier of a normalised sentence, or null."""
+    """The identifier of a normalised sentence, or null; of a notice of several names all of theirs, joined by +."""
     names, known = _literal_map(known_names()), _literal_map(known_sentences())
     out = known[s]
     for i, pattern in PATTERNS:
         out = F.coalesce(out, F.when(s.rlike(pattern), F.lit(i)))
-    for pattern in (SPDX, NOTICE, TITLE):
-        name = names[F.regexp_extract(s, pattern, 1)]
-        later = F.regexp_extract(s, pattern, 2).isin(" or later", " or any later version", " or newer") if pattern != TITLE else F.lit(False)
-        out = F.coalesce(out, F.concat(F.when(later & name.contains("GPL"), F.lit("later:")).otherwise(F.lit("name:")), name))
-    return out
+
+    def named(part: Column) -> Column:
+        return F.transform(F.array(names[F.rtrim(part, F.lit("~"))]), lambda n: F.concat(F.when(F.endswith(part, F.lit("~")) & n.contains("GPL"), F.lit("later:")).otherwise(F.lit("name:")), n))[0]
+
+    def of(text: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(text, LATER, "~$1"), ONLY, "$1")
+        return F.array_join(F.filter(F.transform(F.split(text, JOINT, -1), named), lambda x: x.isNotNull()), "+")
+
+    notice = F.filter(F.transform(F.array(*[F.regexp_extract(s, f, 1) for f in FORMS]), of), lambda x: x != "")
+    return F.coalesce(out, F.try_element_at(notice, F.lit(1)))
 
 
 def _identifiers(clean: Column) -> Column:
     """Identifiers of the known sentences, in order: runs of a sentence's lines that together make one."""
     once = lambda x, f: F.transform(F.array(x), f)[0]
-    start = starts()
+    start, most = starts(), most_lines()
 
     def hits(sentence: Column) -> Column:
         lines = F.transform(F.split(sentence, "\n", -1), lambda u: F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")))
@@ -177,17 +221,18 @@ def _identifiers(clean: Column) -> Column:
         """The longest known run from each line that can begin one."""
 
         def longest(i: Column) -> Column:
-            sizes = F.sequence(F.lit(1), F.least(F.lit(LINES), F.size(lines) - i + 1))
+            sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size(lines) - i + 1))
             text = lambda k: F.regexp_replace(F.array_join(F.slice(lines, i, k), " "), "^[0-9]{1,2} ", "")
             found = F.transform(sizes, lambda k: F.struct(i.alias("i"), k.alias("k"), once(text(k), _identifier).alias("id")))
             return F.try_element_at(F.filter(found, lambda e: e["id"].isNotNull()), F.lit(-1))
 
-        places = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i > 0) & F.coalesce(F.try_element_at(lines, F.greatest(i, F.lit(1))), F.lit("")).rlike(start))
+        begins = lambda i: F.array_join(F.slice(lines, F.greatest(i, F.lit(1)), F.lit(BEGINNING)), " ").rlike(start)
+        places = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: (i > 0) & begins(i))
         return F.filter(F.transform(places, longest), lambda h: h.isNotNull())
 
     def apart(found: Column) -> Column:
         inside = lambda h: F.exists(found, lambda g: (g["i"] < h["i"]) & (g["i"] + g["k"] > h["i"]))
-        return F.transform(F.filter(found, lambda h: ~inside(h)), lambda h: h["id"])
+        return F.flatten(F.transform(F.filter(found, lambda h: ~inside(h)), lambda h: F.split(h["id"], r"\+", -1)))
 
     sentences = F.filter(F.split(clean, END, -1), lambda r: r.rlike(CUE))
     return F.flatten(F.transform(sentences, hits))
@@ -232,30 +277,28 @@ def _sql() -> str:
         )
         last = f"r{n}"
     fits = " ".join(f"WHEN regexp_matches(t, {quoted(p)}) THEN {quoted(i)}" for i, p in PATTERNS)
-    later = lambda p: f"regexp_extract(t, {quoted(p)}, 2) IN (' or later', ' or any later version', ' or newer')"
-    named = lambda a, p: f"CASE WHEN {a}.spdx IS NOT NULL THEN (CASE WHEN {later(p)} AND contains({a}.spdx, 'GPL') THEN 'later:' ELSE 'name:' END) || {a}.spdx END"
+    parts = lambda p: f"regexp_split_to_array(regexp_replace(regexp_replace(regexp_extract(t, {quoted(p)}, 1), {quoted(LATER)}, '~\\1', 'g'), {quoted(ONLY)}, '\\1', 'g'), {quoted(JOINT)})"
+    named = lambda p: f"nullif(array_to_string(list_filter(list_transform({parts(p)}, lambda x: CASE WHEN x LIKE '%~' AND contains(spdx[rtrim(x, '~')], 'GPL') THEN 'later:' ELSE 'name:' END || spdx[rtrim(x, '~')]), lambda x: x IS NOT NULL), '+'), '')"
     return f"""
 WITH known(sentence, id) AS (VALUES {values(known_sentences())}),
 names(name, spdx) AS (VALUES {values(known_names())}),
 numbered AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS low FROM documents),
-cleaned AS (SELECT rid, regexp_replace(regexp_replace(low, {quoted(MARK)}, '\\1', 'g'), {quoted(STOPS)}, '\\1\\2 ', 'g') AS clean FROM numbered WHERE regexp_matches(low, {quoted(CUE)})),
+cleaned AS (SELECT rid, regexp_replace(regexp_replace(low, {quoted(HELD)}, '\\1', 'g'), {quoted(STOPS)}, '\\1\\2 ', 'g') AS clean FROM numbered WHERE regexp_matches(low, {quoted(CUE)})),
 split AS (SELECT rid, regexp_split_to_array(clean, {quoted(END)}) AS parts FROM cleaned),
 sentences AS (SELECT rid, unnest(parts) AS part, generate_subscripts(parts, 1) AS sn FROM split),
 lined AS (
   SELECT rid, sn, list_filter(list_transform(string_split(part, chr(10)), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS lines
   FROM sentences WHERE regexp_matches(part, {quoted(CUE)})),
 begun AS (SELECT rid, sn, lines, unnest(range(1, len(lines) + 1)) AS i FROM lined),
-runs AS (SELECT rid, sn, i, lines, unnest(range(1, least({LINES}, len(lines) - i + 1) + 1)) AS k FROM begun WHERE regexp_matches(lines[i], {quoted(starts())})),
+runs AS (SELECT rid, sn, i, lines, unnest(range(1, least({most_lines()}, len(lines) - i + 1) + 1)) AS k FROM begun WHERE regexp_matches(array_to_string(lines[i:i + {BEGINNING - 1}], ' '), {quoted(starts())})),
 texts AS (SELECT rid, sn, i, k, regexp_replace(array_to_string(lines[i:i + k - 1], ' '), '^[0-9]{{1,2}} ', '') AS t FROM runs),
+spdx_names AS (SELECT map(list(name), list(spdx)) AS spdx FROM names),
 hits AS (
-  SELECT rid, sn, i, k, coalesce(known.id, CASE {fits} END, {named('a', SPDX)}, {named('b', NOTICE)}, 'name:' || c.spdx) AS id
-  FROM texts LEFT JOIN known ON t = known.sentence
-  LEFT JOIN names a ON regexp_extract(t, {quoted(SPDX)}, 1) = a.name
-  LEFT JOIN names b ON regexp_extract(t, {quoted(NOTICE)}, 1) = b.name
-  LEFT JOIN names c ON regexp_extract(t, {quoted(TITLE)}, 1) = c.name),
+  SELECT rid, sn, i, k, coalesce(known.id, CASE {fits} END, {", ".join(named(p) for p in FORMS)}) AS id
+  FROM texts CROSS JOIN spdx_names LEFT JOIN known ON t = known.sentence),
 longest AS (SELECT rid, sn, i, max(k) AS k, arg_max(id, k) AS id FROM hits WHERE id IS NOT NULL GROUP BY rid, sn, i),
 apart AS (SELECT * FROM longest x WHERE NOT EXISTS (SELECT 1 FROM longest g WHERE g.rid = x.rid AND g.sn = x.sn AND g.i < x.i AND g.i + g.k > x.i)),
-listed AS (SELECT rid, list(id ORDER BY sn, i) AS ids FROM apart GROUP BY rid),
+listed AS (SELECT rid, flatten(list(string_split(id, '+') ORDER BY sn, i)) AS ids FROM apart GROUP BY rid),
 found AS (SELECT rid, ids, '<' || array_to_string(ids, '><') || '>' AS gone, CAST([] AS VARCHAR[]) AS got FROM listed),
 {", ".join(steps)}
 SELECT d.doc_id, coalesce(len(r.ids), 0)::BIGINT AS n_known,

@@ -287,3 +287,38 @@ def test_every_known_sentence_has_a_cue_and_a_start():
 
     for text in [*licenses.known_sentences(), *[f"licensed under {n}" for n in licenses.known_names()]]:
         assert re.search(licenses.CUE, text) and re.search(licenses.starts(), text), text
+
+
+LICENSE_CASES = {
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT,Apache-2.0",
+    "// SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note": "GPL-2.0",
+    "SPDX-License-Identifier: (MIT AND BSD-3-Clause)": "MIT,BSD-3-Clause",
+    "License: MIT": "MIT",
+    "Released under the MIT license by Acme Corp.": "MIT",
+    "licensed under the MIT License (see LICENSE for details)": "MIT",
+    "dual-licensed under MIT and Apache-2.0": "MIT,Apache-2.0",
+    "The text is available under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "Licensed under CC BY 4.0": "CC-BY-4.0",
+    "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)": "BSL-1.0",
+    "This program and the accompanying materials\nare made available under the terms of the Eclipse Public License 2.0\nwhich is available at https://x.example": "EPL-2.0",
+    "This software is provided 'as-is', without any express or implied\nwarranty.  Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:": "Zlib",
+    "licensed under the GPLv3 or any later version": "GPL-3.0-or-later",
+    "The license fee is due. A license to drive": "",
+    "mit license\n" + "# " * 20_000: "MIT",
+    "mit license\n" + "-- ;#; " * 20_000 + "\n" + "ab\n" * 5_000: "MIT",
+    "# Permission\n# " + "\n# ".join("is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:".split(" ")): "MIT",
+}
+
+
+def test_license_notices_marks_and_many_lines(spark, tmp_path):
+    """Notices of several names and with clauses; long runs of comment marks end no task; a word a line is no cap; SQL agrees."""
+    import duckdb
+
+    rows = [(i, t, None, None, None) for i, t in enumerate(LICENSE_CASES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path.as_uri()}/documents.parquet")
+    got = licenses.op6(spark, tmp_path.as_uri()).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == dict(enumerate(LICENSE_CASES.values()))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.sql(licenses.SQL["op6_license_rules"]).fetchall())
