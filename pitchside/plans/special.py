@@ -26,6 +26,13 @@ def mth_13_tennis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("r", K.tennis(F.col("a"), F.col("b"))).select("s_suppkey", F.round("r.set_win", 6).alias("set_win"), F.round("r.match_win", 6).alias("match_win"), F.round("r.games", 4).alias("games"))
 
 
+def mth_13_total_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of more games than a line, of three and of five sets (MTH-13)."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (0.55 + (k % 20) / 100).alias("a"), (0.55 + (k % 17) / 100).alias("b"), (20.5 + k % 9).alias("line"))
+    return s.select("s_suppkey", "line", *[F.round(K.tennis_over(F.col("a"), F.col("b"), F.col("line") + more, n), 6).alias(f"over_{n}") for n, more in ((3, 0), (5, 14))])
+
+
 def mth_14_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (0.4 + (F.col("s_suppkey") % 30) / 100).alias("h"), (0.4 + (F.col("s_suppkey") % 23) / 100).alias("a"))
     return s.select("s_suppkey", F.round(K.darts(F.col("h"), F.col("a")), 6).alias("win"))
@@ -101,12 +108,13 @@ def mth_13_tennis_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tennis and darts matches under way: live probability from sets or legs won (MTH-13, MTH-14, MTH-15)."""
     k = F.col("s_suppkey")
     n = lambda m, r: F.when(k % m != r, (k % m).cast("double"))
-    tennis = present({"p_serve_home": 0.55 + (k % 20) / 100, "p_serve_away": 0.55 + (k % 17) / 100, "best_of": F.when(k % 2 == 0, 5).otherwise(3), "a_serving": n(2, 5)})
+    tennis = present({"p_serve_home": 0.55 + (k % 20) / 100, "p_serve_away": 0.55 + (k % 17) / 100, "best_of": F.when(k % 2 == 0, 5).otherwise(3), "a_serving": n(2, 5),
+        "games_home": n(6, 1), "games_away": n(5, 2), "points_home": n(4, 3), "points_away": n(3, 2)})
     darts = present({"p_leg_home": 0.4 + (k % 30) / 100, "p_leg_away": 0.4 + (k % 23) / 100, "sets": k % 2, "home_throwing": n(2, 5)})
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.struct(F.lit("tennis").alias("sport"), tennis.alias("stats")), F.struct(F.lit("darts").alias("sport"), darts.alias("stats")))).alias("m")).select("s_suppkey", "m.*")
     live = G.updated(F.col("sport"), F.lit(0.5), k % 3, k % 2, F.lit(0.0), F.col("stats"))
     return s.select("s_suppkey", "sport", F.round(live, 6).alias("home"))
 
 
-QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_13_tennis_live, mth_14_darts, join_18_fuzzy, join_15_events, join_16_first_fit, join_17_players, prj_35_html, ml_05_walk_forward, agg_26_fold_summary, ml_06_inference)}
+QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_13_tennis_live, mth_13_total_games, mth_14_darts, join_18_fuzzy, join_15_events, join_16_first_fit, join_17_players, prj_35_html, ml_05_walk_forward, agg_26_fold_summary, ml_06_inference)}
 SQL: dict[str, str] = {}
