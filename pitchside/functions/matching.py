@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchside.functions.cleaning import last_name
+from pitchside.sources.scratch import cut
 
 LEAST_RATIO = 0.88
 #: Frequencies of pairs of letters that are sent to every task.
@@ -128,46 +130,76 @@ def closest_names(names: DataFrame, canonical: DataFrame, least: float = LEAST_R
     return names.select("name").join(found, "name")
 
 
+def _person_keys(c: Column) -> Column:
+    """What a name is looked up by: itself, and last name with initial by each form it may have (as abbreviates reads them)."""
+    words = F.split(F.trim(c), " ")
+    of = lambda last, initial: F.when((last != "") & (initial != ""), F.concat_ws(" ", F.trim(last), F.substring(initial, 1, 1)))
+    comma, after, before = r"^([^,]+),\s*(.+)$", r"^(.+?)\s+([a-z])\.(?:[a-z]\.)*$", r"^([a-z])\.\s*(.+)$"
+    part = lambda p, i: F.regexp_extract(c, p, i)
+    forms = [F.when(F.size(words) >= 2, of(F.element_at(words, -1), words[0])), of(part(comma, 1), part(comma, 2)), of(part(after, 1), part(after, 2)), of(part(before, 2), part(before, 1))]
+    return F.array_distinct(F.array_compact(F.array(F.concat(F.lit("="), c), *forms)))
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(c, r"[\s,.]+"), lambda t: t != ""))
+
+
 def event_matches(matches: DataFrame, events: DataFrame, least: int = 3, fixture_order: bool = False, passes: tuple[int, ...] = (-1, 0, 1, 2, 3)) -> DataFrame:
     """Each match with the event that names the same teams: match_id, event_id and tier.
 
     matches: match_id, day, home, away, and bound (an event id known already, or null); events:
     event_id, day, home, away (keys as of name_key). A bound event of any day comes first (tier -1).
-    Then, among events of the same day that share a word, a last name or an initial with the match:
-    equal names (0), abbreviations (1), the most shared words or one name inside the other, on both
-    sides (2), equal last names on both sides (3). Ties go to the least event_id. With fixture_order
-    the first event by id that fits any pass wins. Only the tiers in passes count.
-
-    Names are compared only where a word of both home names agrees, so a busy day is not a product.
+    Then, among events of the same day: equal names (0), abbreviations (1), names that agree on both
+    sides by shared words, or share a word while one is inside the other (2; the most shared words win),
+    equal last names on both sides (3). Ties go to the least event_id. With fixture_order the first event
+    by id that fits any pass wins. Only the tiers in passes count.
+
+    Each pass is a join on a key of its own that takes in both sides: the names, last name and initial,
+    a word of each side, the last names; and only matches without an event from an earlier pass go on
+    to the next. So a frequent word or first name alone pairs nothing, and the broad keys of the third
+    pass see few rows.
     """
     if "bound" not in matches.columns:
         matches = matches.withColumn("bound", F.lit(None).cast(events.schema["event_id"].dataType))
-    keys = lambda c: F.array_distinct(F.filter(F.split(c, r"[\s,.]+"), lambda t: t != ""))
-    m = matches.select("*", F.explode(keys(F.col("home"))).alias("word")).alias("m")
-    e = events.select("*", F.explode(keys(F.col("home"))).alias("word")).alias("e")
+    rows = matches.select("match_id", "day", F.col("home").alias("mh"), F.col("away").alias("ma"))
+    others = events.select("event_id", "day", F.col("home").alias("eh"), F.col("away").alias("ea"))
+    mh, ma, eh, ea = (F.col(c) for c in ("mh", "ma", "eh", "ea"))
     words = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= least)
-    side = lambda a, b: F.greatest(F.size(F.array_intersect(words(a), words(b))), (F.contains(a, b) | F.contains(b, a)).cast("int"))
-    mh, ma, eh, ea = F.col("m.home"), F.col("m.away"), F.col("e.home"), F.col("e.away")
+    inside = lambda a, b: ((F.contains(a, b) | F.contains(b, a)) & F.arrays_overlap(_words(a), _words(b))).cast("int")
+    side = lambda a, b: F.greatest(F.size(F.array_intersect(words(a), words(b))), inside(a, b))
     same = lambda a, b: (a == b) | abbreviates(a, b) | abbreviates(b, a)
     home, away = side(mh, eh), side(ma, ea)
-    checks = {
-        0: (mh == eh) & (ma == ea),
-        1: same(mh, eh) & same(ma, ea),
-        2: (home > 0) & (away > 0),
-        3: (last_name(mh) == last_name(eh)) & (last_name(ma) == last_name(ea)),
+    #: keys of a side, and what then has to hold
+    plans = {
+        0: (lambda c: F.array(c), (mh == eh) & (ma == ea)),
+        1: (_person_keys, same(mh, eh) & same(ma, ea)),
+        2: (_words, (home > 0) & (away > 0)),
+        3: (lambda c: F.array(last_name(c)), (last_name(mh) == last_name(eh)) & (last_name(ma) == last_name(ea))),
     }
-    tier = F.coalesce(*[F.when(check, F.lit(n)) for n, check in checks.items() if n in passes], F.lit(None).cast("int"))
-    named = (
-        m.join(e, (F.col("m.day") == F.col("e.day")) & (F.col("m.word") == F.col("e.word")))
-        .select("m.match_id", "e.event_id", tier.alias("tier"), F.when(tier == 2, home + away).otherwise(0).alias("score"))
-        .where("tier is not null")
-    )
+
+    def found(left: DataFrame, tier: int) -> DataFrame:
+        keys, holds = plans[tier]
+        both = lambda df, h, a: df.withColumn("key_h", F.explode(keys(h))).withColumn("key_a", F.explode(keys(a)))
+        pairs = both(left, mh, ma).join(both(others, eh, ea), ["day", "key_h", "key_a"]).where(holds)
+        return pairs.select("match_id", "event_id", F.lit(tier).alias("tier"), (home + away if tier == 2 else F.lit(0)).alias("score"))
+
     bound = matches.where("bound is not null").join(events.select(F.col("event_id").alias("bound")), "bound").select(
         "match_id", F.col("bound").alias("event_id"), F.lit(-1).alias("tier"), F.lit(0).alias("score")
     )
+    got = [bound] if -1 in passes else []
     order = F.struct(F.col("tier") >= 0, "event_id", "tier") if fixture_order else F.struct("tier", (-F.col("score")).alias("s"), "event_id")
-    every = bound.unionByName(named) if -1 in passes else named
-    return every.groupBy("match_id").agg(F.min_by(F.struct("event_id", "tier"), order).alias("r")).select("match_id", "r.*")
+    best = lambda df: df.groupBy("match_id").agg(F.min_by(F.struct("event_id", "tier"), order).alias("r")).select("match_id", "r.*")
+    if fixture_order:
+        every = [*got, *[found(rows, t) for t in plans if t in passes]]
+        return best(reduce(DataFrame.unionByName, every))
+    done: DataFrame | None = None
+    for t in (-1, *plans):
+        if t not in passes:
+            continue
+        left = rows if done is None else rows.join(done.select("match_id"), "match_id", "left_anti")
+        new = best(bound if t < 0 else found(left, t))
+        done = cut(new if done is None else done.unionByName(new))
+    return done if done is not None else best(bound.where("false"))
 
 
 class _Tables(HTMLParser):

@@ -12,7 +12,7 @@ from pitchside.functions.rowmodels import present
 from pitchside.operators import boosting as B
 from pitchside.operators import training as T
 from pitchside.operators import walkforward as W
-from pitchside.plans.adapters import matches, table
+from pitchside.plans.adapters import MATCHES, matches, table
 from pitchside.plans.live import _played
 from pitchside.sources.scratch import scratch
 from pitchside.sources.stores import latest_model
@@ -117,4 +117,40 @@ def mth_13_tennis_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (mth_13_tennis, mth_13_tennis_live, mth_13_total_games, mth_14_darts, join_18_fuzzy, join_15_events, join_16_first_fit, join_17_players, prj_35_html, ml_05_walk_forward, agg_26_fold_summary, ml_06_inference)}
-SQL: dict[str, str] = {}
+
+
+def _abbreviates(short: str, full: str) -> str:
+    parts, first, last = f"string_split({full}, ' ')", f"split_part({full}, ' ', 1)", f"string_split({full}, ' ')[-1]"
+    x = lambda p, i: f"regexp_extract({short}, '{p}', {i})"
+    comma, after, before = r"^([^,]+),\s*(.+)$", r"^(.+?)\s+([a-z])\.(?:[a-z]\.)*$", r"^([a-z])\.\s*(.+)$"
+    given = f"regexp_replace({x(comma, 2)}, '\\.+$', '')"
+    return f"""CASE WHEN len({parts}) < 2 THEN false
+    WHEN {x(comma, 1)} <> '' THEN trim({x(comma, 1)}) = {last} AND ({given} = {first} OR length({given}) = 1 AND {given} = left({first}, 1))
+    WHEN {x(after, 1)} <> '' THEN {x(after, 1)} = {last} AND {x(after, 2)} = left({first}, 1)
+    WHEN {x(before, 2)} <> '' THEN {x(before, 2)} = {last} AND {x(before, 1)} = left({first}, 1) ELSE false END"""
+
+
+def _event_sql(order: str, tiers: str = "-1, 0, 1, 2, 3") -> str:
+    words = lambda c: f"list_filter(string_split({c}, ' '), lambda t: length(t) >= 3)"
+    split = lambda c: f"list_filter(regexp_split_to_array({c}, '[\\s,.]+'), lambda t: t <> '')"
+    side = lambda a, b: f"greatest(len(list_intersect({words(a)}, {words(b)})), CASE WHEN (contains({a}, {b}) OR contains({b}, {a})) AND list_has_any({split(a)}, {split(b)}) THEN 1 ELSE 0 END)"
+    same = lambda a, b: f"({a} = {b} OR ({_abbreviates(a, b)}) OR ({_abbreviates(b, a)}))"
+    last = lambda c: f"CASE WHEN contains({c}, ',') THEN trim(split_part({c}, ',', 1)) ELSE list_reduce(string_split({c}, ' '), lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END) END"
+    return f"""WITH {MATCHES},
+named AS (SELECT match_id, scheduled_at::DATE AS day, ['anna', 'boris', 'carla', 'dmitri', 'elena'][home % 5 + 1] AS f, 'player' || (home % 97) AS l, 'fritz rival' || away AS rival FROM matches),
+m AS (SELECT match_id, day, CASE WHEN match_id % 9 = 0 THEN match_id END AS bound, rival AS away,
+  CASE match_id % 4 WHEN 0 THEN f || ' ' || l WHEN 1 THEN l || ' ' || left(f, 1) || '.' WHEN 2 THEN l || ', ' || f ELSE 'x ' || l END AS home FROM named),
+e AS (SELECT match_id AS event_id, day, f || ' ' || l AS home, rival AS away FROM named),
+sides AS (SELECT m.match_id, e.event_id, m.home AS mh, e.home AS eh, m.away AS ma, e.away AS ea, {side("m.home", "e.home")} AS sh, {side("m.away", "e.away")} AS sa FROM m JOIN e ON m.day = e.day),
+tiers AS (SELECT *, unnest([CASE WHEN mh = eh AND ma = ea THEN 0 END, CASE WHEN {same("mh", "eh")} AND {same("ma", "ea")} THEN 1 END,
+    CASE WHEN sh > 0 AND sa > 0 THEN 2 END, CASE WHEN {last("mh")} = {last("eh")} AND {last("ma")} = {last("ea")} THEN 3 END]) AS tier FROM sides),
+every AS (SELECT match_id, event_id, tier, CASE WHEN tier = 2 THEN sh + sa ELSE 0 END AS score FROM tiers WHERE tier IS NOT NULL
+  UNION ALL SELECT match_id, bound, -1, 0 FROM m WHERE bound IN (SELECT event_id FROM e))
+SELECT match_id, event_id, tier::INT AS tier FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY {order}) AS rn FROM every WHERE tier IN ({tiers})) WHERE rn = 1"""
+
+
+SQL: dict[str, str] = {
+    "join_15_events": _event_sql("tier, score DESC, event_id"),
+    "join_16_first_fit": _event_sql("tier >= 0, event_id, tier"),
+    "join_17_players": _event_sql("tier, score DESC, event_id", "0, 1, 3"),
+}
