@@ -71,6 +71,17 @@ def season_in_name(name: Column, day: Column, first_month: int = 7) -> Column:
     )
 
 
+def season_in_year(name: Column, day: Column, first_month: int = 7) -> Column:
+    """Season from a file name (2023-24, 2023_24, or the single year of nfl_2024), else from the date; the name's year wins."""
+    long, year = r"(20\d{2})[-_](\d{2})", r"(20\d{2})"
+    start = F.regexp_extract(name, year, 1).try_cast("int")
+    return (
+        F.when(name.rlike(long), F.concat_ws("-", F.regexp_extract(name, long, 1), F.regexp_extract(name, long, 2)))
+        .when(start.isNotNull(), _season(start))
+        .otherwise(season_of(day, first_month))
+    )
+
+
 def set_score(score: Column) -> Column:
     """Struct of sets won and lost in a score such as '6-4 3-6 7-6(5)'."""
     sets = F.transform(F.split(F.trim(score), r"\s+"), lambda s: F.split(F.regexp_replace(s, r"\(.*$", ""), "-"))

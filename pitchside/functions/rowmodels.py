@@ -98,7 +98,8 @@ def nba(rows: DataFrame) -> DataFrame:
 
 
 def nfl(rows: DataFrame) -> DataFrame:
-    """American football games; closing lines stand in match_stats too."""
+    """American football games; closing lines stand in match_stats too. A season that source_file names wins over the date's."""
+    file = F.col("source_file") if "source_file" in rows.columns else F.lit("")
     c = Cells(rows := required(rows, "Home Team", "Away Team", "Date"))
     day = C.parsed_date(F.substring_index(c["Date"], " ", 1), C.MONTH_FIRST)
     key = lambda name: name.lower().replace(" ", "_")
@@ -108,7 +109,7 @@ def nfl(rows: DataFrame) -> DataFrame:
     short = lambda name: key(name).replace("total_score", "total")
     return _match(
         rows,
-        season=C.season_of(day, 7), division=F.lit("NFL"), match_date=day, home_team=c.text("Home Team"), away_team=c.text("Away Team"),
+        season=C.season_in_year(file, day), division=F.lit("NFL"), match_date=day, home_team=c.text("Home Team"), away_team=c.text("Away Team"),
         home_score=C.safe_int(c["Home Score"]), away_score=C.safe_int(c["Away Score"]),
         match_stats=present(
             {"overtime": flag("Overtime?"), "playoff": flag("Playoff Game?"), "neutral_venue": flag("Neutral Venue?")}

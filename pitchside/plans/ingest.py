@@ -52,6 +52,7 @@ def prj_13_nfl(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(
         spark, sf_dir, Home_0_Team=F.concat(F.lit("H"), k), Away_0_Team=F.concat(F.lit("A"), c), Date=F.when(k % 3 == 0, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 00:00:00"))).otherwise(_date()),
         Home_0_Score=k % 45, Away_0_Score=c % 45, Home_0_Odds_0_Open=n(7), Home_0_Odds_0_Close=n(9), Away_0_Line_0_Close=F.when(k % 2 == 0, n(11)), Total_0_Score_0_Close=n(400), Total_0_Score_0_Over_0_Close=n(13),
+        source_file=F.when(k % 8 == 0, F.concat(F.lit("nfl_"), F.year(day).cast("string"), F.lit(".csv"))).otherwise("games.csv"),
     ).withColumn("Overtime?", F.when(F.col("k") % 5 == 0, "Yes").otherwise("no"))
     return R.nfl(rows).select(
         "home_team", "season", "home_score", "away_score", "result", _at("odds", "home_odds_open"), _at("match_stats", "home_odds_close"), F.coalesce(_at("match_stats", "away_line_close"), F.lit(0.0)).alias("away_line_close"),
@@ -150,7 +151,7 @@ SELECT 'H' || k AS home_team, CASE k % 4 WHEN 1 THEN '2024-25' WHEN 2 THEN '2023
   CASE WHEN k % 5 <> 0 THEN 2 ELSE 1 END::INT AS n_stats, (k % 37)::DOUBLE AS q1_home, CASE WHEN k % 5 <> 0 THEN c % 31 ELSE -1 END::DOUBLE AS q1_away,
   ((k % 20 - 10) || '.5')::DOUBLE AS spread, CASE WHEN k % 2 = 0 THEN 1.9 ELSE 0 END::DOUBLE AS moneyline, 'home' AS favored FROM r""",
     "prj_13_nfl": f"""WITH {_O}, r AS (SELECT *, k % 45 AS hs, c % 45 AS aw FROM o WHERE k % 3 <> 2)
-SELECT 'H' || k AS home_team, {_SEASON} AS season, hs AS home_score, aw AS away_score, {_RESULT} AS result, (k % 7)::DOUBLE / 10 + 1 AS home_odds_open, (k % 9)::DOUBLE / 10 + 1 AS home_odds_close,
+SELECT 'H' || k AS home_team, CASE WHEN k % 8 = 0 AND year(day) >= 2000 THEN year(day) || '-' || lpad(((year(day) + 1) % 100)::VARCHAR, 2, '0') ELSE {_SEASON} END AS season, hs AS home_score, aw AS away_score, {_RESULT} AS result, (k % 7)::DOUBLE / 10 + 1 AS home_odds_open, (k % 9)::DOUBLE / 10 + 1 AS home_odds_close,
   CASE WHEN k % 2 = 0 THEN (k % 11)::DOUBLE / 10 + 1 ELSE 0 END AS away_line_close, (k % 400)::DOUBLE / 10 + 1 AS total_close, (k % 13)::DOUBLE / 10 + 1 AS total_over_close,
   CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END::DOUBLE AS overtime, (3 + (k % 2 = 0)::INT + (k % 5 = 0)::INT)::INT AS n_stats FROM r""",
     "prj_14_nhl": f"""WITH {_O}, r AS (SELECT *, k % 6 AS hs, c % 6 AS aw FROM o WHERE k % 7 <> 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitchside.functions import odds as O
 from pitchside.functions import probability as P
 from pitchside.functions import registry as G
+from pitchside.functions.dynamic import dynamic_features
 from pitchside.functions.rowmodels import present
 from pitchside.operators import learning as L
 from pitchside.operators import training as T
@@ -72,6 +73,19 @@ def ml_02_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.vectors(_played(spark, sf_dir)).join(open_, "match_id", "left_semi").select("match_id", *T.COLUMNS)
 
 
+def mth_20_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of whatever statistics two profiles have, one row for each (MTH-20)."""
+    m = matches(spark, sf_dir)
+
+    def profile(t) -> object:
+        return present(
+            {"roll_3_goals": F.when(t % 3 != 0, t % 5), "roll_5_shots": F.when(t % 4 == 1, t % 7), "win_pct": (t % 10) / 10, "games": F.when(t % 2 == 0, t % 9), "elo_rating": 1500 + t % 50, "age": F.when(t % 5 != 0, 20 + t % 15)}
+        )
+
+    f = dynamic_features(profile(F.col("home")), profile(F.col("away")), tennis=True)
+    return m.select("match_id", F.explode(f).alias("name", "value")).select("match_id", "name", F.round("value", 6).alias("value"))
+
+
 def agg_27_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy and root mean squared error of a naive forecast, by league (AGG-27)."""
     m = matches(spark, sf_dir).where("home_score is not null")
@@ -87,7 +101,7 @@ def join_24_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, (c["c_custkey"] == o["c_custkey"]) & (o["o_totalprice"] > 20 * c["c_acctbal"])).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (mth_02_live_value, mth_03_ml_value, mth_18_prediction_rows, mth_10_hockey_over, ml_01_training_set, ml_02_vectors, agg_27_scores, join_24_dimension)}
+QUERIES = {f.__name__: f for f in (mth_02_live_value, mth_03_ml_value, mth_18_prediction_rows, mth_10_hockey_over, ml_01_training_set, ml_02_vectors, mth_20_dynamic, agg_27_scores, join_24_dimension)}
 
 _SIDES = ", ".join(f"coalesce(round(avg({v}) OVER (PARTITION BY team ORDER BY nth RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING), 4), 0)::DOUBLE AS {v}_{n}" for n in T.SIZES for v in T.VALUES)
 _VECTORS = f"""{MATCHES.replace("FROM orders", "FROM orders WHERE o_custkey <> (o_custkey * 7 + o_orderkey) % 40")},
@@ -122,6 +136,22 @@ def _normal(total: str, sd: str) -> str:
     return f"CASE WHEN clock >= {total} THEN CASE WHEN h > w THEN 1.0::DOUBLE WHEN h < w THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END ELSE {_phi(z)} END"
 
 
+def _stat(key: str, t: str) -> str:
+    return {
+        "roll_3_goals": f"CASE WHEN {t} % 3 <> 0 THEN {t} % 5 END", "roll_5_shots": f"CASE WHEN {t} % 4 = 1 THEN {t} % 7 END", "win_pct": f"({t} % 10)::DOUBLE / 10",
+        "games": f"CASE WHEN {t} % 2 = 0 THEN {t} % 9 END", "elo_rating": f"1500 + {t} % 50", "age": f"CASE WHEN {t} % 5 <> 0 THEN 20 + {t} % 15 END",
+    }[key]
+
+
+_STATS = ("roll_3_goals", "roll_5_shots", "win_pct", "games", "age")
+_BOTH = [f"SELECT match_id, '{k}' AS k, ({_stat(k, 'home')})::DOUBLE AS x, ({_stat(k, 'away')})::DOUBLE AS y FROM matches" for k in _STATS]
+_DYNAMIC = f"""WITH {MATCHES}, b AS (SELECT match_id, k, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM ({" UNION ALL ".join(_BOTH)}) WHERE x IS NOT NULL OR y IS NOT NULL)
+SELECT match_id, 'h_' || k AS name, round(x, 6) AS value FROM b UNION ALL SELECT match_id, 'a_' || k, round(y, 6) FROM b
+UNION ALL SELECT match_id, 'diff_' || k, round(x - y, 6) FROM b WHERE k LIKE 'roll_%' OR k = 'win_pct'
+UNION ALL SELECT match_id, 'age_diff', (({_stat("age", "home")}) - ({_stat("age", "away")}))::DOUBLE FROM matches WHERE home % 5 <> 0 AND away % 5 <> 0
+UNION ALL SELECT match_id, 'h_elo_rating', (1500 + home % 50)::DOUBLE FROM matches UNION ALL SELECT match_id, 'a_elo_rating', (1500 + away % 50)::DOUBLE FROM matches
+UNION ALL SELECT match_id, 'elo_diff', (home % 50 - away % 50)::DOUBLE FROM matches
+UNION ALL SELECT match_id, unnest(['h_hand', 'a_hand', 'hand_matchup']), 0.0::DOUBLE FROM matches"""
 SQL = {
     "mth_02_live_value": f"""WITH {_LIVE}, q AS (SELECT r.*, CASE s WHEN 0 THEN CASE WHEN fs <= 0 THEN (h > w)::INT::DOUBLE ELSE coalesce(f.ahead, 0) END
   WHEN 1 THEN CASE WHEN hs <= 0 THEN CASE WHEN h > w THEN 1.0::DOUBLE WHEN h < w THEN 0.0::DOUBLE ELSE 0.52::DOUBLE END ELSE g.ahead END WHEN 2 THEN {_normal("48", "12")} WHEN 3 THEN {_normal("60", "13.5")} END AS live
@@ -144,6 +174,7 @@ SELECT a, b, market, selection, round(least(greatest(p, 1e-6), 1 - 1e-6), 5) AS
     "ml_01_training_set": f"""WITH {_VECTORS} SELECT v.match_id, {_EACH}, CASE WHEN home_score > away_score THEN 0 WHEN home_score = away_score THEN 1 ELSE 2 END::DOUBLE AS label, (home_score + away_score)::DOUBLE AS goals
 FROM vectors v JOIN matches m ON v.match_id = m.match_id WHERE home_score IS NOT NULL AND h_games >= 3 AND a_games >= 3""",
     "ml_02_vectors": f"WITH {_VECTORS} SELECT v.match_id, {_EACH} FROM vectors v JOIN matches m ON v.match_id = m.match_id WHERE home_score IS NULL",
+    "mth_20_dynamic": _DYNAMIC,
     "agg_27_scores": f"WITH {MATCHES} SELECT league, round(avg((match_id % 4 = home_score)::INT), 6) AS accuracy, round(sqrt(avg(pow(match_id % 4 - home_score, 2))), 6) AS rmse FROM matches WHERE home_score IS NOT NULL GROUP BY league",
     "join_24_dimension": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey AND o_totalprice > 20 * c_acctbal GROUP BY n_name",
 }
