@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pitchside.functions import cleaning as C
 from pitchside.operators import keyed
 from pitchside.plans.adapters import BETS, MATCHES, bets, events, matches, table
+from pitchside.sources.scan import file_counts, scan
+from pitchside.sources.scratch import scratch
 
 
 def _coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +148,23 @@ def set_06_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda x: x["event_type"]), ",").alias("sources"))
 
 
+def src_07_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, written as CSV files by segment, scanned as one table: rows, rejects and sums of each segment (SRC-01, SRC-05, SRC-07)."""
+    path = scratch(spark)
+    balance = F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal"))
+    table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_custkey").alias("Key"), F.concat(F.lit("Zo\u00eb, "), "c_name").alias("Name"), balance.alias("Balance")).write.partitionBy("c_mktsegment").option("header", True).csv(path)
+    rows, _ = scan(spark, path, needs=("Key", "Balance"))
+    part = F.url_decode(F.regexp_extract("source_file", "c_mktsegment=([^/]+)/", 1))
+    good = rows.where(F.size("missing") == 0)
+    per_file = file_counts(rows).withColumn("segment", part).groupBy("segment").agg(F.sum("rows").alias("n_rows"), F.sum("rejected").alias("rejected"), F.sum("bad_bytes").alias("bad_bytes"))
+    sums = good.groupBy(part.alias("segment")).agg(F.round(F.sum(F.col("cells")["Balance"].cast("double")), 2).alias("balance"), F.max(F.col("cells")["Name"]).alias("last_name"))
+    return per_file.join(sums, "segment")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        src_07_folder,
         agg_14_coverage, agg_15_gate, agg_16_gaps, agg_24_kanban, agg_25_feature_ratio, agg_19_distinct, agg_30_resolutions, snk_06_usage, src_13_fallback,
         ups_01_history, ups_10_repoint, join_12_idempotent, join_20_self_merge, set_03_dates, set_06_provenance,
     )
@@ -157,6 +173,8 @@ _RATIOS = ", ".join(f"round(count(*) FILTER ({c}) / count(*), 4) AS {c}_ratio" f
 _COVER = f"{COVERAGE}, cover AS (SELECT sport, count(*) AS total, count(*) FILTER (kind = 'live') AS n_live, {_RATIOS}, count(*) FILTER (stale) AS n_stale FROM rows_ GROUP BY sport)"
 _MISSED = ", ".join(f"CASE WHEN NOT {c}_ratio >= {v} THEN '{c}' END" for c, v in _SLO.items())
 SQL = {
+    "src_07_folder": """SELECT c_mktsegment AS segment, count(*) AS n_rows, count(*) FILTER (c_custkey % 10 = 0) AS rejected, 0::BIGINT AS bad_bytes,
+  round(sum(c_acctbal) FILTER (c_custkey % 10 <> 0), 2) AS balance, max('Zo\u00eb, ' || c_name) FILTER (c_custkey % 10 <> 0) AS last_name FROM customer GROUP BY c_mktsegment""",
     "agg_14_coverage": f"WITH {_COVER} SELECT * FROM cover",
     "agg_15_gate": f"WITH {_COVER} SELECT sport, concat_ws(',', {_MISSED}, CASE WHEN n_stale <> 0 THEN 'stale' END) AS violations, features_ratio >= 0.7 AND canonical_ratio >= 0.98 AS can_train, canonical_ratio >= 0.98 AS can_predict FROM cover",
     "agg_16_gaps": f"""WITH {MATCHES} SELECT match_id, 'no_score' AS gap_type FROM matches WHERE state = 'finished' AND home_score IS NULL
