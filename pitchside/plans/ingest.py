@@ -131,6 +131,24 @@ def prj_36_html_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.PARSERS.get("football")(pages, "page").select("k", "team", F.size("stats").alias("n_stats"), _at("stats", "xg"), _at("stats", "possession_pct"))
 
 
+#: Headers of a table of each sport: the name and two numbers.
+_TABLES = {
+    "football": ("Squad", "xG against", "Poss"), "basketball": ("Team", "ORtg", "3P%"), "ice_hockey": ("Team", "Corsi%", "SV%"), "american_football": ("Tm", "PTS", "Y/P"), "tennis": ("Player", "Ace%", "1stIn%"),
+}
+
+
+def prj_36_sports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of five sports by the parser of each: marks, average rows and repeated headers out (PRJ-36, UDF-03)."""
+    k, _, _ = _keys()
+    sport = F.element_at(F.array(*[F.lit(x) for x in _TABLES]), (k % len(_TABLES) + 1).cast("int"))
+    row = lambda *cells: F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), c.cast("string"), F.lit("</td>"))], F.lit("</tr>"))
+    head = F.element_at(F.create_map(*[F.lit(x) for s, h in _TABLES.items() for x in (s, "<tr>" + "".join(f"<th>{c}</th>" for c in h) + "</tr>")]), sport)
+    name = F.concat(F.lit("Team "), k, F.when(k % 2 == 0, "*").otherwise(""))
+    page = F.concat(F.lit("<table>"), head, row(name, (k % 30) / 10, F.concat((k % 90).cast("string"), F.lit("%"))), head, row(F.lit("League Average"), F.lit(1), F.lit(2)), F.lit("</table>"))
+    pages = table(spark, sf_dir, "orders").select(k.alias("k"), sport.alias("sport"), page.alias("page"))
+    return S.page_stats(pages, "sport", "page").where("team <> 'League Average'").select("k", "sport", "team", F.explode("stats").alias("name", "value"))
+
+
 def flt_13_any_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches with a half-time value, by sport; a sport without such keys always has one (FLT-13)."""
     k, _, _ = _keys()
@@ -140,7 +158,7 @@ def flt_13_any_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", has(("ht_home", "ht_away")).alias("football"), has(()).alias("darts"))
 
 
-QUERIES = {f.__name__: f for f in (prj_12_nba, prj_13_nfl, prj_14_nhl, prj_15_tennis, prj_17_profile, prj_34_json_stats, prj_36_html_stats, flt_13_any_split)}
+QUERIES = {f.__name__: f for f in (prj_12_nba, prj_13_nfl, prj_14_nhl, prj_15_tennis, prj_17_profile, prj_34_json_stats, prj_36_html_stats, prj_36_sports, flt_13_any_split)}
 
 _O = "o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate::DATE AS day FROM orders)"
 _SEASON = "(CASE WHEN month(day) >= 7 THEN year(day) || '-' || lpad(((year(day) + 1) % 100)::VARCHAR, 2, '0') ELSE (year(day) - 1) || '-' || lpad((year(day) % 100)::VARCHAR, 2, '0') END)"
@@ -173,5 +191,8 @@ SELECT 'g' || k AS game_id, CASE WHEN side = 1 THEN 'H' || k ELSE 'K' || c END A
   'pts_away=' || k % 110 || ',pts_home=' || k % 120 || ',q1_home=' || k % 30 || ',q4_away=' || k % 25 AS basketball, 'pts_away=' || k % 110 || ',pts_home=' || k % 120 || ',q1_home=' || k % 30 || ',q4_away=' || k % 25 AS american_football,
   'goals_away=' || k % 5 || ',goals_home=' || k % 6 || ',pf_away=' || k % 3 || ',pf_home=1' AS hockey FROM o""",
     "prj_36_html_stats": f"WITH {_O} SELECT k, 'Team ' || k AS team, 2::INT AS n_stats, (k % 30)::DOUBLE / 10 AS xg, (k % 100)::DOUBLE AS possession_pct FROM o",
+    "prj_36_sports": f"""WITH {_O}, s AS (SELECT k, ['football', 'basketball', 'ice_hockey', 'american_football', 'tennis'][k % 5 + 1] AS sport, k % 5 AS n FROM o)
+SELECT k, sport, 'Team ' || k || CASE WHEN k % 2 = 0 AND n IN (0, 4) THEN '*' ELSE '' END AS team, unnest([['xga', 'off_rtg', 'corsi_for_pct', 'pts_for', 'ace_pct'][n + 1], ['possession_pct', 'three_pct', 'sv_pct', 'yards_per_play', 'first_serve_pct'][n + 1]]) AS name,
+  unnest([(k % 30)::DOUBLE / 10, (k % 90)::DOUBLE]) AS value FROM s""",
     "flt_13_any_split": f"WITH {_O} SELECT k, k % 3 = 0 OR k % 5 = 0 AS football, true AS darts FROM o",
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +23,38 @@ FOOTBALL = {
     "expected_goals": "xg",
 }
 QUARTERS = {"quarter_1": "q1", "quarter_2": "q2", "quarter_3": "q3", "quarter_4": "q4"}
+
+
+@dataclass(frozen=True)
+class TableForm:
+    """Headers of a sport's HTML tables: those of the names, rows that are no team, keys with their headers, and what may end a name."""
+
+    names: tuple[str, ...]
+    keys: dict[str, tuple[str, ...]]
+    skip: tuple[str, ...] = ()
+    mark: str = ""
+
+
+_LEAGUE = ("league average",)
 #: Headers of HTML tables by the key they give.
-SQUAD = ("squad", "team")
-FOOTBALL_TABLE = {"xg": ("xg",), "xga": ("xga", "xg against"), "possession_pct": ("poss", "possession")} | {k: (k,) for k in ("sh", "sot", "gf", "ga", "gd", "pts")}
+FORMS = {
+    "football": TableForm(("squad", "team"), {"xg": ("xg",), "xga": ("xga", "xg against"), "possession_pct": ("poss", "possession")} | {k: (k,) for k in ("sh", "sot", "gf", "ga", "gd", "pts")}),
+    "basketball": TableForm(("team", "squad"), {
+        "pace": ("pace",), "off_rtg": ("ortg", "offrtg", "off rtg"), "def_rtg": ("drtg", "defrtg", "def rtg"), "net_rtg": ("nrtg", "netrtg", "net rtg", "mov"),
+        "fg_pct": ("fg%", "fg pct"), "three_pct": ("3p%", "3p pct", "3pt%"), "ft_pct": ("ft%", "ft pct"), "trb": ("trb", "reb"), "ast": ("ast",), "tov": ("tov",),
+    }, _LEAGUE, r"\*$"),
+    "ice_hockey": TableForm(("team", "squad"), {
+        "corsi_for_pct": ("cf%", "corsi%", "corsi for%"), "fenwick_for_pct": ("ff%", "fenwick%"), "pp_pct": ("pp%",), "pk_pct": ("pk%",), "sv_pct": ("sv%", "save%"),
+        "sh_pct": ("sh%", "shooting%"), "gf": ("gf",), "ga": ("ga",), "pts": ("pts",), "so_pct": ("so%",),
+    }, _LEAGUE, r"\*$"),
+    "american_football": TableForm(("tm", "team"), {
+        "pts_for": ("pf", "pts"), "pts_against": ("pa",), "yards_per_play": ("y/p",), "pass_yds": ("pyds", "pass yds"), "rush_yds": ("ryds", "rush yds"), "turnovers": ("to", "turnovers"), "takeaways": ("takeaways",),
+    }, ("avg total", "league total"), r"\*|\+$"),
+    "tennis": TableForm(("player", "name"), {
+        "ace_pct": ("ace%", "aces%"), "first_serve_pct": ("1st%", "1stin%", "1st serve%"), "first_serve_won_pct": ("1stw%", "1st won%"), "second_serve_won_pct": ("2ndw%", "2nd won%"),
+        "bp_saved_pct": ("bps%", "bp saved%"), "return_pts_won_pct": ("rpw%", "ret pts won%"), "service_games_won_pct": ("sg%", "svc games%"),
+    }),
+}
 
 
 def football_json(response: Column) -> Column:
@@ -58,11 +91,11 @@ def hockey_json(response: Column) -> Column:
     return present(goals | {f"p{p[0]}_{s}": one["periods"][p][s] for p in periods for s in ("home", "away")})
 
 
-def table_stats(pages: DataFrame, html: str, keys: dict[str, tuple[str, ...]] = FOOTBALL_TABLE, name: tuple[str, ...] = SQUAD) -> DataFrame:
-    """The columns of pages but html, team and stats: a row for each named row of tables that have a team column.
+def table_stats(pages: DataFrame, html: str, form: TableForm = FORMS["football"]) -> DataFrame:
+    """The columns of pages but html, team and stats: a row for each named row of tables that have a column of names.
 
-    Headers count without case; the first of a key's headers that is there gives its number. Repeated
-    header rows and rows without any number are left out.
+    Headers count without case; the first header of a table that is one of a key's gives its number. Marks
+    after a name, repeated header rows, average and total rows and rows without any number are left out.
     """
     rest = [c for c in pages.columns if c != html]
     cells = pages.select(*rest, F.explode(html_tables(F.col(html))).alias("t")).select(
@@ -70,16 +103,27 @@ def table_stats(pages: DataFrame, html: str, keys: dict[str, tuple[str, ...]] =
     )
 
     def at(names: tuple[str, ...]) -> Column:
-        places = [F.nullif(F.array_position("header", n), F.lit(0).cast("long")) for n in names]
-        place = F.coalesce(*places) if len(places) > 1 else places[0]
-        return F.when(place.isNotNull(), F.try_element_at("cells", place.cast("int")))
+        place = F.array_position(F.transform("header", lambda h: h.isin(*names)), F.lit(True))
+        return F.when(place > 0, F.try_element_at("cells", place.cast("int")))
 
-    team = F.trim(at(name))
+    team = F.trim(at(form.names))
+    if form.mark:
+        team = F.trim(F.regexp_replace(team, form.mark, ""))
     return (
-        cells.select(*rest, team.alias("team"), present({k: C.scraped_number(at(n)) for k, n in keys.items()}).alias("stats"))
-        .where((F.col("team") != "") & ~F.lower("team").isin(*name) & (F.size("stats") > 0))
+        cells.select(*rest, team.alias("team"), present({k: C.scraped_number(at(n)) for k, n in form.keys.items()}).alias("stats"))
+        .where((F.col("team") != "") & ~F.lower("team").isin(*form.names, *form.skip) & (F.size("stats") > 0))
     )
 
 
+def _parser(form: TableForm) -> Callable[[DataFrame, str], DataFrame]:
+    return lambda pages, html: table_stats(pages, html, form)
+
+
 #: Parsers of HTML pages by sport: DataFrame and the name of its column of pages.
-PARSERS = Registry("parser", {"football": table_stats})
+PARSERS = Registry("parser", {sport: _parser(form) for sport, form in FORMS.items()})
+
+
+def page_stats(pages: DataFrame, sport: str, html: str) -> DataFrame:
+    """Every page through the parser of its sport (a column); pages of sports without a parser give nothing."""
+    parts = [PARSERS.get(name)(pages.where(F.col(sport) == name), html) for name in PARSERS.names()]
+    return reduce(DataFrame.unionByName, parts)
