@@ -113,6 +113,35 @@ def placed_bets(bets: DataFrame, asks: DataFrame) -> DataFrame:
     )
 
 
+def bridged(predictions: DataFrame, bets: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """What becomes of each approved prediction (keys, best_odds, stake, ready): keys, disposition, ledger, status, ledger_delta.
+
+    Without odds or stake it is skipped; one that is not ready goes to PAPER. Where a bet of the keys is
+    there already, a pending one in another ledger is moved (updated), any other stays (skipped); else a bet
+    is created: REAL bets wait (PENDING), PAPER ones are PLACED and paid at once. Of predictions with equal
+    keys the first by order is taken, the others find its bet.
+    """
+    ledger = F.when(F.col("ready"), "REAL").otherwise("PAPER")
+    usable = (F.coalesce("best_odds", F.lit(0)) > 0) & (F.coalesce("stake", F.lit(0)) > 0)
+    own = predictions.withColumn("usable_", usable).withColumn("to_", ledger)
+    nth = F.row_number().over(Window.partitionBy(*keys, "usable_").orderBy(order))
+    there = bets.groupBy(*keys).agg(F.min(F.struct(F.col("status") != "PENDING", "ledger", "status")).alias("b_"))
+    both = own.withColumn("nth_", nth).join(there, keys, "left")
+    moved = (F.col("b_.status") == "PENDING") & (F.col("b_.ledger") != F.col("to_"))
+    fate = F.when(~F.col("usable_"), "skipped_no_odds").when(F.col("b_").isNull() & (F.col("nth_") == 1), "created").when(moved & (F.col("nth_") == 1), "updated_existing").otherwise("skipped_existing")
+    made = F.col("disposition") == "created"
+    placed = made & (F.col("to_") == "PAPER")
+    return both.withColumn("disposition", fate).select(
+        *keys, order, "disposition", F.when(made | (F.col("disposition") == "updated_existing"), F.col("to_")).otherwise(F.col("b_.ledger")).alias("ledger"),
+        F.when(placed, "PLACED").when(made, "PENDING").otherwise(F.col("b_.status")).alias("status"), F.when(placed, -F.col("stake")).otherwise(F.lit(0)).alias("ledger_delta"),
+    )
+
+
+def disposition_counts(fates: DataFrame) -> DataFrame:
+    """How many predictions met each fate, and what the paper ledger pays."""
+    return fates.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"), F.sum("ledger_delta").alias("paid"))
+
+
 def learned_aliases(names: DataFrame, group: str, name: str, order: list[str], least: float = 0.88) -> DataFrame:
     """Canonical names learnt in order: group, key, canonical and how (abbreviation, fuzzy, new) of each distinct name.
 

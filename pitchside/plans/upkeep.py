@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pitchside.functions.rowmodels import present
 from pitchside.operators import upkeep as U
-from pitchside.plans.adapters import MATCHES, matches, table
+from pitchside.plans.adapters import BETS, MATCHES, bets, matches, table
+from pitchside.sources.scratch import cut, scratch
+from pitchside.sources.stores import replace_keys
 
 _NOW = "timestamp_ntz'1998-01-01 00:00:00'"
 
@@ -103,7 +105,48 @@ def prj_37_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_custkey", lines.alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (ups_17_parsed, ups_17_seeded, ups_11_scores, ups_13_reconciled, ups_07_placed, ups_12_aliases, agg_28_accumulators, agg_29_merge_statistics, prj_37_texts)}
+def _bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bets(spark, sf_dir)
+    keys = ["match_id", "line"]
+    predictions = rows.select(
+        *keys, F.col("part").alias("prediction_id"), F.when(F.col("part") % 13 != 0, F.col("odds_h") / 100).alias("best_odds"), F.when(F.col("part") % 17 != 0, F.col("stake_c")).otherwise(0).alias("stake"), (F.col("p") > 0.3).alias("ready")
+    )
+    there = rows.where("book % 2 = 0").select(*keys, "status", "ledger")
+    return U.bridged(predictions, there, keys, "prediction_id")
+
+
+def ups_06_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved predictions and the bets that they become (UPS-06)."""
+    return _bridge(spark, sf_dir)
+
+
+def ups_06_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions by disposition (UPS-06)."""
+    return U.disposition_counts(_bridge(spark, sf_dir))
+
+
+def ups_05_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of each model, ledger and day, stored wrong, corrected and run again: each takes the place of the one before (UPS-05, SNK-01)."""
+    path = scratch(spark)
+    done = bets(spark, sf_dir).where("status in ('WON', 'LOST')").withColumn("day", F.date_format("placed_at", "yyyy-MM-dd"))
+    metrics = done.groupBy("model", "ledger", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.pow(F.col("p") - (F.col("status") == "WON").cast("double"), 2)), 6).alias("brier")).withColumn("month", F.substring("day", 1, 7))
+    metrics = cut(metrics)
+    for m in (metrics.withColumn("brier", F.lit(9.0)), metrics.where("ledger = 'REAL'"), metrics.where("ledger = 'PAPER'"), metrics.where("ledger = 'PAPER'")):
+        replace_keys(m, path, ["model", "ledger", "day", "month"], "month")
+    return spark.read.schema(metrics.schema).parquet(path).select("model", "ledger", "day", "n", "brier")
+
+
+def win_14_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier of the last 30 days with results, a column for each model, newest first (WIN-14)."""
+    done = bets(spark, sf_dir).where("status in ('WON', 'LOST')").withColumn("day", F.to_date("placed_at"))
+    last = done.agg(F.max("day").alias("last"))  # one row
+    recent = done.crossJoin(F.broadcast(last)).where("day > last - interval 30 days")
+    models = [f"model_{i}" for i in range(6)]
+    score = F.pow(F.col("p") - (F.col("status") == "WON").cast("double"), 2)
+    return recent.withColumn("score", score).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).pivot("model", models).agg(F.round(F.avg("score"), 6)).orderBy(F.desc("day"))
+
+
+QUERIES = {f.__name__: f for f in (ups_06_bridge, ups_06_counts, ups_05_metrics, win_14_series, ups_17_parsed, ups_17_seeded, ups_11_scores, ups_13_reconciled, ups_07_placed, ups_12_aliases, agg_28_accumulators, agg_29_merge_statistics, prj_37_texts)}
 
 _FIX = f"""{MATCHES}, raw AS (SELECT *, match_id AS k, scheduled_at + CASE WHEN match_id % 3 = 0 THEN INTERVAL 5 MINUTE ELSE INTERVAL 1 DAY END AS starts FROM matches),
 fix AS (SELECT k AS fixture_id, 't' || home AS home_team, 't' || away AS away_team, CASE WHEN k % 2 = 0 THEN 'Italy Cup' ELSE 'Cup' END AS league, starts AS scheduled_at,
@@ -111,7 +154,20 @@ fix AS (SELECT k AS fixture_id, 't' || home AS home_team, 't' || away AS away_te
   FROM raw WHERE k % 13 <> 0 AND NOT (k % 2 = 1 AND k % 17 = 0))"""
 _OPEN = f"""{MATCHES}, due AS (SELECT *, match_id AS k FROM matches WHERE state <> 'finished' AND scheduled_at < TIMESTAMP '1998-01-01' - INTERVAL 6 HOUR),
 got AS (SELECT k AS match_id, league, CASE WHEN home_score IS NULL AND k % 2 = 0 THEN CASE WHEN k % 3 = 0 THEN 'odds' WHEN k % 5 = 0 THEN 'fixtures' WHEN k % 7 = 0 THEN 'scores' ELSE '' END ELSE '' END AS source, home_score, k FROM due)"""
+_BRIDGE = f"""WITH {BETS}, x AS (SELECT match_id, line, part AS prediction_id, part % 13 <> 0 AND odds_h > 0 AND part % 17 <> 0 AND stake_c > 0 AS usable, CASE WHEN p > 0.3::DOUBLE THEN 'REAL' ELSE 'PAPER' END AS dest, stake_c FROM bets),
+y AS (SELECT *, row_number() OVER (PARTITION BY match_id, line, usable ORDER BY prediction_id) AS nth FROM x),
+b AS (SELECT match_id, line, arg_min(ledger, (status <> 'PENDING', ledger, status)) AS ledger, arg_min(status, (status <> 'PENDING', ledger, status)) AS status FROM bets WHERE book % 2 = 0 GROUP BY match_id, line),
+z AS (SELECT y.*, b.ledger AS old_ledger, b.status AS old_status, CASE WHEN NOT usable THEN 'skipped_no_odds' WHEN b.ledger IS NULL AND nth = 1 THEN 'created'
+  WHEN b.status = 'PENDING' AND b.ledger <> dest AND nth = 1 THEN 'updated_existing' ELSE 'skipped_existing' END AS disposition FROM y LEFT JOIN b USING (match_id, line)),
+fates AS (SELECT match_id, line, prediction_id, disposition, CASE WHEN disposition IN ('created', 'updated_existing') THEN dest ELSE old_ledger END AS ledger,
+  CASE WHEN disposition = 'created' THEN CASE dest WHEN 'PAPER' THEN 'PLACED' ELSE 'PENDING' END ELSE old_status END AS status, CASE WHEN disposition = 'created' AND dest = 'PAPER' THEN -stake_c ELSE 0 END AS ledger_delta FROM z)"""
+_BS = "pow(p - (status = 'WON')::INT::DOUBLE, 2)"
 SQL = {
+    "ups_06_bridge": f"{_BRIDGE} SELECT * FROM fates",
+    "ups_06_counts": f"{_BRIDGE} SELECT disposition, count(*) AS n, sum(ledger_delta)::BIGINT AS paid FROM fates GROUP BY disposition",
+    "ups_05_metrics": f"WITH {BETS} SELECT model, ledger, strftime(placed_at, '%Y-%m-%d') AS day, count(*) AS n, round(avg({_BS}), 6) AS brier FROM bets WHERE status IN ('WON', 'LOST') GROUP BY ALL",
+    "win_14_series": f"""WITH {BETS}, d AS (SELECT *, placed_at::DATE AS day, {_BS} AS score FROM bets WHERE status IN ('WON', 'LOST'))
+SELECT strftime(day, '%Y-%m-%d') AS day, {", ".join(f"round(avg(score) FILTER (model = 'model_{i}'), 6) AS model_{i}" for i in range(6))} FROM d WHERE day > (SELECT max(day) FROM d) - INTERVAL 30 DAY GROUP BY day""",
     "ups_17_parsed": f"WITH {_FIX} SELECT * FROM fix",
     "ups_17_seeded": f"""WITH {_FIX}, f AS (SELECT *, row_number() OVER (PARTITION BY home_team, away_team, scheduled_at::DATE ORDER BY scheduled_at, fixture_id) AS n FROM fix WHERE scheduled_at >= TIMESTAMP '1995-01-01' AND scheduled_at < TIMESTAMP '1996-01-01')
 SELECT fixture_id, home_team, scheduled_at FROM f WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM matches m WHERE 't' || m.home = f.home_team AND 't' || m.away = f.away_team AND abs(epoch(m.scheduled_at) - epoch(f.scheduled_at)) <= 900)""",
