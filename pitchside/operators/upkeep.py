@@ -119,12 +119,13 @@ def bridged(predictions: DataFrame, bets: DataFrame, keys: list[str], order: str
     Without odds or stake it is skipped; one that is not ready goes to PAPER. Where a bet of the keys is
     there already, a pending one in another ledger is moved (updated), any other stays (skipped); else a bet
     is created: REAL bets wait (PENDING), PAPER ones are PLACED and paid at once. Of predictions with equal
-    keys the first by order is taken, the others find its bet.
+    keys the first by order is taken, the others find its bet; where order leaves several, the first by
+    ledger, stake and odds, so that reruns agree.
     """
     ledger = F.when(F.col("ready"), "REAL").otherwise("PAPER")
     usable = (F.coalesce("best_odds", F.lit(0)) > 0) & (F.coalesce("stake", F.lit(0)) > 0)
     own = predictions.withColumn("usable_", usable).withColumn("to_", ledger)
-    nth = F.row_number().over(Window.partitionBy(*keys, "usable_").orderBy(order))
+    nth = F.row_number().over(Window.partitionBy(*keys, "usable_").orderBy(order, "to_", "stake", "best_odds"))
     there = bets.groupBy(*keys).agg(F.min(F.struct(F.col("status") != "PENDING", "ledger", "status")).alias("b_"))
     both = own.withColumn("nth_", nth).join(there, keys, "left")
     moved = (F.col("b_.status") == "PENDING") & (F.col("b_.ledger") != F.col("to_"))

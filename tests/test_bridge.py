@@ -16,3 +16,14 @@ def test_bridge_dispositions(spark):
     assert U.bridged(p.limit(0), b, ["match_id"], "id").count() == 0
     counts = {r["disposition"]: (r["n"], r["paid"]) for r in U.disposition_counts(U.bridged(p, b, ["match_id"], "id")).collect()}
     assert counts["created"] == (3, -11)
+
+
+def test_equal_predictions_in_any_order(spark):
+    kind = "match_id int, id int, best_odds double, stake int, ready boolean"
+    rows = [(1, 1, 2.0, 9, True), (1, 1, 2.0, 7, False), (1, 1, 3.0, 5, False), (2, 4, 2.0, 3, True), (2, 4, 2.0, 3, False)]
+    none = spark.createDataFrame([], "match_id int, status string, ledger string")
+    each = []
+    for given in (rows, rows[::-1]):
+        fates = U.bridged(spark.createDataFrame(given, kind).coalesce(1), none, ["match_id"], "id").where("disposition = 'created'")
+        each.append(sorted((r["match_id"], r["ledger"], r["status"], r["ledger_delta"]) for r in fates.collect()))
+    assert each[0] == each[1] == [(1, "PAPER", "PLACED", -5), (2, "PAPER", "PLACED", -3)]
