@@ -18,6 +18,8 @@ from pitchside.sources.scratch import cut
 LEAST_RATIO = 0.88
 #: Frequencies of pairs of letters that are sent to every task.
 COMMON = 20_000
+#: Words of a side whose sets are keys of an index (15 sets); longer sides are compared by single words.
+WORDS = 4
 
 
 def bare(name: str | None) -> str | None:
@@ -154,52 +156,97 @@ def event_matches(matches: DataFrame, events: DataFrame, least: int = 3, fixture
     equal last names on both sides (3). Ties go to the least event_id. With fixture_order the first event
     by id that fits any pass wins. Only the tiers in passes count.
 
-    Each pass is a join on a key of its own that takes in both sides: the names, last name and initial,
-    a word of each side, the last names; and only matches without an event from an earlier pass go on
-    to the next. So a frequent word or first name alone pairs nothing, and the broad keys of the third
-    pass see few rows.
+    Each pass looks a match up in an index of the events by keys that take in both sides: the names, last
+    name and initial, words of each side, the last names. Events of one day and one pair of names are one
+    (the least id). The third pass looks up sets of words: the largest two sets that an event holds are its
+    score, so its index has one event for each two sets, and a frequent word pairs nothing. Sides of more
+    than WORDS words have too many sets and are compared by single words. Without fixture_order only
+    matches that no earlier pass placed go on to the next.
     """
     if "bound" not in matches.columns:
         matches = matches.withColumn("bound", F.lit(None).cast(events.schema["event_id"].dataType))
     rows = matches.select("match_id", "day", F.col("home").alias("mh"), F.col("away").alias("ma"))
-    others = events.select("event_id", "day", F.col("home").alias("eh"), F.col("away").alias("ea"))
+    others = cut(events.groupBy("day", F.col("home").alias("eh"), F.col("away").alias("ea")).agg(F.min("event_id").alias("event_id")))
     mh, ma, eh, ea = (F.col(c) for c in ("mh", "ma", "eh", "ea"))
-    words = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= least)
-    inside = lambda a, b: ((F.contains(a, b) | F.contains(b, a)) & F.arrays_overlap(_words(a), _words(b))).cast("int")
-    side = lambda a, b: F.greatest(F.size(F.array_intersect(words(a), words(b))), inside(a, b))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: F.length(t) >= least))
+    inside = lambda a, b: (F.contains(a, b) | F.contains(b, a)) & F.arrays_overlap(_words(a), _words(b))
+    side = lambda a, b: F.greatest(F.size(F.array_intersect(words(a), words(b))), inside(a, b).cast("int"))
     same = lambda a, b: (a == b) | abbreviates(a, b) | abbreviates(b, a)
-    home, away = side(mh, eh), side(ma, ea)
-    #: keys of a side, and what then has to hold
-    plans = {
-        0: (lambda c: F.array(c), (mh == eh) & (ma == ea)),
-        1: (_person_keys, same(mh, eh) & same(ma, ea)),
-        2: (_words, (home > 0) & (away > 0)),
-        3: (lambda c: F.array(last_name(c)), (last_name(mh) == last_name(eh)) & (last_name(ma) == last_name(ea))),
-    }
+    both = lambda df, h, a: df.withColumn("key_h", F.explode(h)).withColumn("key_a", F.explode(a))
+    keys = ["day", "key", "check"]
 
-    def found(left: DataFrame, tier: int) -> DataFrame:
-        keys, holds = plans[tier]
-        both = lambda df, h, a: df.withColumn("key_h", F.explode(keys(h))).withColumn("key_a", F.explode(keys(a)))
-        pairs = both(left, mh, ma).join(both(others, eh, ea), ["day", "key_h", "key_a"]).where(holds)
-        return pairs.select("match_id", "event_id", F.lit(tier).alias("tier"), (home + away if tier == 2 else F.lit(0)).alias("score"))
+    def keyed(df: DataFrame, *rest: str) -> DataFrame:
+        """rest, and 96 bits of both keys for the shuffle, which with the day stand for the keys."""
+        return df.select("day", F.xxhash64("key_h", "key_a").alias("key"), F.hash("key_h", "key_a").alias("check"), *rest)
 
-    bound = matches.where("bound is not null").join(events.select(F.col("event_id").alias("bound")), "bound").select(
+    def found(left: DataFrame, tier: int) -> DataFrame:
+        if tier == 2:
+            return by_words(left)
+        if tier == 1:
+            index = keyed(both(others, _person_keys(eh), _person_keys(ea)), "event_id", "eh", "ea")
+            asks = keyed(both(left, _person_keys(mh), _person_keys(ma)), "match_id", "mh", "ma")
+            pairs = asks.join(index.hint("shuffle_merge"), keys).where(same(mh, eh) & same(ma, ea))
+        else:
+            of = last_name if tier == 3 else lambda c: c
+            index = others.groupBy("day", of(eh).alias("key_h"), of(ea).alias("key_a")).agg(F.min("event_id").alias("event_id"))
+            pairs = left.withColumn("key_h", of(mh)).withColumn("key_a", of(ma)).join(index.hint("shuffle_merge"), ["day", "key_h", "key_a"])
+        return pairs.select("match_id", "event_id", F.lit(tier).alias("tier"), F.lit(0).alias("score"))
+
+    def within(left: DataFrame, own: str, other: str) -> DataFrame:
+        """day, own and what: the names other of which one is inside the other, that share no long word."""
+        m, e = F.col(own), F.col(other)
+        odd = lambda c: F.filter(_words(c), lambda t: (F.length(t) < least) | ~F.array_contains(F.split(c, " "), t))
+        names = lambda df, c, keys: df.select("day", c).distinct().withColumn("t", F.explode(keys))
+        near = [names(left, own, f(m)).join(names(others, other, g(e)).hint("shuffle_merge"), ["day", "t"]) for f, g in ((odd, _words), (_words, odd))]
+        only = inside(m, e) & (F.size(F.array_intersect(words(m), words(e))) == 0)
+        return near[0].unionByName(near[1]).where(only).groupBy("day", own).agg(F.collect_set(other).alias(f"{own}_in"))
+
+    def by_words(left: DataFrame) -> DataFrame:
+        wide = lambda a, b: F.greatest(F.size(words(a)), F.size(words(b))) > WORDS
+        # a set of words with its size; a name inside another counts as one word
+        sets = lambda c: F.transform(_sets(words(c), 1 if fixture_order else WORDS), lambda t: F.struct(F.size(t).alias("n"), F.array_join(t, " ").alias("key")))
+        name = lambda c: F.struct(F.lit(1).alias("n"), F.concat(F.lit(" "), c).alias("key"))
+        odd = {c: cut(within(left, c, e)) for c, e in (("mh", "eh"), ("ma", "ea"))}
+        odd = {c: d for c, d in odd.items() if not d.isEmpty()}
+        asks, of_event, of_match = left.where(~wide(mh, ma)), {"mh": sets(eh), "ma": sets(ea)}, {"mh": sets(mh), "ma": sets(ma)}
+        for c, e in (("mh", eh), ("ma", ea)):
+            if c in odd:
+                asks = asks.join(odd[c].hint("shuffle_merge"), ["day", c], "left")
+                of_event[c] = F.concat(sets(e), F.array(name(e)))
+                of_match[c] = F.concat(sets(F.col(c)), F.transform(F.coalesce(f"{c}_in", F.array().cast("array<string>")), name))
+        index = keyed(both(others.where(~wide(eh, ea)), *of_event.values()), "event_id").groupBy(*keys).agg(F.min("event_id").alias("event_id"))
+        got = both(asks, *of_match.values()).withColumn("score", (F.col("key_h.n") + F.col("key_a.n")).cast("byte"))
+        got = keyed(got, "match_id", "score").join(index.hint("shuffle_merge"), keys).select("match_id", "event_id", F.lit(2).alias("tier"), F.col("score").cast("int").alias("score"))
+        whole = lambda df, h, a: both(df, _words(h), _words(a))
+        pairs = whole(left.where(wide(mh, ma)), mh, ma).join(whole(others, eh, ea).hint("shuffle_merge"), ["day", "key_h", "key_a"])
+        pairs = pairs.unionByName(whole(left.where(~wide(mh, ma)), mh, ma).join(whole(others.where(wide(eh, ea)), eh, ea).hint("shuffle_merge"), ["day", "key_h", "key_a"]))
+        home, away = side(mh, eh), side(ma, ea)
+        return got.unionByName(pairs.where((home > 0) & (away > 0)).select("match_id", "event_id", F.lit(2).alias("tier"), (home + away).alias("score")))
+
+    bound = matches.where("bound is not null").join(events.select(F.col("event_id").alias("bound")).hint("shuffle_merge"), "bound").select(
         "match_id", F.col("bound").alias("event_id"), F.lit(-1).alias("tier"), F.lit(0).alias("score")
     )
     got = [bound] if -1 in passes else []
     order = F.struct(F.col("tier") >= 0, "event_id", "tier") if fixture_order else F.struct("tier", (-F.col("score")).alias("s"), "event_id")
     best = lambda df: df.groupBy("match_id").agg(F.min_by(F.struct("event_id", "tier"), order).alias("r")).select("match_id", "r.*")
     if fixture_order:
-        every = [*got, *[found(rows, t) for t in plans if t in passes]]
+        every = [*got, *[cut(best(found(rows, t).withColumn("tier", F.lit(t)))).withColumn("score", F.lit(0)) for t in range(4) if t in passes]]
         return best(reduce(DataFrame.unionByName, every))
-    done: DataFrame | None = None
-    for t in (-1, *plans):
+    done: list[DataFrame] = []
+    for t in range(-1, 4):
         if t not in passes:
             continue
-        left = rows if done is None else rows.join(done.select("match_id"), "match_id", "left_anti")
-        new = best(bound if t < 0 else found(left, t))
-        done = cut(new if done is None else done.unionByName(new))
-    return done if done is not None else best(bound.where("false"))
+        left = rows.join(reduce(DataFrame.unionByName, done).select("match_id").hint("shuffle_merge"), "match_id", "left_anti") if done else rows
+        done.append(cut(best(bound if t < 0 else found(cut(left) if t == 2 else left, t))))
+    return reduce(DataFrame.unionByName, done) if done else best(bound.where("false"))
+
+
+def _sets(words: Column, most: int) -> Column:
+    """The sets, in order, of one to most of at most WORDS words."""
+    sizes = [i for i in range(1, 2**WORDS) if i.bit_count() <= most]
+    some = lambda i: F.filter(words, lambda t, at: F.lit(i).bitwiseAND(F.pow(F.lit(2), at).cast("int")) != 0)
+    every = F.array(*[F.when(F.size(words) >= i.bit_length(), some(i)) for i in sizes])
+    return F.transform(F.array_compact(every), lambda t: F.array_sort(t))
 
 
 class _Tables(HTMLParser):

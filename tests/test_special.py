@@ -1,3 +1,4 @@
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -67,6 +68,42 @@ def test_event_matches(spark):
     assert {r["match_id"]: (r["event_id"], r["tier"]) for r in M.event_matches(m, e).collect()} == {1: (10, 1), 2: (11, 2)}
 
 
+def _words_tier(m, e, first):
+    """The third pass, pair by pair."""
+    long, every = (lambda c: {t for t in c.split(" ") if len(t) >= 3}), (lambda c: {t for t in re.split(r"[\s,.]+", c) if t})
+    side = lambda a, b: max(len(long(a) & long(b)), int((a in b or b in a) and bool(every(a) & every(b))))
+    out = {}
+    for i, day, h, a in m:
+        fits = [(0 if first else -side(h, x) - side(a, y), j) for j, on, x, y in e if on == day and side(h, x) and side(a, y)]
+        if fits:
+            out[i] = (min(fits)[1], 2)
+    return out
+
+
+def test_events_by_sets_of_words(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["fc", "ab", "red", "club", "town", "united", "sv", "blue", "red,", "ab.c", "player", "fc."]
+    name = lambda: " ".join(rng.choice(vocabulary, rng.integers(1, 7)))
+    rows = lambda n: [(i, int(rng.integers(1, 3)), name(), name()) for i in range(n)]
+    m, e = rows(150), rows(25) + [(100, 1, "ab", "fc"), (101, 2, "ab.c red,", "fc")]
+    m += [(900, 1, "ab", "fc."), (901, 2, "ab.c red, ab", "x fc"), (902, 1, "zz ab", "red fc")]
+    ms, es = spark.createDataFrame(m, "match_id int, day int, home string, away string"), spark.createDataFrame(e, "event_id int, day int, home string, away string")
+    for first in (False, True):
+        got = {r["match_id"]: (r["event_id"], r["tier"]) for r in M.event_matches(ms, es, fixture_order=first, passes=(2,)).collect()}
+        assert got == _words_tier(m, e, first)
+
+
+def test_events_are_not_broadcast(spark, monkeypatch):
+    from pitchside.plans import special
+
+    plans = []
+    cut = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(M, "cut", cut)
+    for first in (False, True):
+        plans.append(M.event_matches(*special._written(spark, "/root/testdata/sf0.001"), fixture_order=first)._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_html_tables(spark):
     page = "<p>x</p><table></table><table><tr></tr></table><TABLE border=1><tr><th>Club<th>Points</th></tr><tr></tr><tr><td> Red <i>Star</i></td><td>41</td></tr></TABLE>"
     got = spark.createDataFrame([(page,), (None,)], "h string").select(M.html_tables(F.col("h")).alias("t")).collect()
