@@ -6,9 +6,10 @@ still in different classes, they are compared bucket by bucket: those outside th
 class with all its members, so no link is lost and no bucket is capped. Buckets of more than SMALL
 that share documents are taken together, so that their documents are compared once and not once for
 each band, in blocks. Where that makes more than WHOLE documents, the buckets are parted first by a
-second band (then a third ...) that their members share: similar documents share many bands, so they
+second band (then a third ...) that their members share: similar documents share many bands, so most
 meet in one of the parts, and the parts of documents that met by chance are small. What is large
-still after DEPTH bands is compared whole.
+still after DEPTH bands is compared whole. Two similar documents may share a single band, so buckets
+that were parted are compared last, as they were, where they still hold several classes.
 """
 
 from __future__ import annotations
@@ -254,6 +255,7 @@ def link(bands: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: f
     shared = level = shared_buckets(bands.select("key", "id", F.array("key").alias("path")))
     grams = cut(sets(shared.select("id").distinct()))
     links = cut(verified(stars(shared), grams, similarity))
+    parted: DataFrame | None = None
     for depth in range(DEPTH + 1):
         mixed = _mixed(level, components(links))
         some, many = mixed.agg(F.count_if(F.col("n") <= SMALL), F.count_if(F.col("n") > SMALL)).first()
@@ -270,6 +272,8 @@ def link(bands: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: f
         rest = members.where(~whole)
         if depth == DEPTH or not rest.limit(1).count():
             break
+        if parted is None:  # deeper parts lie within these
+            parted = cut(large.select("id", "key").join(rest.select("id").distinct(), "id", "left_semi").select("key").distinct())
         parts = (
             large.select("id", "path").join(rest.select("id").distinct(), "id", "left_semi")
             .join(shared.select("id", F.col("key").alias("next")).hint("shuffle_merge"), "id")
@@ -280,6 +284,9 @@ def link(bands: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: f
         )
         level = shared_buckets(parts)
         links = cut(links.unionByName(verified(stars(level), grams, similarity)))
+    if parted is not None:
+        mixed = _mixed(shared.join(parted.hint("shuffle_merge"), "key", "left_semi"), components(links))
+        links = cut(links.unionByName(_compared(mixed, grams, similarity)))
     return links
 
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pitchside.llm import line_dedup, prob_minhash, suffix_dedup
+from pitchside.llm import line_dedup, near, prob_minhash, suffix_dedup
 from pitchside.llm.common import NULL_ID, shingle_hashes
 from pitchside.llm.near import components
 from pitchside.llm.suffix_sort import BlindTrie, deep_shallow
@@ -233,3 +233,13 @@ def test_large_buckets_lose_no_link(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(near, "DEPTH", depth)
         got = prob_minhash.near_duplicates(spark.read.parquet(path)).collect()
         assert {r["doc_id"]: r["class_id"] for r in got} == class_truth(rows)
+
+
+def test_similar_documents_of_a_single_band_in_a_parted_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near, "SMALL", 3)
+    monkeypatch.setattr(near, "WHOLE", 5)
+    grams = lambda i: np.sort(np.arange(20, dtype=np.uint64) + np.uint64(1000 * (i // 2)) + np.uint64(i % 2)).tobytes()
+    sets = spark.createDataFrame([(i, grams(i)) for i in range(30)], "id long, grams binary")
+    bands = spark.createDataFrame([(i, 7) for i in range(30)] + [(i, 100 + i) for i in range(30)], "id long, key long")
+    got = near.link(bands, lambda ids: sets, 0.8)
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got.collect()} == {(i, i + 1) for i in range(0, 30, 2)}
