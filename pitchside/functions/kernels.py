@@ -198,7 +198,7 @@ def leg_sets(home: np.ndarray, away: np.ndarray, legs_per_set: int = 5, target:
 def _by_state(f, state: pd.DataFrame, *rates: np.ndarray) -> pd.Series:
     """f over the rows of each state; a state with nulls gives null."""
     out = pd.Series(np.nan, index=state.index)
-    for key, rows in state.groupby(list(state.columns), dropna=True).groups.items():
+    for key, rows in state.dropna().groupby(list(state.columns)).groups.items():
         at = state.index.get_indexer(rows)
         out.iloc[at] = f(*[int(k) for k in key], *[r[at] for r in rates])
     return out

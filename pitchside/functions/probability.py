@@ -80,15 +80,18 @@ def both_score(home: Column, away: Column) -> Column:
 
 def normal_cdf(z: Column) -> Column:
     """The standard normal distribution, by its series of odd powers (38 standard deviations and more: 0 or 1)."""
-    z = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
-    start = F.struct(z.alias("term"), z.alias("sum"))
 
-    def step(s: Column, n: Column) -> Column:
-        term = s["term"] * z * z / (2 * n + 1)
-        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+    def area(z: Column) -> Column:
+        start = F.struct(z.alias("term"), z.alias("sum"))
 
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["sum"])
-    return 0.5 + series * F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        def step(s: Column, n: Column) -> Column:
+            term = s["term"] * z * z / (2 * n + 1)
+            return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+        series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["sum"])
+        return 0.5 + series * F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+
+    return once(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)), area)
 
 
 def basketball(off_h: Column, def_h: Column, off_a: Column, def_a: Column, pace: Column, line: float = 224.5, spread: float = -3.5) -> Column:

@@ -50,10 +50,14 @@ for _name, _model in (
 
 
 def updated(sport: Column, p: Column, home: Column, away: Column, clock: Column, stats: Column, models: Registry = MODELS) -> Column:
-    """The live probability of the home side, within 0 and 1; the prior where a model gives no number, null for an unknown sport."""
+    """The live probability of the home side, within 0 and 1; the prior where a model gives no number, null for an unknown sport.
+
+    A model sees the scores of its own sport only: Python runs for all rows, and rows without a score cost nothing there.
+    """
     out = F.lit(None).cast("double")
     for name in models.names():
-        x = models.get(name)(p, home, away, clock, stats)
+        own = lambda c: F.when(sport == name, c)  # noqa: B023, E731
+        x = models.get(name)(p, own(home), own(away), clock, stats)
         out = F.when(sport == name, F.coalesce(F.nanvl(x, F.lit(None).cast("double")), p)).otherwise(out)
     return P.once(out, lambda v: F.when(v > 1, 1.0).when(v < 0, 0.0).otherwise(v))
 

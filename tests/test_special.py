@@ -2,6 +2,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,15 @@ def test_inference_covers_matches_without_a_score(spark, tmp_path):
     got = ml_06_inference(spark, tmp_path.as_uri()).collect()
     assert sorted(r["match_id"] for r in got) == [r[0] for r in rows]
     assert all(None not in r for r in got)
+
+
+def test_states_with_nulls_are_skipped():
+    state = pd.DataFrame({"a": [1.0, None, 1.0], "b": [0.0, None, 2.0]})
+    assert K._by_state(lambda a, b, x: x + a + b, state, np.array([0.5, 0.5, 0.5])).fillna(-1.0).tolist() == [1.5, -1.0, 3.5]
+
+
+def test_live_values_are_computed_once(spark):
+    from pitchside.plans.live import mth_02_live_value
+
+    plan = mth_02_live_value(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
