@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pitchside.functions import cleaning as C
 from pitchside.functions.matching import html_tables
+from pitchside.functions.probability import once
 from pitchside.functions.registry import Registry
 from pitchside.functions.rowmodels import present
 
@@ -59,18 +60,18 @@ FORMS = {
 
 def football_json(response: Column) -> Column:
     """Map of home_ and away_ statistics from a list of two teams' {type, value} lists; '55%' is 55."""
-    teams = F.from_json(response, "array<struct<statistics:array<struct<type:string,value:string>>>>")
+    response = F.from_json(response, "array<struct<statistics:array<struct<type:string,value:string>>>>")
     names = F.create_map(*[F.lit(x) for pair in FOOTBALL.items() for x in pair])
 
-    def of(i: int, prefix: str) -> Column:
+    def of(teams: Column, i: int, prefix: str) -> Column:
         stats = F.coalesce(F.try_element_at(teams, F.lit(i))["statistics"], F.array().cast("array<struct<type:string,value:string>>"))
         pairs = F.transform(stats, lambda s: F.struct(F.concat(F.lit(prefix), names[F.lower(s["type"])]).alias("k"), C.safe_float(F.rtrim(s["value"], F.lit("%"))).alias("v")))
         return F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull())
 
-    every = F.concat(of(1, "home_"), of(2, "away_"))
+    every = once(response, lambda teams: F.concat(of(teams, 1, "home_"), of(teams, 2, "away_")))
     # a kind named twice counts as the last says
-    last = F.filter(every, lambda p, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda every: F.filter(every, lambda p, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(once(every, last))
 
 
 def points_json(response: Column, overtime: str = "over_time") -> Column:
@@ -79,7 +80,7 @@ def points_json(response: Column, overtime: str = "over_time") -> Column:
     side = ",".join(f"{f}:double" for f in fields)
     one = F.from_json(response, f"array<struct<scores:struct<home:struct<{side}>,away:struct<{side}>>>>")[0]["scores"]
     short = QUARTERS | {overtime: "ot", "total": "pts"}
-    return present({f"{short[f]}_{s}": one[s][f] for s in ("home", "away") for f in fields})
+    return once(one, lambda x: present({f"{short[f]}_{s}": x[s][f] for s in ("home", "away") for f in fields}))
 
 
 def hockey_json(response: Column) -> Column:
@@ -87,8 +88,8 @@ def hockey_json(response: Column) -> Column:
     pair = "struct<home:double,away:double>"
     periods = ("first", "second", "third", "overtime")
     one = F.from_json(response, f"array<struct<scores:{pair},periods:struct<{','.join(f'{p}:{pair}' for p in periods)}>>>")[0]
-    goals = {f"goals_{s}": one["scores"][s] for s in ("home", "away")}
-    return present(goals | {f"p{p[0]}_{s}": one["periods"][p][s] for p in periods for s in ("home", "away")})
+    goals = lambda x: {f"goals_{s}": x["scores"][s] for s in ("home", "away")}
+    return once(one, lambda x: present(goals(x) | {f"p{p[0]}_{s}": x["periods"][p][s] for p in periods for s in ("home", "away")}))
 
 
 def table_stats(pages: DataFrame, html: str, form: TableForm = FORMS["football"]) -> DataFrame:
@@ -104,13 +105,15 @@ def table_stats(pages: DataFrame, html: str, form: TableForm = FORMS["football"]
 
     def at(names: tuple[str, ...]) -> Column:
         place = F.array_position(F.transform("header", lambda h: h.isin(*names)), F.lit(True))
-        return F.when(place > 0, F.try_element_at("cells", place.cast("int")))
+        return once(place, lambda p: F.when(p > 0, F.try_element_at("cells", p.cast("int"))))
 
     team = F.trim(at(form.names))
     if form.mark:
         team = F.trim(F.regexp_replace(team, form.mark, ""))
+    number = lambda names: once(at(names), C.scraped_number)
+    row = F.struct(team.alias("team"), present({k: number(n) for k, n in form.keys.items()}).alias("stats"))
     return (
-        cells.select(*rest, team.alias("team"), present({k: C.scraped_number(at(n)) for k, n in form.keys.items()}).alias("stats"))
+        cells.select(*rest, F.inline(F.array(row)))  # once, not for the filter too
         .where((F.col("team") != "") & ~F.lower("team").isin(*form.names, *form.skip) & (F.size("stats") > 0))
     )
 

@@ -135,3 +135,12 @@ def test_live_values_are_computed_once(spark):
 
     plan = mth_02_live_value(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1
+
+
+def test_json_responses_are_read_once(spark):
+    from pitchside.sources import stats as S
+
+    df = spark.createDataFrame([("[]",)], "r string")
+    for f in (S.football_json, S.points_json, S.hockey_json):
+        plan = df.select(f(F.col("r")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1
