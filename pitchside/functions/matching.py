@@ -9,7 +9,7 @@ from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchside.functions.cleaning import last_name
@@ -20,6 +20,8 @@ LEAST_RATIO = 0.88
 COMMON = 20_000
 #: Words of a side whose sets are keys of an index (15 sets); longer sides are compared by single words.
 WORDS = 4
+#: Rows of a key that are compared with as many others at once, pairs and rows for a task, and the most tasks (beyond them, tasks grow).
+BLOCK, PAIRS, ROWS, MOST_TASKS = 1_000, 4_000_000, 250_000, 10_000
 
 
 def bare(name: str | None) -> str | None:
@@ -287,3 +289,29 @@ def html_tables(c: Column) -> Column:
         return s.map(tables)
 
     return run(c)
+
+
+def sharing_pairs(df: DataFrame, keys: list[str], i: str, words: Column, block: int = BLOCK) -> DataFrame:
+    """a, b and n_shared of all rows of equal keys, a before b, whose distinct words have some in common.
+
+    The rows of a key are dealt to blocks of bounded size, by words; blocks meet in pairs, each pair
+    of them in one place, and tasks are as many as the pairs need, so neither a frequent key nor
+    copies lengthen a task. Rows with the same words are one set there: sets are compared, and only
+    those that share a word become pairs of rows.
+    """
+    rows = df.select(*keys, F.col(i).alias("i"), F.array_sort(words).alias("t")).dropna(subset=["i", *keys]).where("size(t) > 0")
+    key = Window.partitionBy(*keys)
+    block_of = lambda place: F.floor(place / block).cast("int")
+    sets = rows.select("*", block_of(F.row_number().over(key.orderBy("t", "i")) - 1).alias("c"), block_of(F.count(F.lit(1)).over(key) - 1).alias("last"))
+    sets = cut(sets.groupBy(*keys, "c", "last", "t").agg(F.collect_list("i").alias("i")))
+    n = F.col("n").cast("double")
+    total, pairs = sets.groupBy(*keys).agg(F.sum(F.size("i")).alias("n")).agg(F.sum(n), F.sum(n * n)).first()
+    tasks = min(MOST_TASKS, 1 + int((total or 0) / ROWS + (pairs or 0) / PAIRS))
+    at = [*keys, "cx", "cy"]
+    x = sets.select(*keys, F.col("c").alias("cx"), F.explode(F.sequence("c", "last")).alias("cy"), F.col("t").alias("tx"), F.col("i").alias("ix"))
+    y = sets.select(*keys, F.explode(F.sequence(F.lit(0), "c")).alias("cx"), F.col("c").alias("cy"), F.col("t").alias("ty"), F.col("i").alias("iy"))
+    once = (F.col("cx") < F.col("cy")) | (F.col("tx") <= F.col("ty"))
+    met = x.repartition(tasks, *at).join(y.repartition(tasks, *at), at).where(once & F.arrays_overlap("tx", "ty"))
+    alone = (F.col("cx") == F.col("cy")) & (F.col("tx") == F.col("ty"))
+    met = met.select(F.size(F.array_intersect("tx", "ty")).cast("long").alias("n_shared"), alone.alias("alone"), F.explode("ix").alias("a"), "iy").select("n_shared", "alone", "a", F.explode("iy").alias("b"))
+    return met.where((F.col("a") < F.col("b")) | (~F.col("alone") & (F.col("a") > F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_shared")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchside.functions import cleaning as C
+from pitchside.functions import matching as M
 from pitchside.plans.adapters import MATCHES, matches, table
 
 #: A generated mess: what a CSV cell may hold, by part key.
@@ -72,12 +73,7 @@ def prj_22_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_04_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of one brand, type and size whose names share a word (SET-04)."""
-    p = _part(spark, sf_dir).select("p_partkey", "p_brand", "p_type", "p_size", C.tokens(F.col("p_name")).alias("t"))
-    x, y = p.alias("x"), p.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("p_brand", "p_type", "p_size")]
-    return x.join(y, same[0] & same[1] & same[2] & (F.col("x.p_partkey") < F.col("y.p_partkey")) & F.arrays_overlap("x.t", "y.t")).select(
-        F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), F.size(F.array_intersect("x.t", "y.t")).cast("long").alias("n_shared")
-    )
+    return M.sharing_pairs(_part(spark, sf_dir), ["p_brand", "p_type", "p_size"], "p_partkey", C.tokens(F.col("p_name")))
 
 
 def prj_29_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

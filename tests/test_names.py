@@ -4,8 +4,10 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from pitchside.functions import cleaning as C
 from pitchside.functions import matching as M
 from pitchside.operators import upkeep as U
+from pitchside.plans import names as N
 
 
 def misspelt(rng, name):
@@ -89,3 +91,26 @@ def test_aliases_are_those_of_the_walk(spark, seed):
     got = U.learned_aliases(spark.createDataFrame(rows, "n int, sport string, name string"), "sport", "name", ["n"])
     named = [r for r in rows if r[1] is not None]
     assert {(r["sport"], r["key"]): (r["canonical"], r["how"]) for r in got.where(F.col("sport").isNotNull()).collect()} == walk(named)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_pairs_that_share_words_are_all_found(spark, block):
+    rng = random.Random(4)
+    words = ["red", "blue", "green", "pale", "dark", "an"]
+    rows = [(i // 2 if i < 20 else i, rng.choice(["x", "y", "y", None]), " ".join(rng.choice(words) for _ in range(rng.randrange(4))) if i % 11 else None) for i in range(120)]
+    own = [(i, k, {w for w in (name or "").split() if len(w) >= 3}) for i, k, name in rows if k]
+    want = sorted((a, b, len(s & t)) for a, k, s in own for b, j, t in own if k == j and a < b and s & t)
+    df = spark.createDataFrame(rows, "i long, k string, name string")
+    got = M.sharing_pairs(df, ["k"], "i", C.tokens(F.col("name")), block)
+    assert sorted((r["a"], r["b"], r["n_shared"]) for r in got.collect()) == want
+    assert len(want) > 400
+
+
+def test_pairs_of_copies_are_spread_over_tasks(spark, tmp_path):
+    """Four names of 1,500 copies each: no task gets most of their pairs."""
+    n = 6_000
+    df = spark.range(n).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand"), F.col("id") % 4).alias("p_brand"), F.lit("TIN").alias("p_type"), F.lit(1).alias("p_size"), F.lit("pale red").alias("p_name"))
+    df.coalesce(1).write.parquet(f"{tmp_path.as_uri()}/part.parquet")
+    got = [r["n"] for r in N.set_04_overlap(spark, tmp_path.as_uri()).groupBy(F.spark_partition_id().alias("task")).agg(F.count("a").alias("n")).collect()]
+    assert sum(got) == 4 * 1500 * 1499 // 2
+    assert max(got) < 0.7 * sum(got)
