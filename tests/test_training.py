@@ -112,6 +112,21 @@ def test_models_are_stored_and_found(spark, frame, fitted, tmp_path):
     assert score(again) == score(linear)
 
 
+def test_places_in_a_tree_are_those_of_a_walk():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 9, (200, 4)).astype(np.uint8)
+    feature, bins = rng.integers(-1, 4, 15), rng.integers(0, 8, 15)
+    want = []
+    for row in x:
+        at = 0
+        while at < 15:
+            at = 2 * at + 1 + int(feature[at] >= 0 and row[feature[at]] > bins[at])
+        want.append(at - 15)
+    assert B._leaf(x, feature, bins).tolist() == want
+    assert B._leaf(np.asfortranarray(x), feature, bins).tolist() == want
+    assert B._shared([4, 5, 3, 30, 2], 60) == [[0, 1, 2], [3, 4]] and B._shared([9, 9], 1) == [[0], [1]]
+
+
 def some_matches(spark, n):
     rng = random.Random(3)
     rows = [(i, rng.randrange(8), 8 + rng.randrange(8), dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), rng.randrange(4), rng.randrange(3)) for i in range(n)]
@@ -140,3 +155,13 @@ def test_a_days_metrics_take_the_place_of_the_old(spark, tmp_path):
     assert got == {("m1", "REAL", "d1"): 0.5, ("m1", "PAPER", "d1"): 0.2, ("m3", "REAL", "d1"): 0.6, ("m2", "REAL", "d2"): 0.3}
     assert spark.read.parquet(path).count() == 4
     assert spark.read.parquet(path).where("day = 'd2'").select("_metadata.file_name").distinct().collect() == before  # untouched
+
+
+def test_rows_are_binned_before_they_are_placed(spark, monkeypatch):
+    """The shuffles and sorts of the places carry bytes, not the numbers of all columns."""
+    seen = []
+    own = W.placed
+    monkeypatch.setattr(W, "placed", lambda df, *a: seen.append(df.columns) or own(df, *a))
+    models, scored = W.fold_models(some_matches(spark, 300), folds=3, trees=1, depth=1)
+    assert len(models) == 4 and scored.where("fold = 3").count() > 0
+    assert seen and all("x" in columns and not set(columns) & set(models[0].columns) for columns in seen)
